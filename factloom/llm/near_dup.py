@@ -8,8 +8,8 @@
 3. Classes that share a band are candidates. Each band's bucket first proposes its smallest member
    with each other one (a star, not all pairs); these pairs are verified on full sets and joined to
    components. Buckets that still hold more than one component are then cut into blocks of bounded
-   size, and every pair of members from different components is compared by signature; what may
-   reach the threshold is verified on full sets too. No bucket, pair or document is capped.
+   size, and members of different components are compared on full sets, two blocks at a time; only
+   links come out. No bucket, pair or document is capped.
 
 Bands are chosen so that a pair at the threshold is missed with a probability under 1e-6.
 """
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +34,9 @@ MISS = 1e-6
 BROADCAST_ROWS = 500_000
 #: Shingles in a group of pairs that are verified together.
 GROUP_SHINGLES = 2_000_000
-#: Members of a bucket in one block.
-BLOCK = 1000
+#: Members of a bucket in one block, and their shingles.
+BLOCK = 2000
+BLOCK_SHINGLES = 1_000_000
 _U = np.uint64
 
 _pi: np.ndarray | None = None
@@ -91,12 +91,10 @@ def _sketcher(size: int, rows: int):
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 key = np.zeros((len(sets), 2), dtype=_U)
                 names = np.zeros((len(sets), bands), dtype=_U)
-                low = np.zeros((len(sets), COORDINATES), dtype=np.uint8)
                 for i, s in enumerate(sets):
                     if len(s):
                         key[i] = W.mix(s).sum(dtype=_U), W.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)
                         got = signature(s)
-                        low[i] = got & 255
                         names[i] = W.grams(got[: bands * rows].reshape(bands, rows).astype(_U).ravel(), rows)[::rows] ^ W.mix(np.arange(bands, dtype=_U))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -105,9 +103,8 @@ def _sketcher(size: int, rows: int):
                         pa.array(key[:, 0].astype(np.int64)),
                         pa.array(key[:, 1].astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(names.astype(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "low"],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return sketch
@@ -148,35 +145,83 @@ def verified(pairs: DataFrame, docs: DataFrame, counts: DataFrame, size: int, nu
     Texts travel once for each pair and once for each group; groups of one pivot are dealt anew by
     the shingles that they hold, so a pivot with very many partners spreads over many tasks.
     """
-    spark = docs.sparkSession
     load = pairs.join(counts.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.sum("n_shingles").alias("load"), F.count("*").alias("n"))
     groups = load.select("a", F.ceil(F.col("load") / GROUP_SHINGLES + F.col("n") / 256).cast("int").alias("salts"))
     groups = cut(groups)
     members = pairs.join(groups, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    roles = cut(members.unionByName(heads))
-    rows = roles.count()
-    texts = docs.join(F.broadcast(roles), "doc_id") if rows <= BROADCAST_ROWS else docs.join(roles.hint("merge"), "doc_id")
-    n = shuffle_width(spark)
-    dealt = texts.select("a", "salt", "role", "doc_id", "text").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role")
+    texts = _with_text(docs, members.unionByName(heads))
+    dealt = texts.select("a", "salt", "role", "doc_id", "text").repartition(shuffle_width(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
     return cut(dealt.mapInArrow(_verifier(size, num, den), "a long, b long").distinct())
 
 
-def _cross_compare(least: int):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.blk == pdf.i], pdf[pdf.blk == pdf.j]
-        same = bool(pdf.i.iloc[0] == pdf.j.iloc[0])
-        lo, ro = (np.frombuffer(b"".join(x.low), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
-        lc, rc, ln, rn, lid, rid = (x[k].to_numpy() for k in ("comp", "n_shingles", "doc_id") for x in (left, right))
-        found = []
-        for x in range(len(left)):
-            fit = np.flatnonzero((rc != lc[x]) & (np.minimum(rn, ln[x]) * 2 >= np.maximum(rn, ln[x])) & ((rid > lid[x]) | (not same)))
-            if len(fit):
-                fit = fit[(ro[fit] == lo[x]).sum(axis=1) >= least]
-                found += [(min(lid[x], y), max(lid[x], y)) for y in rid[fit]]
-        return pd.DataFrame({"a": [x[0] for x in found], "b": [x[1] for x in found]}, dtype="int64")
+def links_across(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of a left and a right member of different components that reach the threshold, by exact counts.
 
-    return compare
+    Members of the most frequent component stand on one side only. Common shingles are counted by
+    products of incidence matrices, a slab of members and some thousand shingles at a time.
+    """
+    names, counts = np.unique(comp, return_counts=True)
+    lone = np.flatnonzero(comp != names[counts.argmax()])
+    if not len(lone):
+        return []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, cell, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(often > 1) - 1
+    keep = often[cell] > 1
+    owner, cell = owner[keep], shared[cell[keep]]
+    order = np.argsort(cell, kind="stable")
+    owner, cell = owner[order], cell[order]
+    found = []
+    width = 4096
+    edges = np.searchsorted(cell, np.arange(0, (int(cell[-1]) + 1 if len(cell) else 0) + width, width))
+    for low in range(0, len(lone), 256):
+        some = lone[low : low + 256]
+        both = np.zeros((len(some), len(sets)), dtype=np.float32)
+        for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            at = np.zeros((len(sets), width), dtype=np.float32)
+            at[owner[x:y], cell[x:y] - k * width] = 1
+            both += at[some] @ at.T
+        both = both.astype(np.int64)
+        ok = (den * both >= num * (sizes[some][:, None] + sizes[None] - both)) & (comp[some][:, None] != comp[None])
+        ok &= (left[some][:, None] & right[None]) | (right[some][:, None] & left[None])
+        found += [(int(some[x]), int(y)) for x, y in zip(*np.nonzero(ok), strict=True)]
+    return found
+
+
+def _linker(size: int, num: int, den: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by group; a group is one block of a bucket, or two."""
+        group, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            ids, comp, blk, sets = zip(*rows, strict=True)
+            blk = np.array(blk)
+            found = links_across(list(sets), np.array(comp), blk == group[1], blk == group[2], num, den)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f(ids[x], ids[y]) for x, y in found], pa.int64()) for f in (min, max)], names=["a", "b"])
+
+        for batch in batches:
+            for part in W.pieces(batch, "text"):
+                sets = shingle_sets(part.column(part.schema.get_field_index("text")), size)
+                columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("band", "i", "j", "doc_id", "comp", "blk")]
+                for band, i, j, doc, comp, blk, s in zip(*columns, sets, strict=True):
+                    if (band, i, j) != group:
+                        if rows:
+                            yield close()
+                        group = band, i, j
+                    rows.append((doc, comp, blk, s))
+        if rows:
+            yield close()
+
+    return link
+
+
+def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """``roles`` with their documents' texts; few roles go to every executor, many are joined by a shuffle."""
+    roles = cut(roles)
+    return docs.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles.hint("merge"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -187,40 +232,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links, ``kept`` whether that is the row's own.
 
     Null and wordless texts have an empty set and are linked with nothing. Rows without an id are
-    left out. Rows that repeat an id count as one document as far as links go; each is returned.
-    Other columns are ignored; an empty table gives an empty result.
+    left out. Links are between ids: of rows that repeat an id with other texts each is returned, and
+    a link of one that stands for its set holds for all. Other columns are ignored; an
+    empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     rows = band_rows(num / den)
-    sketches = cut(docs.mapInArrow(_sketcher(shingle, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, low binary"))
+    sketches = cut(docs.mapInArrow(_sketcher(shingle, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     full = sketches.where("n_shingles > 0")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles")))
     counts = classes.groupBy(F.col("set_id").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"))
     heads = full.join(classes.select(F.col("set_id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
-    banded = heads.select("doc_id", F.explode("bands").alias("band"))
-    buckets = cut(banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("a < last").select("band", "a", "m"))
-    members = cut(banded.join(buckets, "band").select("band", "a", "m", "doc_id"))
+    banded = heads.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("m"), F.sum("n_shingles").alias("load"))
+    blocks = F.ceil(F.col("m") / BLOCK + F.col("load") / BLOCK_SHINGLES).cast("int")
+    buckets = cut(buckets.where("a < last").select("band", "a", blocks.alias("blocks")))
+    members = cut(banded.join(buckets, "band").select("band", "a", "blocks", "doc_id"))
     stars = cut(members.where("doc_id > a").groupBy("a", F.col("doc_id").alias("b")).count().select("a", "b"))
     links = verified(stars, docs, counts, shingle, num, den)
     comps = cut(components(links))
-    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    mixed = cut(placed.groupBy("band").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp < high_comp").select("band"))
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = cut(members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
+    mixed = cut(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band"))
     sides = (
         placed.join(mixed, "band")
-        .join(heads.select("doc_id", "n_shingles", "low"), "doc_id")
-        .select("band", "doc_id", "comp", "n_shingles", "low", nb.alias("nb"), F.pmod(F.xxhash64("doc_id"), nb).cast("int").alias("blk"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("i", F.least("blk", "other"))
-        .withColumn("j", F.greatest("blk", "other"))
+        .withColumn("blk", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("doc_id", "band", "comp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
     )
-    least = int(COORDINATES * (num / den - 6 * (num / den * (1 - num / den) / COORDINATES) ** 0.5))
-    more = sides.groupBy("band", "i", "j").applyInPandas(_cross_compare(least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(more)
+    dealt = _with_text(docs, sides).repartition(shuffle_width(docs.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    more = cut(dealt.mapInArrow(_linker(shingle, num, den), "a long, b long").distinct())
     if not more.isEmpty():
-        comps = cut(components(links.unionByName(verified(more, docs, counts, shingle, num, den))))
+        comps = cut(components(links.unionByName(more)))
     of_class = classes.select("k1", "k2", "set_id", "class_size").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left")
-    # a repeated id may stand for several sets, and so reach from one to the other
     of_class = cut(of_class.withColumn("component_id", F.coalesce("component", "set_id")).drop("component"))
     return (
         sketches.select("doc_id", "n_shingles", "k1", "k2")
