@@ -3,15 +3,20 @@
 Every line of every document starts a suffix of its document's sequence of line ids. Prefix doubling
 names the first k ids of each suffix: equal names, equal prefixes. Names at 2k are pairs of names at
 k, so each round needs only the suffixes whose k-prefix stands elsewhere too; the others' places in the
-suffix array are settled. Sorted by (name at 1, 2, 4, ...) the suffixes that share a prefix of any of
-these lengths stand together: an interval of the array whose common prefix is at least that long.
-An interval of length ``min_lines`` with two suffixes or more is a repeated run; its suffix of the
-smallest (document, line) is the first copy and every other one a later copy. The union of later
-copies' lines is what maximal repeated runs cover beyond their first copies, and is deleted.
+suffix array are settled. It ends when every suffix's place is. Sorted by its names at 1, 2, 4, ...
+the array has the suffixes that share a prefix of any of these lengths together: an interval whose
+common prefix is at least that long.
+
+An interval at ``min_lines`` is a repeated run. Its suffix of the smallest (document, line) is the first
+copy and every other one a later copy; the union of later copies' lines is what maximal repeated runs
+cover beyond their first copies, and is deleted. Deeper intervals tell how long runs are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,49 +29,58 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ids).alias("line", "name"))
 
 
-def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """``(doc_id, line)`` where a later copy of a run of ``min_lines`` lines starts; ``min_lines`` is a power of two.
+def suffix_intervals(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """For k = 1, 2, 4, ... the suffixes in intervals of a common prefix of k lines or more: ``(doc_id, line, name, first)``.
 
-    One round for each doubling. A round groups suffixes by name, with partial counts first, and goes on
-    with those in intervals of two or more.
+    ``name`` orders the interval, ``first`` is its suffix of the smallest (document, line). Ends after the
+    last k that has any. Intervals are counted in part before the shuffle, and a suffix is joined with
+    its interval, so that one of very many suffixes is spread over tasks.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    k = 1
-    suffixes = lines
+    k, suffixes = 1, lines
     while True:
-        interval = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).where("n > 1")
-        interval = cut(interval)
-        shared = suffixes.join(interval, "name")
-        if k == min_lines:
-            return shared.where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-        shared = cut(shared.select("doc_id", "line", "name").distinct())
+        found = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+        interval = cut(found.where("n > 1").select("name", "first"))
+        if interval.isEmpty():
+            return
+        shared = cut(suffixes.join(interval, "name").select("doc_id", "line", "name", "first").distinct())
+        yield k, shared
         ahead = shared.select("doc_id", (F.col("line") - k).alias("line"), F.col("name").alias("next"))
-        suffixes = cut(shared.join(ahead, ["doc_id", "line"]).select("doc_id", "line", F.xxhash64("name", "next").alias("name")))
+        suffixes = shared.join(ahead, ["doc_id", "line"]).select("doc_id", "line", F.xxhash64("name", "next").alias("name"))
         k *= 2
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: list[str] = ()) -> DataFrame:
-    """``(doc_id, text, n_lines, n_removed)`` and the columns named in ``carry``: each row's text without later copies of runs of ``min_lines`` lines or more.
+    """``(doc_id, text, n_lines, n_removed, shared_run)`` and the columns named in ``carry``: each row's text without later copies of runs of ``min_lines`` lines or more.
 
     Lines end at a line feed. Runs lie within one document; they may repeat within it or in another.
     The copy of the smallest (document, line) stays. Kept lines are joined by line feeds; a text of
-    which nothing is kept is empty. A null text stays null, with 0 lines. Rows without an id are left
+    which nothing is kept is empty. ``shared_run`` is the largest power of two for which a run of so many
+    of its lines stands twice, first copies included, 0 for none. ``min_lines`` is a power of two. A null text stays null, with 0 lines. Rows without an id are left
     out. Rows that repeat an id are one document and no copies of each other; lines found to be later
     copies in one of them go from each. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry))).where("doc_id is not null")
-    starts = repeated_runs(lines_of(rows), min_lines)
-    gone = starts.select("doc_id", F.explode(F.sequence("line", F.col("line") + (min_lines - 1))).alias("line"))
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two")
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, line int, k int")
+    later, depths = empty, [empty.select("doc_id", "k")]
+    for k, shared in suffix_intervals(lines_of(rows)):
+        depths.append(shared.select("doc_id", F.lit(k).alias("k")))
+        if k == min_lines:
+            later = shared.where(F.struct("doc_id", "line") > F.col("first"))
+    gone = later.select("doc_id", F.explode(F.sequence("line", F.col("line") + (min_lines - 1))).alias("line"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    depth = reduce(DataFrame.unionByName, depths).groupBy("doc_id").agg(F.max("k").alias("depth"))
+    marks = depth.join(gone, "doc_id", "left")
     split = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     kept = F.transform(stay, lambda i: F.get(split, i))
-    joined = rows.join(gone, "doc_id", "left")
+    joined = rows.join(marks, "doc_id", "left")
     return joined.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("depth", F.lit(0)).alias("shared_run"),
         *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)),
     )

@@ -58,7 +58,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of two lines or more."""
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), min_lines=2)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "shared_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +124,15 @@ FROM sides
 
 _OP8 = """
 WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL),
-suffixes AS (SELECT doc_id, p, l[p] AS a, l[p + 1] AS b FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM rows)),
-later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, p) AS r FROM suffixes) WHERE r > 1),
-gone AS (SELECT doc_id, list(DISTINCT p + k) AS ps FROM later, (SELECT unnest([0, 1]) AS k) GROUP BY doc_id)
-SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(ps), 0) AS n_removed,
+ids AS (SELECT doc_id, list_transform(l, lambda x: CAST(hash(x) AS VARCHAR)) AS l FROM rows),
+suffixes AS (SELECT doc_id, k, p, array_to_string(l[p:p + k - 1], ' ') AS prefix
+             FROM (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS p FROM ids, (SELECT CAST(unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS INT) AS k) WHERE k <= len(l))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k, prefix ORDER BY doc_id, p) AS r, count(*) OVER (PARTITION BY k, prefix) AS n FROM suffixes),
+gone AS (SELECT doc_id, list(DISTINCT p + d) AS ps FROM ranked, (SELECT unnest([0, 1]) AS d) WHERE k = 2 AND r > 1 GROUP BY doc_id),
+depth AS (SELECT doc_id, max(k) AS shared_run FROM ranked WHERE n > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(ps), 0) AS n_removed, coalesce(shared_run, 0) AS shared_run,
        sha256(CASE WHEN ps IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(ps, i)), lambda i: l[i]), chr(10)), '') END) AS kept_sha256
-FROM rows LEFT JOIN gone USING (doc_id)
+FROM rows LEFT JOIN gone USING (doc_id) LEFT JOIN depth USING (doc_id)
 """
 
 _OP10 = """
