@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import small_batches
 
-#: States, token pairs and remembered pieces that a worker keeps; beyond, it forgets them all and goes on.
-KEEP_STATES = 250_000
-KEEP_PIECES = 400_000
-KEEP_PAIRS = 500_000
+#: States that a worker keeps; the first ones are the frequent ones, beyond them a step is worked out each time.
+KEEP_STATES = 40_000
+#: Pieces and token pairs that it remembers; when full, it forgets them and starts again.
+KEEP_PIECES = 250_000
+KEEP_PAIRS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,9 +42,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("paths", "step")
+    __slots__ = ("kept", "paths", "step")
 
-    def __init__(self, paths: tuple) -> None:
+    def __init__(self, paths: tuple, kept: bool) -> None:
+        self.kept = kept
         self.paths = paths  # (trie node, last token, owed tokens); the first is at the root
         self.step: dict[int, tuple[tuple[int, ...], _State]] = {}
 
@@ -66,7 +69,7 @@ class Transducer:
                     self.children[node][b] = nxt
                 node = nxt
             self.token_at[node] = rank
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._states: dict[tuple, _State] = {}
         self.start = self._state(((0, -1, ()),))
 
@@ -82,18 +85,20 @@ class Transducer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` may follow ``left`` (-1: nothing): merged side by side both stay as they are."""
-        got = self._fits.get((left, right))
+        got = self._fits.get(left << 32 | right)
         if got is None:
             if len(self._fits) > KEEP_PAIRS:
                 self._fits.clear()
             want = [self.bytes_of[x] for x in (left, right) if x >= 0]
-            got = self._fits[left, right] = self._merge(b"".join(want)) == want
+            got = self._fits[left << 32 | right] = self._merge(b"".join(want)) == want
         return got
 
     def _state(self, paths: tuple) -> _State:
         got = self._states.get(paths)
         if got is None:
-            got = self._states[paths] = _State(paths)
+            got = _State(paths, len(self._states) < KEEP_STATES)
+            if got.kept:
+                self._states[paths] = got
         return got
 
     def _advance(self, state: _State, b: int) -> tuple[tuple[int, ...], _State]:
@@ -115,7 +120,9 @@ class Transducer:
         out = whole[2][:shared]
         if shared:
             paths = [(node, last, owed[shared:]) for node, last, owed in paths]
-        step = state.step[b] = out, self._state(tuple(paths))
+        step = out, self._state(tuple(paths))
+        if state.kept:
+            state.step[b] = step
         return step
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
@@ -130,9 +137,6 @@ class Transducer:
         rank = self.ranks.get(piece)
         if rank is not None:  # a piece that is a token is that token, even where merges would stop short of it
             return [rank]
-        if len(self._states) > KEEP_STATES:
-            self._states.clear()
-            self.start = self._state(((0, -1, ()),))
         ids: list[int] = []
         state = self.start
         for b in piece:
@@ -265,7 +269,7 @@ class Vocabulary:
         return "".join([decoder.feed(ids[at : at + chunk]) for at in range(0, len(ids), chunk)]) + decoder.finish()
 
 
-_loaded: dict[tuple[str, str], tuple[Encoder, Vocabulary]] = {}
+_loaded: dict[tuple[str, str], tuple[Encoder, Vocabulary]] = W.kept.setdefault("bpe", {})
 
 
 def _load(path: str, pattern: str) -> tuple[Encoder, Vocabulary]:
@@ -278,9 +282,10 @@ def _load(path: str, pattern: str) -> tuple[Encoder, Vocabulary]:
 
 def _coder(path: str, pattern: str, full: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("bpe")
         encoder, vocabulary = _load(path, pattern)
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", 1 << 20):
                 rows = []
                 for text in part.column(1).to_pylist():
                     packed = encoder.encode(text or "")
@@ -303,6 +308,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
     that repeat and rows without an id as well; other columns are ignored. The vocabulary file must
     be readable at the same path on every executor; it is read once for each worker.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     more = ", ids array<int>, decoded string" if full else ""
     return docs.mapInArrow(_coder(vocabulary_path, pattern, full), f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

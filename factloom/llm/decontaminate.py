@@ -10,7 +10,7 @@ network twice, and a passage that very many documents share is spread like the d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import cut
+from .scratch import cut, small_batches
 
 #: Bytes of test texts in one block; the index and the look-up take one block at a time, so what each task is sent is bounded.
 BLOCK_BYTES = 16 << 20
 _INDEX = "shard long, ids binary, first binary, terms binary, counts binary, positions binary"
 _FOUND = "shard long, row int, doc_id long, n_words long, hit_from array<int>, hit_to array<int>, items array<string>, near array<string>"
 
+_DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, items array<string>, hit_from array<int>, hit_to array<int>"
+
 
 @dataclass
 class Plan:
@@ -61,6 +63,7 @@ def _indexer(terms: np.ndarray, window: int):
     hint[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("decontaminate")
         context = TaskContext.get()
         shard = (context.partitionId() if context else 0) << 32
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -87,6 +90,7 @@ def _indexer(terms: np.ndarray, window: int):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.tidy("decontaminate")
     total: dict[int, int] = {}
     for batch in batches:
         for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,8 +108,11 @@ def _close(sorted_values: np.ndarray, x: np.ndarray, slop: int) -> np.ndarray:
     return (at < len(sorted_values)) & (sorted_values[np.minimum(at, len(sorted_values) - 1)] <= x + slop)
 
 
-def _matcher(shared, slop: int):
+def _matcher(shared, slop: int, digest: bool):
+    """``digest``: no other block follows, so rows are finished here, in the same Python process."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("decontaminate")
         the, ranked = shared.value
         names = ["shard", "row", "doc_id", "n_words", "hit_from", "hit_to", "items", "near"]
         for batch in batches:
@@ -147,7 +154,7 @@ def _matcher(shared, slop: int):
                 of = np.searchsorted(base, up, side="right") - 1
                 cuts = np.searchsorted(of, np.arange(rows + 1))
                 spans = [(up[a:b] - base[k], down[a:b] - base[k]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(rows, r["shard"])),
                         pa.array(np.arange(rows, dtype=np.int32)),
@@ -158,11 +165,12 @@ def _matcher(shared, slop: int):
                     ],
                     names=names,
                 )
+                yield from _digest([out]) if digest else [out]
 
     return match
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite spans, count, and name items; lists may come from several blocks."""
     for batch in batches:
         got = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
@@ -192,6 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     one. Rows may repeat and ids may be null; other columns are ignored. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -207,10 +216,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         for r in index.select("terms", "counts").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             counts[r["term"]] = r["n"]
         ranked = [sorted(((int(t), k) for k, t in enumerate(w[:n])), key=lambda x: (counts[x[0]], x)) for w, n in zip(the.windows, the.lengths, strict=True)]
-        some = index.mapInArrow(_matcher(spark.sparkContext.broadcast((the, ranked)), 2 * window), _FOUND)
+        match = _matcher(spark.sparkContext.broadcast((the, ranked)), 2 * window, digest=blocks == 1)
+        some = index.mapInArrow(match, _DIGEST if blocks == 1 else _FOUND)
         found = some if found is None else found.unionByName(some)
     if blocks > 1:
         lists = ["hit_from", "hit_to", "items", "near"]
         found = found.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in lists))
-    more = "n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, items array<string>, hit_from array<int>, hit_to array<int>"
-    return found.mapInArrow(_digest, f"doc_id long, n_words long, {more}")
+        found = found.mapInArrow(_digest, _DIGEST)
+    return found

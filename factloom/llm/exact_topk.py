@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from .scratch import cut
 
 QUERY_BYTES = 32 << 20
@@ -79,6 +80,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
 
 def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("exact_topk")
         d = queries.shape[1]
         top: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(query_ids)
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import cut
+from .scratch import cut, small_batches
 
 # Phrases that give a label wherever they stand.
 BASE_PHRASES = {
@@ -98,6 +98,7 @@ def _numbers(hashes: np.ndarray, block: W.Block) -> np.ndarray:
 
 def _counter(hashes: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("licenses")
         total = np.zeros(len(hashes), dtype=np.int64)
         for batch in batches:
             for part in W.pieces(batch, "text"):
@@ -147,6 +148,7 @@ def _scanner(index: Index, full: bool):
     rare[list(index.postings)] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("licenses")
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 block = W.split(part.column(1), W.ALNUM, fold=True)
@@ -186,6 +188,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents. Null and empty texts have no words. Rows may repeat and ids may be null; other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = vocabulary()
     counted = cut(rows.select("text").mapInArrow(_counter(index.hashes), "word int, n long"))

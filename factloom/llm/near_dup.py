@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import cut, shuffle_width
+from .scratch import cut, shuffle_width, small_batches
 
 COORDINATES = 192
 UNIVERSE = 1 << 20
@@ -39,7 +39,7 @@ BLOCK = 2000
 BLOCK_SHINGLES = 1_000_000
 _U = np.uint64
 
-_pi: np.ndarray | None = None
+_tables: dict[str, np.ndarray] = W.kept.setdefault("near_dup", {})
 
 
 def band_rows(threshold: float, coordinates: int = COORDINATES) -> int:
@@ -49,11 +49,10 @@ def band_rows(threshold: float, coordinates: int = COORDINATES) -> int:
 
 
 def _circulant() -> np.ndarray:
-    global _pi
-    if _pi is None:
+    if "pi" not in _tables:
         pi = np.random.default_rng(20).permutation(UNIVERSE).astype(np.int32)
-        _pi = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDINATES]]), COORDINATES)
-    return _pi
+        _tables["pi"] = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDINATES]]), COORDINATES)
+    return _tables["pi"]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -85,6 +84,7 @@ def _sketcher(size: int, rows: int):
     bands = COORDINATES // rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("near_dup")
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 sets = shingle_sets(part.column(1), size)
@@ -113,6 +113,7 @@ def _sketcher(size: int, rows: int):
 def _verifier(size: int, num: int, den: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered: a group's pivot (role 0), then its members."""
+        W.tidy("near_dup")
         group, pivots = None, []
         for batch in batches:
             for part in W.pieces(batch, "text"):
@@ -193,6 +194,7 @@ def links_across(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, rig
 def _linker(size: int, num: int, den: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by group; a group is one block of a bucket, or two."""
+        W.tidy("near_dup")
         group, rows = None, []
 
         def close() -> pa.RecordBatch:
@@ -236,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a link of one that stands for its set holds for all. Other columns are ignored; an
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     rows = band_rows(num / den)
     sketches = cut(docs.mapInArrow(_sketcher(shingle, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))

@@ -47,3 +47,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared checkpoint folder."""
     ensure_shared_dir(spark)
     return f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/{name}"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on; whole texts make Spark's default of 10,000 large.
+
+    Spark reads this setting of the session when a plan runs, so it stays set.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))

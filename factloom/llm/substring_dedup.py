@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import cut, cut_by
+from .scratch import cut, cut_by, small_batches
 
 BATCH_BYTES = 4 << 20
 _U = np.uint64
@@ -51,6 +51,7 @@ def lengths(window: int) -> list[int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.tidy("substring_dedup")
     context = TaskContext.get()
     part = (context.partitionId() if context else 0) << 32
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -231,6 +232,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are left out; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     store = cut_by(docs.mapInArrow(_pack, _BATCH), "part")
     buckets = min(max(store.count(), 1), 1 << 31)

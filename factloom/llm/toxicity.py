@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .language_id import held_out
+from .scratch import small_batches
 
 BUCKETS = 1 << 18
 #: Labelled documents that train the model, about so many, picked by a hash of the id; longer ones than this are not picked.
@@ -63,6 +64,7 @@ def _sentences(block: W.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.tidy("toxicity")
     for batch in batches:
         for part in W.pieces(batch, "text"):
             block = W.split(part.column(0), W.ALNUM, fold=True)
@@ -103,6 +105,7 @@ def train(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled documents outside the held-out fold; a document labelled twice is toxic if one label says so."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
@@ -122,11 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             toxic.append(r["toxic"])
     if not toxic:
         return Model(np.zeros(BUCKETS, np.float32), -6.0)
+    rows.clear()
     return train(np.concatenate(buckets).astype(np.int64), np.concatenate(sentence), np.concatenate(doc), np.array(toxic, dtype=float))
 
 
 def _scorer(model: Model, full: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("toxicity")
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 block = W.split(part.column(1), W.ALNUM, fold=True)
@@ -156,6 +161,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Sentences end at ``. ! ?`` or a line's end; only those with words count. Null and empty texts
     have none and score 0. Rows may repeat and ids may be null; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     more = ", offending array<string>" if full else ""
     return rows.mapInArrow(_scorer(model, full), f"doc_id long, score double, predicted int, n_sentences long, worst_sentence long{more}")

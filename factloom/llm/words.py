@@ -8,6 +8,9 @@ per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -170,3 +173,19 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[p
         upto = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
         yield batch.slice(row, upto - row)
         row = upto
+
+
+#: What operators keep in a worker between tasks, by operator: emptied when the worker goes on to another one.
+kept: dict[str, dict] = {}
+
+
+def tidy(operator: str) -> None:
+    """Call as a task begins: drop what other operators keep here, and give freed memory back to the system where the C library can."""
+    others = [x for name, x in kept.items() if name != operator and x]
+    for x in others:
+        x.clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
