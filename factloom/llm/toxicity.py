@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .language_id import held_out
-from .scratch import small_batches
+from .scratch import cut, small_batches
 
 BUCKETS = 1 << 18
 #: Labelled documents that train the model, about so many, picked by a hash of the id; longer ones than this are not picked.
@@ -73,38 +73,64 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([x[0] for x in words], pa.binary()), pa.array([x[1] for x in words], pa.binary())], names=["toxic", "buckets", "sentences"])
 
 
-def train(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> Model:
-    """Fit the noisy-or by gradient steps; ``buckets`` and ``sentence`` are each feature's, ``doc`` each sentence's, ``toxic`` each document's."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: in how many documents, and toxic ones, each bucket occurs."""
+    W.tidy("toxicity")
+    every, pos = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for toxic, buckets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = np.unique(np.frombuffer(buckets, dtype=np.int32))
+            every[found] += 1
+            pos[found] += toxic > 0
+    used = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(every[used]), pa.array(pos[used])], names=["bucket", "n", "pos"])
+
+
+def _pick(usable: np.ndarray):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("toxicity")
+        for batch in batches:
+            rows = []
+            for buckets, sentences in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                b, s = np.frombuffer(buckets, dtype=np.int32), np.frombuffer(sentences, dtype=np.int32)
+                keep = np.isin(b, usable)
+                rows.append((b[keep].tobytes(), np.repeat(s, 1 + len(PREFIXES))[keep].tobytes(), int(s[-1]) + 1 if len(s) else 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32())))], names=["toxic", "buckets", "sentences", "n_sentences"])
+
+    return pick
+
+
+def train(weights: np.ndarray, usable: np.ndarray, buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> Model:
+    """Fit the noisy-or by gradient steps from ``weights`` on; ``buckets`` and ``sentence`` are each feature's, ``doc`` each sentence's, ``toxic`` each document's."""
     docs = len(toxic)
-    cell = np.unique(doc[sentence] * BUCKETS + buckets)
-    n_pos, n_neg = max(toxic.sum(), 1), max(docs - toxic.sum(), 1)
-    pos = np.bincount(cell % BUCKETS, weights=toxic[cell // BUCKETS], minlength=BUCKETS)
-    every = np.bincount(cell % BUCKETS, minlength=BUCKETS)
-    chance = every * (toxic.sum() / docs)
-    usable = (pos >= LEAST_TOXIC) & (pos - chance >= LEAST_DEVIATIONS * np.sqrt(chance))
-    usable[0] = False
-    weights = np.where(usable, np.clip(np.log((pos + 0.5) / n_pos) - np.log((every - pos + 0.5) / n_neg), -1, 4) / 2, 0.0)
-    keep = usable[buckets]
-    buckets, sentence = buckets[keep], sentence[keep]
+    place = np.zeros(BUCKETS, dtype=np.int64)
+    place[usable] = np.arange(len(usable))
+    feature, fitted = place[buckets], weights[usable].astype(float)
     bias, rate = -6.0, 0.15
-    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    first, second = np.zeros(len(usable) + 1), np.zeros(len(usable) + 1)
     for step in range(1, ROUNDS + 1):
-        z = np.clip(bias + np.bincount(sentence, weights=weights[buckets], minlength=len(doc)), -30, 30)
+        z = np.clip(bias + np.bincount(sentence, weights=fitted[feature], minlength=len(doc)), -30, 30)
         clean = np.logaddexp(0, z)
         total = np.maximum(np.bincount(doc, weights=clean, minlength=docs), 1e-9)
         pull = np.where(toxic > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         dz = pull[doc] / (1 + np.exp(-z)) / docs
-        gradient = np.append(np.bincount(buckets, weights=dz[sentence], minlength=BUCKETS) + 1e-4 / docs * weights, dz.sum())
+        gradient = np.append(np.bincount(feature, weights=dz[sentence], minlength=len(usable)) + 1e-4 / docs * fitted, dz.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        weights -= np.where(usable, move[:-1], 0.0)
+        fitted -= move[:-1]
         bias -= move[-1]
-    return Model(weights.astype(np.float32), float(bias))
+    out = np.zeros(BUCKETS, dtype=np.float32)
+    out[usable] = fitted
+    return Model(out, float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from labelled documents outside the held-out fold; a document labelled twice is toxic if one label says so."""
+    """Learn from labelled documents outside the held-out fold; a document labelled twice is toxic if one label says so.
+
+    Features are counted where the sample is; only those that go with toxic labels, and their places,
+    come to the driver.
+    """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -112,21 +138,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < 1_000_000 * SAMPLE_DOCS / max(n, 1))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the bound of SAMPLE_DOCS rows makes the broadcast safe
-    rows = text.where(F.length("text") <= SAMPLE_MAX_CHARS).join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_extract, "toxic int, buckets binary, sentences binary").collect()
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["buckets"])))
-    buckets, sentence, doc, toxic, base = [], [], [], [], 0
-    for r in rows:
-        s = np.frombuffer(r["sentences"], dtype=np.int32).astype(np.int64)
-        if len(s):
-            buckets.append(np.frombuffer(r["buckets"], dtype=np.int32))
-            sentence.append(np.repeat(s + base, 1 + len(PREFIXES)))
-            doc.append(np.full(int(s[-1]) + 1, len(toxic)))
-            base += int(s[-1]) + 1
-            toxic.append(r["toxic"])
-    if not toxic:
+    sample = cut(text.where(F.length("text") <= SAMPLE_MAX_CHARS).join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(_extract, "toxic int, buckets binary, sentences binary"))
+    n_pos, n_all = sample.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
+    n_neg = max(n_all - n_pos, 1)
+    chance = F.col("n") * (n_pos / max(n_all, 1))
+    counted = sample.mapInArrow(_count, "bucket int, n long, pos long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    found = counted.where((F.col("bucket") > 0) & (F.col("pos") >= LEAST_TOXIC) & (F.col("pos") - chance >= LEAST_DEVIATIONS * F.sqrt(chance))).orderBy("bucket").collect()
+    weights = np.zeros(BUCKETS)
+    for r in found:
+        weights[r["bucket"]] = np.clip(np.log((r["pos"] + 0.5) / max(n_pos, 1)) - np.log((r["n"] - r["pos"] + 0.5) / n_neg), -1, 4) / 2
+    usable = np.array([r["bucket"] for r in found], dtype=np.int32)
+    rows = sample.mapInArrow(_pick(usable), "toxic int, buckets binary, sentences binary, n_sentences int").where("n_sentences > 0").collect() if len(usable) else []
+    if not rows:
         return Model(np.zeros(BUCKETS, np.float32), -6.0)
-    rows.clear()
-    return train(np.concatenate(buckets).astype(np.int64), np.concatenate(sentence), np.concatenate(doc), np.array(toxic, dtype=float))
+    rows.sort(key=lambda r: (r["toxic"], r["n_sentences"], bytes(r["buckets"]), bytes(r["sentences"])))
+    sizes = np.array([r["n_sentences"] for r in rows])
+    base = np.cumsum(sizes) - sizes
+    buckets = np.concatenate([np.frombuffer(r["buckets"], dtype=np.int32) for r in rows])
+    sentence = np.concatenate([np.frombuffer(r["sentences"], dtype=np.int32) + x for r, x in zip(rows, base, strict=True)])
+    return train(weights, usable, buckets, sentence, np.repeat(np.arange(len(rows)), sizes), np.array([r["toxic"] for r in rows], dtype=float))
 
 
 def _scorer(model: Model, full: bool):
