@@ -73,7 +73,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
         at = np.flatnonzero(ids != me)
         if len(at) > 4 * k:  # partial selection: nothing under the k-th score can be chosen
             at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
-        at = at[np.lexsort((ids[at], -row[at]))][:k]
+        at = at[np.lexsort((ids[at], ~row[at]))][:k]
         out.append((ids[at], row[at]))
     return out
 
@@ -94,7 +94,7 @@ def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int):
                         if len(old) == k and (not len(new) or new[0] < old[-1]):
                             continue
                         both_ids, both = np.concatenate([old_ids, new_ids]), np.concatenate([old, new])
-                        keep = np.lexsort((both_ids, -both))[:k]
+                        keep = np.lexsort((both_ids, ~both))[:k]
                         top[i] = both_ids[keep], both[keep]
         n = np.array([len(x) for x, _ in top])
         yield pa.RecordBatch.from_arrays(
