@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut_in_loop, salted_join
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,16 +33,16 @@ def suffix_intervals(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """For k = 1, 2, 4, ... the suffixes in intervals of a common prefix of k lines or more: ``(doc_id, line, name, first)``.
 
     ``name`` orders the interval, ``first`` is its suffix of the smallest (document, line). Ends after the
-    last k that has any. Intervals are counted in part before the shuffle, and a suffix is joined with
-    its interval, so that one of very many suffixes is spread over tasks.
+    last k that has any. Intervals are counted in part before the shuffle, and the suffixes of one
+    that has very many are dealt to several tasks where they meet it.
     """
     k, suffixes = 1, lines
     while True:
         found = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-        interval = cut(found.where("n > 1").select("name", "first"))
+        interval = cut_in_loop(found.where("n > 1").select("name", "first", "n"))
         if interval.isEmpty():
             return
-        shared = cut(suffixes.join(interval, "name").select("doc_id", "line", "name", "first").distinct())
+        shared = cut_in_loop(salted_join(suffixes, interval, ["name"], "n").select("doc_id", "line", "name", "first").distinct())
         yield k, shared
         ahead = shared.select("doc_id", (F.col("line") - k).alias("line"), F.col("name").alias("next"))
         suffixes = shared.join(ahead, ["doc_id", "line"]).select("doc_id", "line", F.xxhash64("name", "next").alias("name"))

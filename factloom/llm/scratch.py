@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
@@ -49,6 +51,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/{name}"
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again.
+
+    A checkpoint keeps Spark's estimate of its size, a product over joins: in a loop of joins its number of
+    digits grows by a factor each round, and after some ten rounds planning does not end. A table's
+    size is that of its files.
+    """
+    path = shared_path(df.sparkSession, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most ``rows`` rows from now on; whole texts make Spark's default of 10,000 large.
 
@@ -57,3 +71,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
+
+
+#: A key of more than 1 / SHARE of all rows is dealt to several tasks; there can be no more than SHARE of these.
+SHARE = 10_000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and in ``weight`` how many of ``rows`` have it.
+
+    The rows of a frequent key are dealt by a hash of their other columns, and its row of the table is
+    repeated for each share. Frequent keys are fewer than ``SHARE`` at any size, so they go to every executor.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    salts = F.ceil(F.col(weight) / F.lit(max(1, total // SHARE))).cast("int")
+    hot = table.where(salts > 1).select(*keys, salts.alias("_salts"))
+    others = [c for c in rows.columns if c not in keys]
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
