@@ -53,7 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(doc_id, text, n_lines, n_removed, shared_run)`` and the columns named in ``carry``: each row's text without later copies of runs of ``min_lines`` lines or more.
 
     Lines end at a line feed. Runs lie within one document; they may repeat within it or in another.
-    The copy of the smallest (document, line) stays. Kept lines are joined by line feeds; a text of
+    The copy of the smallest (document, line) stays, but for lines that a later copy overlaps. Kept lines are joined by line feeds; a text of
     which nothing is kept is empty. ``shared_run`` is the largest power of two for which a run of so many
     of its lines stands twice, first copies included, 0 for none. ``min_lines`` is a power of two. A null text stays null, with 0 lines. Rows without an id are left
     out. Rows that repeat an id are one document and no copies of each other; lines found to be later
