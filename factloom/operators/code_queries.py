@@ -9,7 +9,7 @@ from factloom.errors import InvalidArgument
 from factloom.functions.predicates import match_rank, scope_matches
 
 from .envelope import first_by, first_sites
-from .graph import reach
+from .graph import paths, reach
 
 
 def search_symbols(symbols: DataFrame, query: str) -> DataFrame:
@@ -118,3 +118,73 @@ def health(facts: DataFrame, per: int) -> DataFrame:
     counts = facts.groupBy("project", "dimension").agg(F.count("*").alias("n"))
     worst = first_sites(facts.withColumn("minus", -F.col("weight")), ["project", "dimension"], ["minus", "item"], per)
     return worst.join(counts, ["project", "dimension"]).select("project", "dimension", "n", "site", "item", "weight")
+
+
+def exception_flow(calls: DataFrame, root: DataFrame, throws: DataFrame, catches: DataFrame, max_depth: int = 3) -> DataFrame:
+    """What ``root(node)`` may let out: ``(node, exception, depth, path, caught_by)``, ``caught_by`` null if it escapes.
+
+    A throw ``(node, exception)`` goes outward along the call chain; the innermost method of the chain
+    with a clause ``(node, exception)`` for it, or for all (null), catches it. Of several chains to a method the
+    shortest counts, of these the smallest.
+    """
+    start = root.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
+    chains = start.unionByName(paths(calls, root, max_depth)).groupBy("node").agg(F.min(F.struct("depth", "path")).alias("c"))
+    raised = chains.select("node", "c.depth", "c.path").join(throws.select("node", "exception").distinct(), "node")
+    frames = raised.select("node", "exception", F.posexplode("path").alias("at", "frame"))
+    clauses = catches.select(F.col("node").alias("frame"), F.col("exception").alias("clause"))
+    held = frames.join(clauses, "frame").where("clause is null or clause = exception")
+    caught = held.groupBy("node", "exception").agg(F.max_by("frame", "at").alias("caught_by"))
+    return raised.join(caught, ["node", "exception"], "left").select("node", "exception", "depth", "path", "caught_by")
+
+
+def extension_methods(tree: DataFrame, of: DataFrame, methods: DataFrame) -> DataFrame:
+    """Methods ``(receiver, name, ...)`` that fit ``of(node)`` or a type above it in ``tree(src, dst)``, with the distance of their receiver."""
+    return methods.join(reach(tree, of).select(F.col("node").alias("receiver"), F.col("depth").alias("distance")), "receiver")
+
+
+def data_flow(accesses: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """Of ``(scope, var, at, writes)``, variables that a region from ``start`` to before ``stop`` touches, and how.
+
+    Straight-line order: one flows in if it was written before and read inside before any write inside, out
+    if it is written inside and read after. One aggregation, whatever the number of variables.
+    """
+    at, writes = F.col("at"), F.col("writes")
+    inside, before, after = (at >= start) & (at < stop), at < start, at >= stop
+    seen = accesses.groupBy("scope", "var").agg(
+        F.min(F.when(inside & ~writes, at)).alias("first_read"),
+        F.min(F.when(inside & writes, at)).alias("first_write"),
+        F.coalesce(F.max(before & writes), F.lit(False)).alias("written_before"),
+        F.coalesce(F.max(after & ~writes), F.lit(False)).alias("read_after"),
+        F.coalesce(F.max(before | after), F.lit(False)).alias("used_outside"),
+    )
+    exposed = F.col("first_read").isNotNull() & (F.col("first_write").isNull() | (F.col("first_read") <= F.col("first_write")))
+    return seen.where("first_read is not null or first_write is not null").select(
+        "scope",
+        "var",
+        F.col("first_read").isNotNull().alias("read_inside"),
+        F.col("first_write").isNotNull().alias("written_inside"),
+        (F.col("written_before") & exposed).alias("flows_in"),
+        (F.col("first_write").isNotNull() & F.col("read_after")).alias("flows_out"),
+        "used_outside",
+    )
+
+
+def rename_plan(symbols: DataFrame, occurrences: DataFrame, targets: DataFrame, new_name: str) -> DataFrame:
+    """Edits and conflicts of a rename, not applied: ``(what, file, line, col, old, new)``.
+
+    Each place of the targets is one edit; a symbol ``(target, name, container)`` that bears the new name in a
+    target's container is a conflict.
+    """
+    if not new_name.strip():
+        raise InvalidArgument("a new name is needed", newName=new_name)
+    renamed = symbols.join(targets, "target", "left_semi").select("target", F.col("name").alias("old"), "container")
+    edits = occurrences.select("target", "file", "line", "col").distinct().join(renamed, "target")
+    edits = edits.select(F.lit("edit").alias("what"), "file", "line", "col", "old", F.lit(new_name).alias("new"))
+    others = symbols.where(F.col("name") == new_name).join(targets, "target", "left_anti").select(F.col("target").alias("id"), "name", "container")
+    clashes = others.join(renamed.select("container").distinct(), "container")
+    return edits.unionByName(clashes.select(F.lit("conflict").alias("what"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("int").alias("line"), F.col("id").cast("string").alias("col"), F.col("name").alias("old"), F.lit(new_name).alias("new")))
+
+
+def assembly_summary(types: DataFrame) -> DataFrame:
+    """Namespaces of public types ``(namespace, name)``: ``(namespace, n_types, names)``, names distinct and sorted."""
+    return types.groupBy("namespace").agg(F.count("*").alias("n_types"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))

@@ -413,3 +413,49 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY target, project ORDER BY file, line, col) AS site FROM ({_OCC})) SELECT target, project, CAST(site AS INT) AS site, file, line FROM r WHERE site <= 2")
 def first_references(spark: SparkSession, d: str) -> DataFrame:
     return first_sites(_occurrences(spark, d), ["target", "project"], ["file", "line", "col"], 2).select("target", "project", "site", "file", "line")
+
+
+@_query(f"""WITH RECURSIVE e AS ({_EDGES}), c(node, depth, path) AS (SELECT CAST(77 AS BIGINT), 0, [CAST(77 AS BIGINT)] UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM c JOIN e ON node = src WHERE depth < 3 AND NOT list_contains(path, dst)),
+s AS (SELECT node, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS r FROM c) WHERE r = 1),
+t AS (SELECT node, p_type AS exception, depth, path FROM s JOIN part ON node = p_partkey WHERE p_size >= 20 OR node = 77),
+f AS (SELECT node, exception, unnest(path) AS frame, unnest(range(1, len(path) + 1)) AS pos FROM t),
+k AS (SELECT p_partkey AS frame, CASE WHEN p_size % 2 = 0 THEN p_type END AS clause FROM part WHERE p_size <= 30),
+h AS (SELECT node, arg_max(frame, pos) AS caught_by FROM f JOIN k USING (frame) WHERE clause IS NULL OR clause = exception GROUP BY node)
+SELECT node, exception, depth, array_to_string(path, '>') AS chain, caught_by FROM t LEFT JOIN h USING (node)""")
+def get_exception_flow(spark: SparkSession, d: str) -> DataFrame:
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("exception"), "p_size")
+    clauses = part.where("p_size <= 30").select("node", F.when(F.col("p_size") % 2 == 0, F.col("exception")).alias("exception"))
+    found = Q.exception_flow(_calls(spark, d), spark.createDataFrame([(77,)], "node long"), part.where("p_size >= 20 or node = 77"), clauses)
+    return found.select("node", "exception", "depth", F.array_join("path", ">").alias("chain"), "caught_by")
+
+
+@_query("SELECT receiver, name, CAST(distance AS INT) AS distance FROM (SELECT 'N' || s_nationkey AS receiver, s_name AS name FROM supplier UNION ALL SELECT 'R' || r_regionkey, r_name FROM region) JOIN (SELECT 'N' || c_nationkey AS receiver, 1 AS distance FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'R' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7) USING (receiver) ORDER BY distance, name, receiver LIMIT 100")
+def get_extension_methods(spark: SparkSession, d: str) -> DataFrame:
+    own = _t(spark, d, "supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("receiver"), F.col("s_name").alias("name"))
+    methods = own.unionByName(_t(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("receiver"), F.col("r_name").alias("name")))
+    rows = Q.extension_methods(_tree(spark, d), spark.createDataFrame([("C7",)], "node string"), methods)
+    return list_result(rows, [F.col("distance"), F.col("name"), F.col("receiver")], 100).items
+
+
+_ACCESS = "SELECT l_suppkey AS scope, l_linenumber AS var, l_shipdate AS seen, l_returnflag = 'R' AS writes FROM lineitem"
+_IN = "seen >= TIMESTAMP '1997-01-01' AND seen < TIMESTAMP '1997-04-01'"
+
+
+@_query(f"""WITH s AS (SELECT scope, var, min(seen) FILTER ({_IN} AND NOT writes) AS r, min(seen) FILTER ({_IN} AND writes) AS w, bool_or(seen < TIMESTAMP '1997-01-01' AND writes) AS wb, bool_or(seen >= TIMESTAMP '1997-04-01' AND NOT writes) AS ra, bool_or(NOT ({_IN})) AS used_outside FROM ({_ACCESS}) GROUP BY scope, var)
+SELECT scope, var, r IS NOT NULL AS read_inside, w IS NOT NULL AS written_inside, wb AND r IS NOT NULL AND (w IS NULL OR r <= w) AS flows_in, w IS NOT NULL AND ra AS flows_out, used_outside FROM s WHERE r IS NOT NULL OR w IS NOT NULL""")
+def analyze_data_flow(spark: SparkSession, d: str) -> DataFrame:
+    accesses = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("scope"), F.col("l_linenumber").alias("var"), F.col("l_shipdate").alias("at"), (F.col("l_returnflag") == "R").alias("writes"))
+    return Q.data_flow(accesses, F.lit("1997-01-01").cast("timestamp"), F.lit("1997-04-01").cast("timestamp"))
+
+
+@_query(f"WITH t AS (SELECT * FROM part WHERE p_partkey = 77), n AS (SELECT min(p_name) AS name FROM part WHERE p_brand = (SELECT p_brand FROM t) AND p_partkey <> 77) SELECT DISTINCT 'edit' AS what, file, line, col, (SELECT p_name FROM t) AS old, (SELECT name FROM n) AS new FROM ({_OCC}) WHERE target = 77 UNION ALL SELECT 'conflict', NULL, NULL, CAST(p_partkey AS VARCHAR), p_name, p_name FROM part WHERE p_brand = (SELECT p_brand FROM t) AND p_name = (SELECT name FROM n) AND p_partkey <> 77")
+def rename_symbol(spark: SparkSession, d: str) -> DataFrame:
+    symbols = _t(spark, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("name"), F.col("p_brand").alias("container"))
+    brand = symbols.where("target = 77").select("container")
+    taken = symbols.join(brand, "container", "left_semi").where("target <> 77").agg(F.min("name")).first()[0]
+    return Q.rename_plan(symbols, _occurrences(spark, d), _targets(spark, d, "p_partkey = 77"), taken or "renamed")
+
+
+@_query("SELECT p_brand AS namespace, count(*) AS n_types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM part GROUP BY p_brand")
+def inspect_external_assembly(spark: SparkSession, d: str) -> DataFrame:
+    return Q.assembly_summary(_t(spark, d, "part").select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("name")))

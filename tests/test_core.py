@@ -264,3 +264,26 @@ def test_tasks():
 def test_driver_queries_have_sql():
     assert set(driver_queries.QUERIES) == set(driver_queries.ORACLE_SQL) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_exception_flow(spark):
+    calls = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src int, dst int")
+    throws = spark.createDataFrame([(3, "A"), (4, "B"), (4, "C")], "node int, exception string")
+    catches = spark.createDataFrame([(1, "A"), (3, "B"), (1, "B")], "node int, exception string")
+    got = {(r.node, r.exception): (r.path, r.caught_by) for r in Q.exception_flow(calls, seed(spark, 1), throws, catches).collect()}
+    assert got == {(3, "A"): ([1, 3], 1), (4, "B"): ([1, 3, 4], 3), (4, "C"): ([1, 3, 4], None)}
+
+
+def test_data_flow(spark):
+    rows = spark.createDataFrame([("f", "a", 1, True), ("f", "a", 5, False), ("f", "b", 5, True), ("f", "b", 6, False), ("f", "b", 9, False), ("f", "c", 9, True)], "scope string, var string, at int, writes boolean")
+    got = {r["var"]: (r.flows_in, r.flows_out, r.used_outside) for r in Q.data_flow(rows, F.lit(4), F.lit(8)).collect()}
+    assert got == {"a": (True, False, True), "b": (False, True, True)}
+
+
+def test_rename_plan(spark):
+    symbols = spark.createDataFrame([(1, "X", "T"), (2, "Y", "T"), (3, "Y", "U")], "target long, name string, container string")
+    places = spark.createDataFrame([(1, 10, 1, "p"), (1, 10, 1, "p"), (2, 11, 1, "q")], "target long, file long, line int, col string")
+    got = sorted((r.what, r.col) for r in Q.rename_plan(symbols, places, spark.createDataFrame([(1,)], "target long"), "Y").collect())
+    assert got == [("conflict", "2"), ("edit", "p")]
+    with pytest.raises(errors.InvalidArgument):
+        Q.rename_plan(symbols, places, symbols.select("target"), " ")
