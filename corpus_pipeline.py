@@ -35,9 +35,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of line runs; documents of which no word is left go."""
+    """Delete later copies of runs of two lines or more and of single lines of more than 50 words; documents of which no word is left go."""
     docs = _documents(docs)
-    out = line_dedup.line_dedup(docs, min_lines=2, carry=["lang", "source"])
+    out = line_dedup.line_dedup(docs, min_lines=2, carry=["lang", "source"], lone_words=50)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

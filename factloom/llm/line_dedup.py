@@ -23,17 +23,21 @@ from pyspark.sql import functions as F
 from .scratch import cut_in_loop, salted_join
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line, name)``: the lines of each text, numbered from 0, with a 64-bit id of their bytes."""
-    ids = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(x))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ids).alias("line", "name"))
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lone_words: int | None = None) -> DataFrame:
+    """``(doc_id, line, name)``: the lines of each text, numbered from 0, with a 64-bit id of their bytes; with ``lone_words`` also ``lone``, whether the line has more words than that."""
+    split = F.split(F.col(text_col), "\n", -1)
+    if lone_words is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.transform(split, lambda x: F.xxhash64(x))).alias("line", "name"))
+    more = rf"\A\s*+(?:\S++\s++){{{lone_words}}}\S"
+    ids = F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("name"), x.rlike(more).alias("lone")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ids).alias("line", "x")).select("doc_id", "line", "x.name", "x.lone")
 
 
 def suffix_intervals(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
     """For k = 1, 2, 4, ... the suffixes in intervals of a common prefix of k lines or more: ``(doc_id, line, name, first)``.
 
-    ``name`` orders the interval, ``first`` is its suffix of the smallest (document, line). Ends after the
-    last k that has any. Intervals are counted in part before the shuffle, and the suffixes of one
+    ``name`` orders the interval, ``first`` is its suffix of the smallest (document, line). At k = 1 other
+    columns of ``lines`` are kept. Ends after the last k that has any. Intervals are counted in part before the shuffle, and the suffixes of one
     that has very many are dealt to several tasks where they meet it.
     """
     k, suffixes = 1, lines
@@ -42,17 +46,17 @@ def suffix_intervals(lines: DataFrame) -> Iterator[tuple[int, DataFrame]]:
         interval = cut_in_loop(found.where("n > 1").select("name", "first", "n"))
         if interval.isEmpty():
             return
-        shared = cut_in_loop(salted_join(suffixes, interval, ["name"], "n").select("doc_id", "line", "name", "first").distinct())
+        shared = cut_in_loop(salted_join(suffixes, interval, ["name"], "n").select(*suffixes.columns, "first").distinct())
         yield k, shared
         ahead = shared.select("doc_id", (F.col("line") - k).alias("line"), F.col("name").alias("next"))
         suffixes = shared.join(ahead, ["doc_id", "line"]).select("doc_id", "line", F.xxhash64("name", "next").alias("name"))
         k *= 2
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: list[str] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, carry: list[str] = (), lone_words: int | None = None) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed, shared_run)`` and the columns named in ``carry``: each row's text without later copies of runs of ``min_lines`` lines or more.
 
-    Lines end at a line feed. Runs lie within one document; they may repeat within it or in another.
+    With ``lone_words``, a line of more words than that is a run by itself. Lines end at a line feed. Runs lie within one document; they may repeat within it or in another.
     The copy of the smallest (document, line) stays, but for lines that a later copy overlaps. Kept lines are joined by line feeds; a text of
     which nothing is kept is empty. ``shared_run`` is the largest power of two for which a run of so many
     of its lines stands twice, first copies included, 0 for none. ``min_lines`` is a power of two. A null text stays null, with 0 lines. Rows without an id are left
@@ -63,12 +67,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     empty = docs.sparkSession.createDataFrame([], "doc_id long, line int, k int")
-    later, depths = empty, [empty.select("doc_id", "k")]
-    for k, shared in suffix_intervals(lines_of(rows)):
+    later, lone, depths = empty, empty, [empty.select("doc_id", "k")]
+    for k, shared in suffix_intervals(lines_of(rows, lone_words=lone_words)):
         depths.append(shared.select("doc_id", F.lit(k).alias("k")))
+        copies = shared.where(F.struct("doc_id", "line") > F.col("first"))
         if k == min_lines:
-            later = shared.where(F.struct("doc_id", "line") > F.col("first"))
+            later = copies
+        elif k == 1 and lone_words is not None:
+            lone = copies.where("lone")
     gone = later.select("doc_id", F.explode(F.sequence("line", F.col("line") + (min_lines - 1))).alias("line"))
+    if lone_words is not None:
+        gone = gone.unionByName(lone.select("doc_id", "line"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     depth = reduce(DataFrame.unionByName, depths).groupBy("doc_id").agg(F.max("k").alias("depth"))
     marks = depth.join(gone, "doc_id", "left")

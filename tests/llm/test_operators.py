@@ -260,6 +260,16 @@ def test_line_dedup(spark, m):
         line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=3)
 
 
+def test_line_dedup_of_single_lines(spark):
+    """A line of more words than ``lone_words`` is a run by itself; a shorter one alone is not."""
+    long, other, short = (" ".join(f"{w}{k}" for k in range(n)) for w, n in (("a", 51), ("b", 51), ("c", 50)))
+    rows = [(1, f"x\n{long}\ny"), (2, f"p\n \t{long}\nq"), (3, f"p\n{long}\nq\n{short}"), (4, long), (5, f"{short}\nz\n{other}\n{other}"), (6, f"{other}\n{long}\nr"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(docs, lone_words=50).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (1, f"p\nq\n{short}"), 4: (1, ""), 5: (1, f"{short}\nz\n{other}"), 6: (2, "r"), 7: (0, None)}
+    assert all(r.n_removed == 0 for r in line_dedup.line_dedup(docs).collect())
+
+
 def test_line_dedup_of_long_runs(spark):
     """Planning stays short over many rounds; the frequent line is dealt to several tasks."""
     long = "q\n" * 2500

@@ -41,6 +41,13 @@ def test_run(spark, folder):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i, r in out.items())
 
 
+def test_lone_copies_of_long_lines_go(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"one\n{long}\ntwo", "en", "s", 1), (2, f"three\n{long}\nfour", "en", "s", 1), (3, long, "en", "s", 1)]
+    out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "three\nfour"}
+
+
 def test_every_query_is_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
