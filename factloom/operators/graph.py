@@ -74,6 +74,37 @@ def simple_cycles(edges: DataFrame, max_length: int) -> DataFrame:
     return out
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)``: every node on a cycle of any length; ``component`` is the smallest node of its strongly connected component.
+
+    Rounds of colouring: nodes that no cycle can hold are trimmed, each node takes the smallest node that
+    reaches it as colour, and what reaches a colour's own node within the colour is one component.
+    """
+    steps = edges.select("src", "dst").distinct()
+    loops = _cut(steps.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    rest, found = _cut(steps.where("src <> dst")), loops.limit(0)
+    while True:
+        n, before = rest.count(), None
+        while n and n != before:
+            rest = _cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            n, before = rest.count(), n
+        if not n:
+            return found.unionByName(loops.join(found, "node", "left_anti"))
+        colours = _cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("component", F.col("node")))
+        moved = True
+        while moved:
+            came = rest.join(colours.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("least"))
+            new = _cut(colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
+            colours, moved = new.drop("moved"), not new.where("moved").isEmpty()
+        heads = colours.select(F.col("node").alias("src"), F.col("component").alias("head"))
+        tails = colours.select(F.col("node").alias("dst"), F.col("component").alias("tail"))
+        inner = _cut(rest.join(heads, "src").join(tails, "dst").where("head = tail").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        group = _cut(colours.join(reach(inner, colours.where("node = component")), "node", "left_semi"))
+        several = group.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+        found = _cut(found.unionByName(group.join(several, "component", "left_semi").select("node", "component")))
+        rest = _cut(rest.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: the longest path down to a leaf; nodes on or above a cycle get 0."""
     settled = _cut(nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti").distinct().withColumn("level", F.lit(0)))

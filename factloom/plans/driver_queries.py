@@ -204,6 +204,14 @@ def find_circular_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return graph.simple_cycles(_calls(spark, d), 4).select("length", F.array_join("cycle", ">").alias("cycle"))
 
 
+@_query(f"""WITH RECURSIVE e AS ({_EDGES}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src)
+SELECT r.a AS node, min(r.b) AS component, count(*) AS size FROM r JOIN r AS back ON back.a = r.b AND back.b = r.a GROUP BY r.a""")
+def circular_components(spark: SparkSession, d: str) -> DataFrame:
+    """Beside ``find_circular_dependencies``: every node on a cycle of any length, with its strongly connected component and the size of that."""
+    found = graph.components(_calls(spark, d))
+    return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
 _TESTS = "SELECT p_partkey FROM part WHERE p_brand = 'Brand#11'"
 
 

@@ -1,5 +1,6 @@
 """Operators, sources and plans on small literal inputs; an empty result always has a twin that is not."""
 
+import random
 import time
 
 import pytest
@@ -287,3 +288,17 @@ def test_rename_plan(spark):
     assert got == [("conflict", "2"), ("edit", "p")]
     with pytest.raises(errors.InvalidArgument):
         Q.rename_plan(symbols, places, symbols.select("target"), " ")
+
+
+def test_components_have_cycles_of_any_length(spark):
+    rnd = random.Random(5)
+    pairs = {(k, k % 9 + 1) for k in range(1, 10)} | {(9, 20), (20, 21), (21, 30), (40, 40), (50, 51), (51, 50), (50, 50), (51, 1)} | {(a, a + rnd.randint(1, 9)) for a in range(100, 120)}
+    pairs |= {(rnd.randint(200, 230), rnd.randint(200, 230)) for _ in range(40)}
+    reached = {a: {y for x, y in pairs if x == a} for a, _ in pairs}
+    for _ in range(60):
+        reached = {a: to.union(*(reached.get(b, set()) for b in to)) for a, to in reached.items()}
+    want = {a: min(b for b in to if a in reached.get(b, ())) for a, to in reached.items() if a in to}
+    got = [tuple(r) for r in graph.components(spark.createDataFrame(sorted(pairs), "src long, dst long")).select("node", "component").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert [want[k] for k in (1, 9, 40, 51)] == [1, 1, 40, 50] and not {20, 21, 30} & set(want)
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).collect() == []
