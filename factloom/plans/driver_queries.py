@@ -400,6 +400,15 @@ def get_method_source(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(parts, "request", "left").groupBy("request").agg(F.when(n == 0, "notFound").when(n == 1, "ok").otherwise("ambiguous").alias("status"), n.alias("n"))
 
 
+@_query("SELECT name AS request, CASE count(p_partkey) WHEN 0 THEN 'notFound' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status, count(p_partkey) AS n FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL UNION SELECT 'no such part') LEFT JOIN part ON p_name = name GROUP BY name")
+def get_method_source_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``get_method_source``, with every distinct name requested and all of ``part`` to resolve against."""
+    parts = _t(spark, d, "part").where("p_name is not null").groupBy(F.col("p_name").alias("request")).agg(F.count("p_partkey").alias("found"))
+    asked = parts.select("request").unionByName(spark.createDataFrame([("no such part",)], "request string")).distinct()
+    n = F.coalesce("found", F.lit(0))
+    return asked.join(parts, "request", "left").select("request", F.when(n == 0, "notFound").when(n == 1, "ok").otherwise("ambiguous").alias("status"), n.alias("n"))
+
+
 @_query("SELECT 'constructor' AS how, p_partkey AS id FROM part WHERE p_brand = 'Brand#11' UNION ALL SELECT 'factory', l_suppkey FROM (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' AND l_quantity >= 49)")
 def get_instantiation_options(spark: SparkSession, d: str) -> DataFrame:
     own = _t(spark, d, "part").where("p_brand = 'Brand#11'").select("p_partkey")

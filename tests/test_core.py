@@ -302,3 +302,10 @@ def test_components_have_cycles_of_any_length(spark):
     assert len(got) == len(want) and dict(got) == want
     assert [want[k] for k in (1, 9, 40, 51)] == [1, 1, 40, 50] and not {20, 21, 30} & set(want)
     assert graph.components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_requests_resolve_against_the_whole_table(spark, tmp_path):
+    rows = [(1, "a", 1), (2, "a", 40), (3, "b", 2), (4, "c", 50), (5, None, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.request: (r.status, r.n) for r in driver_queries.QUERIES["get_method_source_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": ("ambiguous", 2), "b": ("ok", 1), "c": ("ok", 1), "no such part": ("notFound", 0)}
