@@ -208,6 +208,18 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_language_id_judges_short_texts(spark):
+    """Texts of few trigrams in a script that no training text has go, short clean ones and long ones of few words stay."""
+    docs = labelled(spark).select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    far = ["Сегодня хорошая погода, мы идём гулять", "Привет", "今天天气很好。", "我们去公园散步吧", "Καλημέρα σας", "안녕하세요"]
+    own = [" ".join(words.split()[k : k + 3]) for words in LANGS.values() for k in range(0, 6, 2)] + [" ".join(LANGS["aa"].split()[:2] * 300), "a"]
+    rows = spark.createDataFrame(list(enumerate(far + own)), "doc_id long, text string")
+    got = {r.doc_id: r.rejected for r in language_id.predict(rows, model, {"doc_id": "long"}).collect()}
+    assert [got[k] for k in range(len(far))] == [True] * len(far)
+    assert not any(got[k] for k in range(len(far), len(far + own)))
+
+
 def test_toxicity(spark, none):
     docs = labelled(spark)
     model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
