@@ -56,9 +56,9 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of two lines or more."""
-    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), min_lines=2)
-    return out.select("doc_id", "n_lines", "n_removed", "shared_run", F.sha2("text", 256).alias("kept_sha256"))
+    """Documents without later copies of runs of two lines or more, and of single lines of more than 50 words."""
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"), min_lines=2, lone_words=50)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "shared_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +122,25 @@ SELECT pair_id, side, turn, coalesce(role, 'unknown') AS role,
 FROM sides
 """
 
-_OP8 = """
+_OP8 = r"""
 WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL),
-ids AS (SELECT doc_id, list_transform(l, lambda x: CAST(hash(x) AS VARCHAR)) AS l FROM rows),
-suffixes AS (SELECT doc_id, k, p, array_to_string(l[p:p + k - 1], ' ') AS prefix
-             FROM (SELECT doc_id, l, k, unnest(range(1, len(l) - k + 2)) AS p FROM ids, (SELECT CAST(unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS INT) AS k) WHERE k <= len(l))),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY k, prefix ORDER BY doc_id, p) AS r, count(*) OVER (PARTITION BY k, prefix) AS n FROM suffixes),
-gone AS (SELECT doc_id, list(DISTINCT p + d) AS ps FROM ranked, (SELECT unnest([0, 1]) AS d) WHERE k = 2 AND r > 1 GROUP BY doc_id),
+powers AS (SELECT CAST(pow(2, unnest(range(0, 1 + CAST(ceil(log2(greatest(max(len(l)), 1))) AS INT)))) AS INT) AS k FROM rows),
+ids AS (SELECT doc_id, list_transform(l, lambda x: CAST(hash(x) AS VARCHAR)) AS h, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 50) AS lone FROM rows),
+suffixes AS (SELECT doc_id, k, p, lone[p] AS lone, array_to_string(h[p:p + k - 1], ' ') AS prefix
+             FROM (SELECT doc_id, h, lone, k, unnest(range(1, len(h) - k + 2)) AS p FROM ids, powers WHERE k <= len(h))),
+ranked AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY k, prefix) AS n, first_value(doc_id) OVER w AS of_doc, first_value(p) OVER w AS of_p
+           FROM suffixes WINDOW w AS (PARTITION BY k, prefix ORDER BY doc_id, p)),
+lines AS (SELECT doc_id, p + unnest([0, 1]) AS p FROM ranked WHERE k = 2 AND r > 1 UNION SELECT doc_id, p FROM ranked WHERE k = 1 AND r > 1 AND lone),
+gone AS (SELECT doc_id, list(p) AS ps FROM lines GROUP BY doc_id),
+deepest AS (SELECT doc_id, p, max(k) AS k, arg_max(of_doc, k) AS of_doc, arg_max(of_p, k) AS of_p FROM ranked WHERE k >= 2 AND r > 1 GROUP BY doc_id, p),
+heads AS (SELECT *, CASE WHEN lag(p) OVER w = p - 1 AND lag(of_doc) OVER w = of_doc AND lag(of_p) OVER w = of_p - 1 THEN 0 ELSE 1 END AS head FROM deepest WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+islands AS (SELECT doc_id, min(p) AS start, max(p + k) AS stop FROM (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM heads) GROUP BY doc_id, run),
+runs AS (SELECT doc_id, count(*) AS n_runs, max(stop - start) AS longest_run
+         FROM (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM islands) WHERE reach IS NULL OR stop > reach GROUP BY doc_id),
 depth AS (SELECT doc_id, max(k) AS shared_run FROM ranked WHERE n > 1 GROUP BY doc_id)
-SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(ps), 0) AS n_removed, coalesce(shared_run, 0) AS shared_run,
+SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(ps), 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, coalesce(shared_run, 0) AS shared_run,
        sha256(CASE WHEN ps IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(ps, i)), lambda i: l[i]), chr(10)), '') END) AS kept_sha256
-FROM rows LEFT JOIN gone USING (doc_id) LEFT JOIN depth USING (doc_id)
+FROM rows LEFT JOIN gone USING (doc_id) LEFT JOIN depth USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
 
 _OP10 = """

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def ensure_shared_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only where it is unset (tests) make a folder of our own."""
+    """Use the session's ``spark.checkpoint.dir``; where it is unset, make a folder of our own in local mode and refuse on a cluster."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
 
 
@@ -46,9 +49,12 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared checkpoint folder."""
+    """A path in the shared checkpoint folder; what is there is removed when the session's JVM ends."""
     ensure_shared_dir(spark)
-    return f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/{name}"
+    path = f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/{name}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut_in_loop(df: DataFrame) -> DataFrame:
@@ -63,6 +69,27 @@ def cut_in_loop(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_sum(df: DataFrame, weight: str) -> tuple[DataFrame, int, int]:
+    """``cut_in_loop``, with the sum and the largest of ``weight``, seen while it is written (0 without rows)."""
+    seen = Observation()
+    table = cut_in_loop(df.observe(seen, F.sum(weight).alias("total"), F.max(weight).alias("most")))
+    return table, seen.get["total"] or 0, seen.get["most"] or 0
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, name: str = "row") -> DataFrame:
+    """``docs`` with a long ``name`` that no two rows share and no row lacks, in order of ``id_col``.
+
+    It is the id itself if ids are so. Otherwise rows are sorted by id, rows without one last, and by a hash
+    of the text within an id, numbered and written, so that a lost task can't number them anew.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or id is null").isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    place = docs.withColumn(name, F.monotonically_increasing_id())
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.xxhash64(text_col), F.col(name)]
+    return cut_in_loop(place.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most ``rows`` rows from now on; whole texts make Spark's default of 10,000 large.
 
@@ -77,14 +104,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 SHARE = 10_000
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, most: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row for each key and in ``weight`` how many of ``rows`` have it.
 
-    The rows of a frequent key are dealt by a hash of their other columns, and its row of the table is
-    repeated for each share. Frequent keys are fewer than ``SHARE`` at any size, so they go to every executor.
+    ``total`` and ``most`` are the sum and the largest of the weights. The rows of a frequent key are dealt
+    by a hash of their other columns, and its row of the table is repeated for each share. Frequent keys
+    are fewer than ``SHARE`` at any size, so they go to every executor.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    salts = F.ceil(F.col(weight) / F.lit(max(1, total // SHARE))).cast("int")
+    share = max(1, total // SHARE)
+    if most <= share:
+        return rows.join(table, keys)
+    salts = F.ceil(F.col(weight) / F.lit(share)).cast("int")
     hot = table.where(salts > 1).select(*keys, salts.alias("_salts"))
     others = [c for c in rows.columns if c not in keys]
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")

@@ -258,18 +258,69 @@ def brute_lines(rows, m):
     return runs
 
 
-@pytest.mark.parametrize("m", [1, 2, 4])
+def brute_runs(rows, m):
+    """Maximal runs of later copies: (doc, start, stop, first copy's doc and line)."""
+    lines = {i: t.split("\n") for i, t in rows if t is not None}
+    deepest = {}
+    for k in sorted({m, *(2**e for e in range(10) if 2**e >= m)}):
+        first = {}
+        for i in sorted(lines):
+            for p in range(len(lines[i]) - k + 1):
+                f = first.setdefault(tuple(lines[i][p : p + k]), (i, p))
+                if f < (i, p):
+                    deepest[i, p] = k, f
+    runs = []
+    for (i, p), (k, (fi, fp)) in sorted(deepest.items()):
+        last = runs[-1] if runs else None
+        if last and last["at"] == (i, p - 1) and last["of"] == (fi, fp - 1):
+            last |= {"at": (i, p), "of": (fi, fp), "stop": max(last["stop"], p + k)}
+        else:
+            runs.append({"at": (i, p), "of": (fi, fp), "start": p, "stop": p + k, "first": (fi, fp)})
+    out, reach = set(), {}
+    for r in runs:
+        i = r["at"][0]
+        if r["stop"] > reach.get(i, 0):
+            out.add((i, r["start"], r["stop"], *r["first"]))
+            reach[i] = r["stop"]
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 4, 5])
 def test_line_dedup(spark, m):
     rnd = random.Random(m)
     texts = ["\n".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))) for _ in range(25)] + [None, "", "\n\n\n\n", "z", "z", "q\n" * 300, "p\n" + "q\n" * 300]
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, name string"), min_lines=m).collect()}
+    df = spark.createDataFrame([(i, t, "k", 1, "r") for i, t in rows], "doc_id long, text string, name string, row int, mask string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_lines=m).collect()}
+    runs = brute_runs(rows, m)
+    assert {tuple(r) for r in line_dedup.repeated_runs(df, min_lines=m).collect()} == runs
     for i, want in brute_lines(rows, m).items():
+        mine = [b - a for d, a, b, *_ in runs if d == i]
         assert (got[i].n_lines, got[i].n_removed, got[i].text) == want
+        assert (got[i].n_runs, got[i].longest_run) == (len(mine), max(mine, default=0))
     assert got[25].text is None and got[25].n_lines == 0 and got[31].shared_run == 256
-    assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    with pytest.raises(ValueError):
-        line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=3)
+    if m == 2:
+        shallow = {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_lines=m, depth=m).collect()}
+        assert shallow == {i: r.text for i, r in got.items()}
+        assert line_dedup.line_dedup(df.limit(0)).collect() == []
+        with pytest.raises(ValueError):
+            line_dedup.line_dedup(df, min_lines=0)
+
+
+def test_line_dedup_of_odd_ids(spark):
+    """Rows that share an id or have none are documents of their own, those without an id last; a repeated row is a later copy."""
+    rows = [(None, "a\nb\nend"), (7, "a\nb"), (7, "a\nb"), (7, "c\nd"), (9, "a\nb\nnine"), (3, "x"), (None, None), (None, "")]
+    got = [(r.doc_id, r.n_removed, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(None, 2, "end"), (7, 0, "a\nb"), (7, 2, ""), (7, 0, "c\nd"), (9, 2, "nine"), (3, 0, "x"), (None, 0, None), (None, 0, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Work grows with a document's lines, not with their square: alternating runs in a text of 200,000 lines."""
+    lines = [f"u{k}" if k % 4 < 2 else f"dup{k % 4}" for k in range(200_000)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join(lines)), (2, "dup2\ndup3")], "doc_id long, text string"), depth=2).collect()}
+    assert got[1].n_removed == 2 * (50_000 - 1) and got[1].text.split("\n") == [x for k, x in enumerate(lines) if k < 4 or k % 4 < 2]
+    assert got[2].text == ""
 
 
 def test_line_dedup_of_single_lines(spark):
