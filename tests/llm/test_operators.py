@@ -364,22 +364,51 @@ def test_decontaminate(spark, docs, none, monkeypatch, block):
         digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(names), digest, bool(hit))
         assert hit == {k for a, b in zip(got[i].hit_from, got[i].hit_to) for k in range(a, b)}
+    odd = spark.createDataFrame([(None, "ONE"), (4, "ONE"), (4, "ONE"), (4, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_hit) for r in decontaminate.decontaminate(odd, bench).collect()) == [(0, 1), (4, 0), (4, 1), (4, 1)]
     assert decontaminate.decontaminate(none, bench).collect() == []
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_decontaminate_proximity(spark):
+    """Passages with a changed, a missing or an added word are near their item, at their place; others are near none."""
+    item = " ".join(f"term{k}" for k in range(30))
+    words = item.split()
+    texts = ["x y " + item, "x " + " ".join([*words[:5], "other", *words[6:]]), " ".join([*words[:5], *words[6:12]]), " ".join([*words[:4], "new", *words[4:10]]), " ".join(words[::-1]), " ".join(words[:5]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = decontaminate.build_index(docs)
+    bench = spark.createDataFrame([("a", item), ("a", item), ("b", "nothing of this sort stands in any of the texts here")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.search(index, bench).collect()}
+    assert [got[k].near_items for k in range(7)] == [["a"]] * 4 + [[]] * 3 and 2 in got[0].near_from and 1 in got[1].near_from
+    assert [got[k].contaminated for k in range(7)] == [True, True, False, False, False, False, False]
+    other = spark.createDataFrame([("c", " ".join(words[::-1]))], "item_id string, text string")
+    assert [r.doc_id for r in decontaminate.search(index, other).collect() if r.contaminated] == [4]
+
+
+def test_plan_of_a_large_benchmark_is_small():
+    """Windows are arrays: a benchmark of 4 MB makes a plan of bounded size."""
+    import pickle
+
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 50_000, 300)) for _ in range(2200)]
+    assert 3.5e6 < sum(map(len, texts)) < 4.5e6
+    the = decontaminate.plan([f"i{k}" for k in range(len(texts))], texts, 10)
+    assert len(the.windows) == 2200 * 291 and len(pickle.dumps(the)) < 50e6
+
+
 def test_exact_topk(spark, monkeypatch):
     rnd = random.Random(4)
     rows = [(i, [rnd.choice([-0.5, 0.1, 0.25, 0.9]) for _ in range(4)]) for i in range(120)]
-    rows += [(200, None), (201, [0.1, None, 0.2, 0.3]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (204, [0.5, 0.5]), (250, [0.5, 0.25]), (7, [0.9] * 4), (300, [1e30, 0.0, 0.0, 0.0])]
+    rows += [(200, None), (201, [0.1, None, 0.2, 0.3]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (204, [0.5, 0.5]), (250, [0.5, 0.25]), (7, [0.9] * 4), (300, [1e30, 0.0, 0.0, 0.0]), (50, [0.9] * 4), (350, [])]
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in {i: v for i, v in usable if i % 50 == 0}.items():
-        ranked = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, c)))), i) for i, c in usable if i != q and len(c) == len(v))[:5]
-        want += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    for at, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            ranked = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, c)))), i) for k, (i, c) in enumerate(usable) if k != at and len(c) == len(v))[:5]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(ranked, 1)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, row int")
     assert sorted(map(tuple, exact_topk.exact_topk(df).collect())) == sorted(want)
-    monkeypatch.setattr(exact_topk, "QUERY_BYTES", 50)
-    monkeypatch.setattr(exact_topk, "TILE", 7)
+    for name, value in (("QUERY_BYTES", 50), ("TILE", 7), ("QUERY_TILE", 2), ("SHARD_TILES", 1), ("FAN_IN", 2)):
+        monkeypatch.setattr(exact_topk, name, value)
     assert sorted(map(tuple, exact_topk.exact_topk(df).collect())) == sorted(want)
     assert exact_topk.exact_topk(df.limit(0)).collect() == []
