@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import cut, shuffle_width, small_batches
+from .scratch import cut, cut_and_sum, salted_join, shuffle_width, small_batches
 
 COORDINATES = 192
 UNIVERSE = 1 << 20
@@ -147,9 +147,8 @@ def verified(pairs: DataFrame, docs: DataFrame, counts: DataFrame, size: int, nu
     the shingles that they hold, so a pivot with very many partners spreads over many tasks.
     """
     load = pairs.join(counts.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.sum("n_shingles").alias("load"), F.count("*").alias("n"))
-    groups = load.select("a", F.ceil(F.col("load") / GROUP_SHINGLES + F.col("n") / 256).cast("int").alias("salts"))
-    groups = cut(groups)
-    members = pairs.join(groups, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
+    groups, total, most = cut_and_sum(load.select("a", "n", F.ceil(F.col("load") / GROUP_SHINGLES + F.col("n") / 256).cast("int").alias("salts")), "n")
+    members = salted_join(pairs, groups, ["a"], "n", total, most).select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = groups.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     texts = _with_text(docs, members.unionByName(heads))
     dealt = texts.select("a", "salt", "role", "doc_id", "text").repartition(shuffle_width(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "role")
@@ -227,7 +226,7 @@ def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, component_id, kept, class_size)``, one row per row with an id.
+    """``(doc_id, n_shingles, component_id, kept, set_id, class_size)``, one row per row with an id.
 
     Documents are linked when ``den * intersection >= num * union`` of their shingle sets.
     ``set_id`` is the smallest id with the same set, ``class_size`` the number of rows with it;
@@ -249,15 +248,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = heads.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("m"), F.sum("n_shingles").alias("load"))
     blocks = F.ceil(F.col("m") / BLOCK + F.col("load") / BLOCK_SHINGLES).cast("int")
-    buckets = cut(buckets.where("a < last").select("band", "a", blocks.alias("blocks")))
-    members = cut(banded.join(buckets, "band").select("band", "a", "blocks", "doc_id"))
+    buckets, total, most = cut_and_sum(buckets.where("a < last").select("band", "a", "m", blocks.alias("blocks")), "m")
+    members = cut(salted_join(banded, buckets, ["band"], "m", total, most).select("band", "a", "blocks", "doc_id"))
     stars = cut(members.where("doc_id > a").groupBy("a", F.col("doc_id").alias("b")).count().select("a", "b"))
     links = verified(stars, docs, counts, shingle, num, den)
     comps = cut(components(links))
     placed = cut(members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component"))
-    mixed = cut(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
+    mixed, total, most = cut_and_sum(mixed.where("low < high").select("band", "m"), "m")
     sides = (
-        placed.join(mixed, "band")
+        salted_join(placed, mixed, ["band"], "m", total, most)
         .withColumn("blk", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("doc_id", "band", "comp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
@@ -267,16 +267,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comps = cut(components(links.unionByName(more)))
     of_class = classes.select("k1", "k2", "set_id", "class_size").join(comps.withColumnRenamed("node", "set_id"), "set_id", "left")
-    of_class = cut(of_class.withColumn("component_id", F.coalesce("component", "set_id")).drop("component"))
-    return (
-        sketches.select("doc_id", "n_shingles", "k1", "k2")
-        .join(of_class, ["k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.col("set_id")).otherwise(F.col("doc_id")).alias("set_id"),
-            F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.when(F.col("n_shingles") > 0, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
-        )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    of_class, total, most = cut_and_sum(of_class.withColumn("component_id", F.coalesce("component", "set_id")).drop("component"), "class_size")
+    rows = sketches.select("doc_id", "n_shingles", "k1", "k2")
+    linked = salted_join(rows.where("n_shingles > 0"), of_class, ["k1", "k2"], "class_size", total, most)
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("class_size"))
+    every = linked.select("doc_id", "n_shingles", "component_id", "set_id", "class_size").unionByName(alone)
+    return every.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "set_id", "class_size")
