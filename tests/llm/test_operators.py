@@ -10,7 +10,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, chat_preferences, decontaminate, exact_topk, language_id, licenses, line_dedup, near_dup, substring_dedup, toxicity
+from factloom.llm import words as W
+from factloom.llm import bpe, chat_preferences, components, decontaminate, exact_topk, language_id, licenses, line_dedup, near_dup, substring_dedup, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,13 +84,46 @@ def test_near_duplicates_small_blocks(docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Texts of many distinct shingles, a copy of one with a few words changed, and a copy of many others' words."""
+    words = [f"w{k}" for k in range(60_000)]
+    texts = [" ".join(words), " ".join([*words[:59_000], "x", *words[59_001:]]), " ".join(words[::-1]), " ".join(words[:40_000])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (59_998, 0), 1: (59_998, 0), 2: (59_998, 2), 3: (39_998, 3)}
+
+
 def test_near_duplicates_edges(spark, none):
+    assert near_dup.near_duplicates(none).columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
     assert near_dup.near_duplicates(none).collect() == []
     rows = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (2, "a b c"), (9, None), (8, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows).collect())
     assert got == [(2, 2, True), (3, 2, False), (3, 2, False), (8, 8, True), (9, 9, True)]
 
 
+@pytest.mark.parametrize("n", [2, 64, 400])
+def test_components_of_chains(spark, n, monkeypatch):
+    """Ids that rise from both ends to the middle are the slow case for passing on minima; rounds stay logarithmic."""
+    rounds = []
+    cut = components.cut_in_loop
+    monkeypatch.setattr(components, "cut_in_loop", lambda df: rounds.append(1) or cut(df))
+    chain = [*range(1, n + 1, 2), *range(n - n % 2, 0, -2)]
+    links = spark.createDataFrame([*zip(chain, chain[1:]), (n, n), (1000, 1001), (1001, 1000)], "a long, b long")
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert got == dict.fromkeys(range(1, n + 1), 1) | {1000: 1000, 1001: 1000}
+    assert len(rounds) <= 30
+
+
+def test_components_of_random_links(spark):
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]
+    parent = {x: x for p in pairs for x in p}
+    for _ in range(300):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = {x: parent[x] for a, b in pairs if a != b for x in (a, b)}
+    assert {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+
+
 def test_links_across_is_exact():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 40, 30).astype(np.uint64)) for _ in range(60)]
@@ -220,6 +254,71 @@ def test_language_id_judges_short_texts(spark):
     assert not any(got[k] for k in range(len(far), len(far + own)))
 
 
+def brute_language(text, model):
+    """Language and cosine of a text, trigram by trigram."""
+    data = b" " + (text or "").encode() + b" "
+    folded = [c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in data]
+    counts = np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(folded, folded[1:], folded[2:]):
+        if not (b == 32 and 32 in (a, c)):
+            counts[((a * 2654435761 + b * 2246822519 + c * 3266489917) % 2**32) >> 20] += 1
+    vector = np.log1p(counts) * model.idf
+    norm = np.linalg.norm(vector)
+    cosines = model.centroids @ (vector / (norm or 1))
+    return model.langs[int(cosines.argmax())], float(np.clip(cosines.max(), 0, 1))
+
+
+def test_language_id_by_brute_force(spark):
+    """Repeated rows, null ids, a very long text and columns with clashing names."""
+    docs = labelled(spark)
+    model = language_id.fit(docs)
+    rows = [(r.doc_id, r.text) for r in docs.limit(30).collect()]
+    rows += [rows[0], (None, rows[1][1]), (None, rows[1][1]), (500, LANGS["bb"] * 20_000), (501, "The HOUSE, the 42 mice? Übergrößenträger")]
+    df = spark.createDataFrame([(i, t, "x", "y", True) for i, t in rows], "doc_id long, text string, lang string, lang_pred string, rejected boolean")
+    got = language_id.predict(df, model, {"doc_id": "long", "text": "string"}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = brute_language(r.text, model)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+
+
+def test_language_id_has_a_centroid_for_each_of_many_languages(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=9)) for _ in range(3000)]
+    rows = [(k, f"{w} {w[::-1]} {w}", f"l{k % 3000}") for k, w in enumerate(words + words[:100])]
+    docs = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    trained = {r.lang for r in docs.where(~language_id.held_out(F.col("doc_id"))).collect()}
+    assert len(trained) > 2000 and set(model.langs) == trained and len(model.langs) <= 3000
+
+
+def test_language_id_rejection_survives_an_odd_row(spark):
+    """One training row of junk does not switch rejection by distance off."""
+    docs = labelled(spark).select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(k, "".join(random.Random(k).choices("абвгдежзиклмнопрстуфхцчшщэюя ", k=600)), "aa") for k in (1001, 1002)], docs.schema)
+    model = language_id.fit(docs.unionByName(odd))
+    far = "".join(random.Random(9).choices("αβγδεζηθικλμνξοπρστυφχψω ", k=600))
+    got = language_id.predict(spark.createDataFrame([(1, far), (2, LANGS["cc"] * 5)], "doc_id long, text string"), model, {"doc_id": "long"}).collect()
+    assert {r.doc_id: r.rejected for r in got} == {1: True, 2: False}
+
+
+def brute_toxicity(text, model):
+    """Score of a text, sentence by sentence."""
+    clean = 0.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        words = ALNUM.findall(fold(sentence))
+        if words:
+            z = model.bias
+            for w in words:
+                z += model.weights[W.word_hash(w.encode()) & (toxicity.BUCKETS - 1)]
+                for n in toxicity.PREFIXES:
+                    if len(w.encode()) >= n:
+                        name = int.from_bytes(bytes([n]) + w.encode()[:n], "big") % 2**64
+                        z += model.weights[int(W.mix(np.array([name], dtype=np.uint64))[0]) & (toxicity.BUCKETS - 1)]
+            clean += np.logaddexp(0, np.clip(z, -30, 30))
+    return 1 - np.exp(-clean)
+
+
 def test_toxicity(spark, none):
     docs = labelled(spark)
     model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
@@ -228,10 +327,40 @@ def test_toxicity(spark, none):
     assert held and np.mean([got[r.doc_id].predicted == r.toxic for r in held]) > 0.95
     assert all("IDIOTa" in s for r in docs.collect() if r.toxic for s in got[r.doc_id].offending)
     assert got[900].score == got[901].score == 0 and got[900].offending == []
+    for r in docs.limit(40).collect():
+        assert got[r.doc_id].score == pytest.approx(brute_toxicity(r.text, model), abs=1e-5)
     assert toxicity.score(none, model).collect() == []
     assert toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic"))).bias < 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Very long labelled texts train, repeated rows and labels, null ids and clashing columns do no harm, and other scripts' sentences end."""
+    rnd = random.Random(7)
+    filler = "a calm day with nothing else to tell. "
+    rows = []
+    for k in range(120):
+        bad = k % 3 == 0
+        rows.append((k, filler * rnd.randint(1, 6) + ("what a vilebogus remark. " if bad else "") + filler * (9000 if k < 9 else 1), int(bad)))
+    rows += [rows[3], (None, filler, 0), (None, None, 1), (7, filler, None)]
+    docs = spark.createDataFrame([(i, t, s, 0.5, s) for i, t, s in rows], "doc_id long, text string, toxic int, score double, predicted int")
+    assert max(len(t) for _, t, _ in rows if t) > 300_000
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(r.predicted == (r.doc_id is not None and r.doc_id % 3 == 0) for r in got)
+    text = "今天天气很好。你是个大笨蛋！我们去公园。"
+    own = toxicity.score(spark.createDataFrame([(1, text), (2, "यह अच्छा है। वह नहीं। ठीक"), (3, "هل هذا صحيح؟ نعم۔ حسنا")], "doc_id long, text string"), model).collect()
+    assert [r.n_sentences for r in own] == [3, 3, 3]
+
+
+def test_toxicity_learns_in_a_script_without_spaces(spark):
+    rnd = random.Random(4)
+    calm = ["今天天气很好", "我们去公园散步", "晚饭非常好吃", "他昨天读了一本书"]
+    rows = [(k, "。".join([*rnd.choices(calm, k=3), *(["你真是大笨蛋呀"] if k % 2 else []), rnd.choice(calm)]) + "。", k % 2) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", "toxic"))).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
 def test_licenses(spark, none):
     texts = ["Foo. Licensed under CC BY-NC 4.0. All rights reserved!", "This work is licensed under the GNU General Public License, version 3.", "general public licenses; cc  BY x cc by", None, "", "by license all the 2 0", "Released under the MIT License." + " all rights reserved" * 3, "Ünder the Apache License, Version 2.0, Licensed under the Apache License, Version 2.0"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
