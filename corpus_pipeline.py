@@ -1,6 +1,8 @@
 """A corpus through five stages, each of which takes all that the one before has kept.
 
-Counts as part of the ``llm`` subpackage: it is not there without it.
+Counts as part of the ``llm`` subpackage: it is not there without it. All stages take documents with null
+ids, ids that repeat, null, empty and very long texts; a null text has no letter and leaves with the first stage. Only the
+columns of ``documents`` are taken and returned, whatever else a table has. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, language_id, line_dedup, near_dup
 from factloom.llm.bpe import encode_decode
-from factloom.llm.scratch import cut
+from factloom.llm.scratch import cut, numbered
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -20,43 +22,55 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in COLUMNS.items()))
 
 
-def _semi(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """A semi or anti join by id that sends the ids to every executor if they are few, and shuffles otherwise."""
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``ids(row)`` does not name; ids go to every executor if they are few, and rows are shuffled otherwise."""
     ids = cut(ids)
     few = ids.count() <= near_dup.BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "row", "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that are near enough to a known language; the language found becomes ``lang``."""
+    """Keep documents that are near enough to a known language; the language found becomes ``lang``.
+
+    Texts that are null or have no letter go. If no document has a language, there is nothing to judge by, and
+    documents with a letter stay, as ``und``.
+    """
     docs = _documents(docs)
-    found = language_id.predict(docs, language_id.fit(docs), COLUMNS)
-    return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    model = language_id.fit(docs)
+    found = language_id.predict(docs, model, COLUMNS)
+    kept = found.where("not rejected") if model.langs else found.where(F.col("text").rlike(r"\p{L}"))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of runs of two lines or more and of single lines of more than 50 words; documents of which no word is left go."""
+    """Delete later copies of runs of two lines or more and of single lines of more than 50 words; documents of which no word is left by that go.
+
+    Rows that share an id or have none are documents of their own. Doubling ends at runs of two lines, since deeper intervals only tell how long runs are.
+    """
     docs = _documents(docs)
-    out = line_dedup.line_dedup(docs, min_lines=2, carry=["lang", "source"], lone_words=50)
+    out = line_dedup.line_dedup(docs, min_lines=2, carry=["lang", "source"], lone_words=50, depth=2)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near duplicates (5-word shingles, similarity of 0.8 or more)."""
-    docs = _documents(docs)
-    groups = near_dup.near_duplicates(docs, shingle=5, num=80, den=100)
-    return _semi(docs, groups.where("not kept").select("doc_id").distinct(), "left_anti")
+    """Keep the first document, by id, of each group of near duplicates (5-word shingles, similarity of 0.8 or more); texts without words stay.
+
+    Rows that share an id or have none are documents of their own, so of repeated rows one stays.
+    """
+    docs = numbered(_documents(docs), "doc_id", "text")
+    groups = near_dup.near_duplicates(docs, id_col="row", shingle=5, num=80, den=100)
+    return _without(docs, groups.where("not kept").select(F.col("doc_id").alias("row")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold 10 consecutive words of a benchmark item."""
-    docs = _documents(docs)
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    return _semi(docs, found.where("contaminated").select("doc_id").distinct(), "left_anti")
+    """Drop documents that hold 10 consecutive words of a benchmark item; rows that share an id or have none are documents of their own."""
+    docs = numbered(_documents(docs), "doc_id", "text")
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, id_col="row")
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left, and check the round trip."""
+    """Encode what is left, and check the round trip; a row for every row, with its id, null or repeated as it is."""
     return encode_decode(_documents(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, full=False)
 
 
