@@ -32,8 +32,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with an answer, against itself with a stale last answer."""
-    return chat_preferences.format_preferences(*chat_preferences.stale_answers(_table(spark, sf_dir, "conversations")))
+    """Every conversation against itself with a stale last answer."""
+    return chat_preferences.stale_preferences(_table(spark, sf_dir, "conversations"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,22 +104,21 @@ FROM words LEFT JOIN gone USING (doc_id)
 
 _OP4 = """
 WITH rows AS (SELECT DISTINCT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-last AS (SELECT pair_id, max(turn) AS last FROM rows WHERE role = 'assistant' GROUP BY pair_id),
-chosen AS (SELECT rows.* FROM rows JOIN last USING (pair_id)),
+last AS (SELECT pair_id, max(turn) FILTER (role = 'assistant') AS last FROM rows GROUP BY pair_id),
 rejected AS (SELECT DISTINCT pair_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN 'I can''t help with that.' ELSE text END AS text
-             FROM rows JOIN last USING (pair_id) WHERE turn <= last),
+             FROM rows JOIN last USING (pair_id) WHERE last IS NULL OR turn <= last),
 both_sides AS (SELECT pair_id, turn, role, text, bool_or(c) AS in_chosen, bool_or(NOT c) AS in_rejected
-               FROM (SELECT *, true AS c FROM chosen UNION ALL SELECT *, false FROM rejected) GROUP BY ALL),
-parting AS (SELECT pair_id, min(CASE WHEN NOT (in_chosen AND in_rejected) THEN turn END) AS parting FROM both_sides GROUP BY pair_id),
-placed AS (SELECT both_sides.*, parting IS NULL OR turn < parting AS common FROM both_sides JOIN parting USING (pair_id)),
+               FROM (SELECT *, true AS c FROM rows UNION ALL SELECT *, false FROM rejected) GROUP BY ALL),
+parting AS (SELECT pair_id, min(turn) FILTER (NOT (in_chosen AND in_rejected)) AS parting, max(turn) FILTER (in_chosen) AS c, max(turn) FILTER (in_rejected) AS r FROM both_sides GROUP BY pair_id),
+placed AS (SELECT both_sides.*, parting IS NULL OR turn < parting AS common, coalesce(c >= parting AND r >= parting, false) AS paired FROM both_sides JOIN parting USING (pair_id)),
 sides AS (
   SELECT *, 'prompt' AS side FROM placed WHERE common
   UNION ALL SELECT *, 'chosen' FROM placed WHERE NOT common AND in_chosen
-  UNION ALL SELECT *, 'rejected' FROM placed WHERE NOT common AND in_rejected)
-SELECT pair_id, side, turn, coalesce(role, 'unknown') AS role,
-       '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS content,
-       NOT common AND coalesce(role, '') = 'assistant' AS train
-FROM sides
+  UNION ALL SELECT *, 'rejected' FROM placed WHERE NOT common AND in_rejected),
+named AS (SELECT *, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS header, replace(coalesce(text, ''), '<|', '< |') AS body, NOT common AND coalesce(role, '') = 'assistant' AS train FROM sides)
+SELECT pair_id, side, turn, coalesce(role, 'unknown') AS role, header || body || '<|im_end|>' || chr(10) AS content, train,
+       CASE WHEN train THEN CAST(length(header) AS INT) END AS train_from, CASE WHEN train THEN CAST(length(header) + length(body) AS INT) END AS train_to, paired
+FROM named
 """
 
 _OP8 = r"""

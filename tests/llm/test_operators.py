@@ -201,20 +201,46 @@ def test_chat_preferences(spark):
     a = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "yes <|im_end|>", 9), (1, 2, "user", None, 9), (2, 0, None, "x", 9), (None, 0, "user", "x", 9), (1, 0, "user", "hi", 9), (3, 0, "user", "only", 9)]
     b = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "no", 9), (2, 0, None, "x", 9), (1, None, "user", "x", 9)]
     schema = "pair_id long, turn long, role string, text string, sides int"
-    got = sorted((r.pair_id, r.side, r.turn, r.role, r.content, r.train) for r in chat_preferences.format_preferences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect())
+    df = chat_preferences.format_preferences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    got = sorted((r.pair_id, r.side, r.turn, r.role, r.content, r.train, r.paired) for r in df.collect())
     say = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
     assert got == [
-        (1, "chosen", 1, "assistant", say("assistant", "yes < |im_end|>"), True),
-        (1, "chosen", 2, "user", say("user", ""), False),
-        (1, "prompt", 0, "user", say("user", "hi"), False),
-        (1, "rejected", 1, "assistant", say("assistant", "no"), True),
-        (2, "prompt", 0, "unknown", say("unknown", "x"), False),
-        (3, "chosen", 0, "user", say("user", "only"), False),
+        (1, "chosen", 1, "assistant", say("assistant", "yes < |im_end|>"), True, True),
+        (1, "chosen", 2, "user", say("user", ""), False, True),
+        (1, "prompt", 0, "user", say("user", "hi"), False, True),
+        (1, "rejected", 1, "assistant", say("assistant", "no"), True, True),
+        (2, "prompt", 0, "unknown", say("unknown", "x"), False, False),
+        (3, "chosen", 0, "user", say("user", "only"), False, False),
     ]
+    assert {r.content[r.train_from : r.train_to] for r in df.where("train").collect()} == {"yes < |im_end|>", "no"}
+    (pair,) = chat_preferences.render(df).collect()
+    assert (pair.pair_id, pair.prompt, pair.chosen, pair.rejected) == (1, say("user", "hi"), say("assistant", "yes < |im_end|>") + say("user", ""), say("assistant", "no"))
+    assert [pair.chosen[x["from"] : x["to"]] for x in pair.chosen_spans] == ["yes < |im_end|>"] and [pair.rejected[x["from"] : x["to"]] for x in pair.rejected_spans] == ["no"]
     empty = spark.createDataFrame([], schema)
     assert chat_preferences.format_preferences(empty, empty).collect() == []
 
 
+def test_stale_preferences(spark, monkeypatch):
+    """Pairs of a very long conversation, one without an answer, one that ends with the refusal, with turns after it, repeated rows, empty and long texts, clashing columns."""
+    from factloom.llm import scratch
+
+    monkeypatch.setattr(scratch, "SHARE", 3)
+    long = [(1, k, "assistant" if k % 2 else "user", f"m{k} " * (20_000 if k == 3 else 1)) for k in range(200)]
+    rows = [*long, (2, 0, "user", "hi"), (3, 0, "user", ""), (3, 1, "assistant", chat_preferences.REFUSAL), (4, 0, "user", "q"), (4, 1, "assistant", chat_preferences.REFUSAL), (4, 2, "user", "why"), (5, 0, "assistant", None), (5, 0, "assistant", None), (None, 0, "user", "x"), (6, 0, "user", "u"), (6, 1, "assistant", "a"), (6, 1, "assistant", "b"), (6, 2, "user", "z")]
+    df = chat_preferences.stale_preferences(spark.createDataFrame([(*r, 1, "s", 2) for r in rows], "conv_id long, turn int, role string, text string, n int, side string, last int"))
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r.pair_id, r.side, r.turn, r.content)):
+        got.setdefault((r.pair_id, r.paired), {}).setdefault(r.side, []).append(r.content[len(f"<|im_start|>{r.role}\n") : -len("<|im_end|>\n")])
+    assert got.pop((1, True)) == {"prompt": [t for *_, t in long[:-1]], "chosen": ["m199 "], "rejected": [chat_preferences.REFUSAL]}
+    assert got == {
+        (2, False): {"prompt": ["hi"]},
+        (3, False): {"prompt": ["", chat_preferences.REFUSAL]},
+        (4, False): {"prompt": ["q", chat_preferences.REFUSAL], "chosen": ["why"]},
+        (5, True): {"chosen": [""], "rejected": [chat_preferences.REFUSAL]},
+        (6, True): {"prompt": ["u"], "chosen": ["a", "b", "z"], "rejected": [chat_preferences.REFUSAL]},
+    }
+
+
 LANGS = {"aa": "the house and the mouse with the other mother", "bb": "der hund und die katze sind nicht hier geworden", "cc": "que los años son como las olas del mar español"}
 
 
