@@ -401,6 +401,57 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).collect() == []
 
 
+def brute_labels(words, documents):
+    """Labels of a file's words: every shift of every template at which two of the rarest words held agree, but for a drift."""
+    found = set()
+    for label, text, must in licenses.TEMPLATES:
+        seq = text.split()
+        held = sorted({w for w in seq if w in words}, key=documents)[: licenses.RARE_WORDS]
+        shifts = {}
+        for w in held:
+            for k in (k for k, x in enumerate(seq) if x == w):
+                for p in (p for p, y in enumerate(words) if y == w):
+                    shifts.setdefault(p - k, set()).add(w)
+        for shift in sorted(shifts):
+            if len(set().union(*(shifts.get(shift + d, ()) for d in range(licenses.DRIFT + 1)))) >= min(licenses.AGREE, len(set(seq))):
+                around = " " + " ".join(words[max(0, shift - licenses.DRIFT) : max(0, shift + len(seq) + 2 * licenses.DRIFT)]) + " "
+                if all(f" {m} " in around for m in must):
+                    found.add(label)
+    return found
+
+
+def test_licenses_by_brute_force(spark):
+    """Notices whole, with words put in, left out or swapped, cut off, in long texts, without an id and twice; clashing columns."""
+    rnd = random.Random(12)
+    filler = "the of this and software license to copy public version use a fine day in may".split()
+    texts = []
+    for label, text, must in licenses.TEMPLATES:
+        for _ in range(4):
+            words = text.split()
+            for _ in range(rnd.randint(0, 3)):
+                k = rnd.randrange(len(words))
+                words[k : k + rnd.randint(0, 1)] = rnd.choices(filler, k=rnd.randint(0, 2))
+            pad = rnd.choices(filler, k=rnd.randint(0, 60)), rnd.choices(filler, k=rnd.randint(0, 60))
+            texts.append(" ".join([*pad[0], *words, *pad[1]]).replace("a fine", "A-fine"))
+        texts += [text.upper(), " ".join(must), " ".join(text.split()[:-3]), " ".join(reversed(text.split()))]
+    texts += [" ".join(filler * 1000) + " " + licenses.TEMPLATES[0][1], texts[0]]
+    rows = [(None if k % 50 == 0 else k, t, "x", 1) for k, t in enumerate(texts)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string, word int")).collect()
+    docs = [ALNUM.findall(fold(t)) for t in texts]
+    index = licenses.vocabulary()
+    number = {h: k for k, h in enumerate(index.hashes.tolist())}
+    sets = [set(d) for d in docs]
+    rank = {w: (sum(w in d for d in sets), number[W.word_hash(w.encode())]) for t in licenses.TEMPLATES for w in t[1].split()}
+    want = []
+    for (i, *_), words in zip(rows, docs):
+        base = {label for p, label in licenses.BASE_PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        want.append((i or -1, len(words), ",".join(sorted(base | brute_labels(words, rank.get)))))
+    assert sorted((r.doc_id or -1, r.n_words, r.labels) for r in got) == sorted(want)
+    whole = {t: label for label, t, _ in licenses.TEMPLATES}
+    by_id = {r.doc_id: r.labels.split(",") for r in got}
+    assert all(whole[t.lower()] in by_id[k] for k, (i, t, *_) in enumerate(rows) if i is not None and t.lower() in whole)
+
+
 def brute_lines(rows, m):
     first, runs = {}, {}
     lines = {i: t.split("\n") for i, t in rows if t is not None}
