@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from factloom.errors import InvalidArgument
 from factloom.functions.predicates import match_rank, scope_matches
 
 from .envelope import first_by, first_sites
-from .graph import paths, reach
+from .graph import reach, shortest_chains
 
 
 def search_symbols(symbols: DataFrame, query: str) -> DataFrame:
@@ -103,9 +104,37 @@ def god_objects(sizes: DataFrame, axes: dict[str, int], coupling: DataFrame, lea
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each point ``(scope, at, id)`` the innermost span ``(scope, start, stop, span)`` that holds it, if any."""
-    held = points.join(spans, "scope").where("at >= start and at < stop")
-    return held.groupBy("scope", "at", "id").agg(F.max(F.struct("start", "span")).alias("s")).select("scope", "at", "id", F.col("s.span").alias("span"), F.col("s.start").alias("start"))
+    """For each point ``(scope, at, id)`` the innermost span ``(scope, start, stop, span)`` that holds it, if any: ``(scope, at, id, span, start)``.
+
+    A span holds from its start to before its stop; spans of a scope nest or are apart, and one without a stop holds nothing.
+    Two passes over a scope's starts, stops and points in order: the first gives each span's depth and what encloses it, the second
+    each point the last border before it. Work grows with the rows, not with points times spans.
+    """
+    kept = spans.where("start < stop").select("scope", "start", "stop", "span")
+    me = F.struct("start", "span")
+    nothing = F.lit(None).cast(kept.select(me.alias("x")).schema["x"].dataType)
+    # at one place stops come before starts, inner stops first; of starts the outer one first
+    opens = kept.select("scope", F.col("start").alias("at"), F.lit(1).alias("step"), F.col("stop").alias("far"), me.alias("me"))
+    closes = kept.select("scope", F.col("stop").alias("at"), F.lit(-1).alias("step"), F.col("start").alias("far"), me.alias("me"))
+    order = [F.col("at"), F.col("step"), F.col("far").desc(), (F.col("me.span") * F.col("step")) if _numeric(kept, "span") else F.col("me.span")]
+    borders = opens.unionByName(closes)
+    running = Window.partitionBy("scope").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    deep = borders.withColumn("depth", F.sum("step").over(running))
+    # a start is the innermost span from there on; after a stop it is the last start of the depth that is left
+    level = Window.partitionBy("scope", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.last(F.when(F.col("step") > 0, F.col("me")), ignorenulls=True).over(level)
+    inner = deep.select("scope", "at", F.lit(0).alias("late"), F.col("depth"), *[F.col(c) for c in ("step", "far", "me")], F.when(F.col("depth") > 0, opened).otherwise(nothing).alias("inner"), F.lit(True).alias("border"))
+    asked = points.select("scope", "at", "id")
+    both = inner.select("scope", "at", "late", "step", "far", "me", F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "inner", "border").unionByName(
+        asked.select("scope", "at", F.lit(1).alias("late"), F.lit(0).alias("step"), F.lit(None).cast(kept.schema["stop"].dataType).alias("far"), nothing.alias("me"), "id", nothing.alias("inner"), F.lit(False).alias("border"))
+    )
+    last = Window.partitionBy("scope").orderBy("at", "late", *order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("s", F.last(F.when(F.col("border"), F.struct("inner")), ignorenulls=True).over(last)["inner"])
+    return found.where("not border and s is not null").select("scope", "at", "id", F.col("s.span").alias("span"), F.col("s.start").alias("start")).distinct()
+
+
+def _numeric(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, NumericType)
 
 
 def uncovered(candidates: DataFrame, calls: DataFrame, tests: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -127,9 +156,8 @@ def exception_flow(calls: DataFrame, root: DataFrame, throws: DataFrame, catches
     with a clause ``(node, exception)`` for it, or for all (null), catches it. Of several chains to a method the
     shortest counts, of these the smallest.
     """
-    start = root.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    chains = start.unionByName(paths(calls, root, max_depth)).groupBy("node").agg(F.min(F.struct("depth", "path")).alias("c"))
-    raised = chains.select("node", "c.depth", "c.path").join(throws.select("node", "exception").distinct(), "node")
+    chains = shortest_chains(calls, root, max_depth)
+    raised = chains.join(throws.select("node", "exception").distinct(), "node")
     frames = raised.select("node", "exception", F.posexplode("path").alias("at", "frame"))
     clauses = catches.select(F.col("node").alias("frame"), F.col("exception").alias("clause"))
     held = frames.join(clauses, "frame").where("clause is null or clause = exception")
@@ -169,20 +197,23 @@ def data_flow(accesses: DataFrame, start: Column, stop: Column) -> DataFrame:
     )
 
 
-def rename_plan(symbols: DataFrame, occurrences: DataFrame, targets: DataFrame, new_name: str) -> DataFrame:
+def rename_plan(symbols: DataFrame, occurrences: DataFrame, targets: DataFrame, new_name: str | DataFrame) -> DataFrame:
     """Edits and conflicts of a rename, not applied: ``(what, file, line, col, old, new)``.
 
     Each place of the targets is one edit; a symbol ``(target, name, container)`` that bears the new name in a
-    target's container is a conflict.
+    target's container is a conflict. ``new_name`` is a name, or a table of one row with one in ``new``.
     """
-    if not new_name.strip():
-        raise InvalidArgument("a new name is needed", newName=new_name)
-    renamed = symbols.join(targets, "target", "left_semi").select("target", F.col("name").alias("old"), "container")
+    if isinstance(new_name, str):
+        if not new_name.strip():
+            raise InvalidArgument("a new name is needed", newName=new_name)
+        new_name = symbols.sparkSession.createDataFrame([(new_name,)], "new string")
+    named = targets.select("target").distinct().join(F.broadcast(new_name.select("new")))  # of one row
+    renamed = symbols.join(named, "target").select("target", F.col("name").alias("old"), "container", "new")
     edits = occurrences.select("target", "file", "line", "col").distinct().join(renamed, "target")
-    edits = edits.select(F.lit("edit").alias("what"), "file", "line", "col", "old", F.lit(new_name).alias("new"))
-    others = symbols.where(F.col("name") == new_name).join(targets, "target", "left_anti").select(F.col("target").alias("id"), "name", "container")
-    clashes = others.join(renamed.select("container").distinct(), "container")
-    return edits.unionByName(clashes.select(F.lit("conflict").alias("what"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("int").alias("line"), F.col("id").cast("string").alias("col"), F.col("name").alias("old"), F.lit(new_name).alias("new")))
+    edits = edits.select(F.lit("edit").alias("what"), "file", "line", "col", "old", "new")
+    spots = renamed.select("container", F.col("new").alias("name")).distinct()
+    clashes = symbols.join(targets, "target", "left_anti").select(F.col("target").alias("id"), "name", "container").join(spots, ["container", "name"])
+    return edits.unionByName(clashes.select(F.lit("conflict").alias("what"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("int").alias("line"), F.col("id").cast("string").alias("col"), F.col("name").alias("old"), F.col("name").alias("new")))
 
 
 def assembly_summary(types: DataFrame) -> DataFrame:

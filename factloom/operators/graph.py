@@ -1,74 +1,130 @@
 """Walks over an edge table ``(src, dst)``: breadth first by frontier, closures, cycles, levels.
 
-Each step is one join; visited nodes are taken out by an anti join, so dense graphs do not multiply
-paths. Lineage is cut by checkpoints in the shared folder.
+Edges are written once, so a step does not work them out again; a step is one join of the frontier with them, and a
+frontier that Spark knows to be small goes to the edges instead of the other way round. Visited nodes are taken out by an
+anti join, so dense graphs do not multiply paths; each frontier is written once and never again.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.errors import InvalidArgument
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .shared import cut, cut_and_count
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(node, depth)`` of all nodes within ``max_depth`` steps of ``seeds(node)``, seeds at 0, each at its least depth."""
-    seen = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
+    edges = _edges(edges)
+    seen = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    depth, n = 0, 1
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        step = edges.join(seen[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        fresh, n = cut_and_count(step.join(_union(seen).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if n:
+            seen.append(fresh)
+    return _union(seen)
 
 
 def reach_from_each(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(root, node, depth)``: every pair within ``max_depth`` steps, a root among its own on a cycle only."""
-    seen = _cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)))
-    frontier, depth = seen, 1
-    while max_depth is None or depth < max_depth:
+    edges = _edges(edges)
+    seen = [edges.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"))]
+    depth, n = 1, 1
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        step = frontier.select("root", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        step = seen[-1].select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
+        fresh, n = cut_and_count(step.join(_union(seen).select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if n:
+            seen.append(fresh)
+    return _union(seen)
+
+
+def call_graph(edges: DataFrame, root: DataFrame, direction: str = "callees", max_depth: int = 3, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(node, depth, expanded)`` around ``root(node)`` and edges ``(src, dst)`` between them.
+
+    ``direction`` is ``callees``, ``callers`` or ``both``. At most ``max_nodes`` nodes are kept, the nearest first and then the
+    smallest; ``expanded`` is false for those at the last depth, whose own edges are not followed.
+    """
+    if direction not in ("callees", "callers", "both"):
+        raise InvalidArgument("direction must be callees, callers or both", direction=direction)
+    known = _edges(edges)
+    back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    walked = known if direction == "callees" else back if direction == "callers" else known.unionByName(back)
+    nodes = cut(reach(walked, root, max_depth).orderBy("depth", "node").limit(max_nodes).withColumn("expanded", F.col("depth") < max_depth))
+    inside = known.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return nodes, inside.select("src", "dst")
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | None = None) -> DataFrame:
     """``(node, depth, path)`` of all simple paths of 1 to ``max_depth`` edges; a path ends at a node of ``stop(node)``."""
+    edges = _edges(edges)
     front = seeds.select("node", F.array("node").alias("path"))
-    out = None
+    found = []
     for depth in range(1, max_depth + 1):
-        front = front.select(F.col("node").alias("src"), "path").join(edges.select("src", "dst"), "src")
-        front = front.where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = _cut(front)
-        found = front.select("node", F.lit(depth).alias("depth"), "path")
-        out = found if out is None else out.unionByName(found)
+        front = front.select(F.col("node").alias("src"), "path").join(edges, "src").where(~F.array_contains("path", F.col("dst")))
+        front, n = cut_and_count(front.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
+        found.append(front.select("node", F.lit(depth).alias("depth"), "path"))
+        if not n:
+            break
         if stop is not None:
             front = front.join(stop, "node", "left_anti")
-    return out
+    return _union(found)
+
+
+def shortest_chains(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """``(node, depth, path)``: of the shortest paths from ``seeds(node)`` to each node within ``max_depth`` edges the smallest; seeds have depth 0.
+
+    One path is kept for each node and step, so dense graphs do not multiply them.
+    """
+    edges = _edges(edges)
+    seen = [cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))]
+    for depth in range(1, max_depth + 1):
+        step = seen[-1].select(F.col("node").alias("src"), "path").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        step = step.join(_union(seen).select("node"), "node", "left_anti")
+        fresh, n = cut_and_count(step.select("node", F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
+        if not n:
+            break
+        seen.append(fresh)
+    return _union(seen)
+
+
+def _trimmed(steps: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that some edge leads to and some edge leads on from, written, and their number."""
+    after = steps.select(F.col("dst").alias("src")).distinct()
+    before = steps.select(F.col("src").alias("dst")).distinct()
+    return cut_and_count(steps.join(after, "src", "left_semi").join(before, "dst", "left_semi").select("src", "dst"))
 
 
 def simple_cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """``(length, cycle)``: every simple cycle of at most ``max_length`` edges once, closed, from its smallest node on."""
-    steps = edges.select("src", "dst").distinct()
+    """``(length, cycle)``: every simple cycle of at most ``max_length`` edges once, closed, from its smallest node on.
+
+    Edges that no cycle can hold, since nothing leads to them or on from them, are taken out first; a path goes on only to
+    nodes larger than its first, so each cycle is walked once.
+    """
+    steps, n, before = _edges(edges), -1, None
+    for _ in range(max_length):
+        if n == before or not n:
+            break
+        before = n
+        steps, n = _trimmed(steps)
     front = steps.where("src < dst").select(F.array("src", "dst").alias("cycle"), "dst")
     out = steps.where("src = dst").select(F.lit(1).alias("length"), F.array("src", "dst").alias("cycle"))
     for length in range(2, max_length + 1):
-        step = _cut(front.select("cycle", F.col("dst").alias("src")).join(steps, "src"))
+        step = cut(front.select("cycle", F.col("dst").alias("src")).join(steps, "src"))
         out = out.unionByName(step.where(F.col("dst") == F.col("cycle")[0]).select(F.lit(length).alias("length"), F.concat("cycle", F.array("dst")).alias("cycle")))
         front = step.where((F.col("dst") > F.col("cycle")[0]) & ~F.array_contains("cycle", F.col("dst"))).select(F.concat("cycle", F.array("dst")).alias("cycle"), "dst")
     return out
@@ -80,42 +136,58 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of colouring: nodes that no cycle can hold are trimmed, each node takes the smallest node that
     reaches it as colour, and what reaches a colour's own node within the colour is one component.
     """
-    steps = edges.select("src", "dst").distinct()
-    loops = _cut(steps.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
-    rest, found = _cut(steps.where("src <> dst")), loops.limit(0)
+    steps = _edges(edges)
+    loops = cut(steps.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    rest, found = steps.where("src <> dst"), loops.limit(0)
     while True:
-        n, before = rest.count(), None
+        rest, n = _trimmed(rest)
+        before = None
         while n and n != before:
-            rest = _cut(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-            n, before = rest.count(), n
+            before = n
+            rest, n = _trimmed(rest)
         if not n:
             return found.unionByName(loops.join(found, "node", "left_anti"))
-        colours = _cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("component", F.col("node")))
+        colours = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("component", F.col("node")))
         moved = True
         while moved:
             came = rest.join(colours.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("least"))
-            new = _cut(colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
+            new = cut(colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
             colours, moved = new.drop("moved"), not new.where("moved").isEmpty()
         heads = colours.select(F.col("node").alias("src"), F.col("component").alias("head"))
         tails = colours.select(F.col("node").alias("dst"), F.col("component").alias("tail"))
-        inner = _cut(rest.join(heads, "src").join(tails, "dst").where("head = tail").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        group = _cut(colours.join(reach(inner, colours.where("node = component")), "node", "left_semi"))
+        inner = cut(rest.join(heads, "src").join(tails, "dst").where("head = tail").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        group = cut(colours.join(reach(inner, colours.where("node = component")), "node", "left_semi"))
         several = group.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-        found = _cut(found.unionByName(group.join(several, "component", "left_semi").select("node", "component")))
-        rest = _cut(rest.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        found = cut(found.unionByName(group.join(several, "component", "left_semi").select("node", "component")))
+        rest = cut(rest.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, level)``: the longest path down to a leaf; nodes on or above a cycle get 0."""
-    settled = _cut(nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti").distinct().withColumn("level", F.lit(0)))
-    rest = _cut(nodes.select("node").distinct().join(settled, "node", "left_anti"))
+    edges, nodes = _edges(edges), cut(nodes.select("node").distinct())
+    settled = [cut(nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))]
+    open_ = edges
     level = 0
-    while not rest.isEmpty():
+    while True:
         level += 1
-        open_ = edges.join(settled.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src").alias("node")).distinct()
-        ready = _cut(rest.join(open_, "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            return settled.unionByName(rest.withColumn("level", F.lit(0)))
-        settled = _cut(settled.unionByName(ready))
-        rest = _cut(rest.join(ready, "node", "left_anti"))
-    return settled
+        open_ = cut(open_.join(settled[-1].select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        done = _union(settled).select("node")
+        ready, n = cut_and_count(nodes.join(open_.select(F.col("src").alias("node")), "node", "left_anti").join(done, "node", "left_anti").withColumn("level", F.lit(level)))
+        if not n:
+            rest = nodes.join(done, "node", "left_anti").withColumn("level", F.lit(0))
+            return _union([*settled, rest])
+        settled.append(ready)
+
+
+def closure_sizes(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(node, n)``: how many nodes each one reaches, most first when ordered by ``n`` and then by node."""
+    return reach_from_each(edges, max_depth).where("root <> node").groupBy(F.col("root").alias("node")).agg(F.count("*").alias("n"))
+
+
+def override_cascade(overrides: DataFrame, members: DataFrame) -> DataFrame:
+    """``(node, origin)``: all members that override, or are overridden by, one of ``members(node)``, by any number of steps of ``overrides(src, dst)``: src overrides dst."""
+    edges = _edges(overrides)
+    up = reach(edges, members)
+    tops = up.join(edges.select(F.col("src").alias("node")), "node", "left_anti").select("node")
+    down = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach(down, tops).select("node", (F.col("depth") == 0).alias("origin"))

@@ -392,17 +392,9 @@ def find_event_subscribers(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("event_type in ('signup', 'purchase')").select("event_id", "user_id", (F.col("event_type") == "signup").alias("subscribes"), handler.alias("handler"))
 
 
-@_query("SELECT name AS request, CASE count(p_partkey) WHEN 0 THEN 'notFound' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status, count(p_partkey) AS n FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 3 UNION SELECT 'no such part') LEFT JOIN (SELECT * FROM part WHERE p_size < 3) ON p_name = name GROUP BY name")
-def get_method_source(spark: SparkSession, d: str) -> DataFrame:
-    parts = _t(spark, d, "part").where("p_size < 3").select(F.col("p_name").alias("request"), "p_partkey")
-    asked = parts.select("request").distinct().unionByName(spark.createDataFrame([("no such part",)], "request string"))
-    n = F.count("p_partkey")
-    return asked.join(parts, "request", "left").groupBy("request").agg(F.when(n == 0, "notFound").when(n == 1, "ok").otherwise("ambiguous").alias("status"), n.alias("n"))
-
-
 @_query("SELECT name AS request, CASE count(p_partkey) WHEN 0 THEN 'notFound' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status, count(p_partkey) AS n FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL UNION SELECT 'no such part') LEFT JOIN part ON p_name = name GROUP BY name")
-def get_method_source_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``get_method_source``, with every distinct name requested and all of ``part`` to resolve against."""
+def get_method_source(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct name is requested and resolved against the whole table."""
     parts = _t(spark, d, "part").where("p_name is not null").groupBy(F.col("p_name").alias("request")).agg(F.count("p_partkey").alias("found"))
     asked = parts.select("request").unionByName(spark.createDataFrame([("no such part",)], "request string")).distinct()
     n = F.coalesce("found", F.lit(0))
@@ -469,8 +461,8 @@ def analyze_data_flow(spark: SparkSession, d: str) -> DataFrame:
 def rename_symbol(spark: SparkSession, d: str) -> DataFrame:
     symbols = _t(spark, d, "part").select(F.col("p_partkey").alias("target"), F.col("p_name").alias("name"), F.col("p_brand").alias("container"))
     brand = symbols.where("target = 77").select("container")
-    taken = symbols.join(brand, "container", "left_semi").where("target <> 77").agg(F.min("name")).first()[0]
-    return Q.rename_plan(symbols, _occurrences(spark, d), _targets(spark, d, "p_partkey = 77"), taken or "renamed")
+    taken = symbols.join(brand, "container", "left_semi").where("target <> 77").agg(F.coalesce(F.min("name"), F.lit("renamed")).alias("new"))
+    return Q.rename_plan(symbols, _occurrences(spark, d), _targets(spark, d, "p_partkey = 77"), taken)
 
 
 @_query("SELECT p_brand AS namespace, count(*) AS n_types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM part GROUP BY p_brand")

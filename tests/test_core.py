@@ -148,6 +148,53 @@ def test_innermost(spark):
     assert [tuple(r)[:4] for r in Q.innermost(points, spans).collect()] == [(1, 5, 1, 8)]
 
 
+def test_innermost_by_brute_force(spark):
+    """Nested and neighbouring spans with common borders, empty and open ones, several scopes, points at borders and twice."""
+    rnd = random.Random(3)
+    spans, points = [], []
+
+    def nest(scope, low, high, depth):
+        at = low
+        while at < high:
+            stop = rnd.randint(at, high)
+            if rnd.random() < 0.7:
+                spans.append((scope, at, stop, len(spans)))
+                if depth and stop > at:
+                    nest(scope, at, stop, depth - 1)
+            at = max(stop, at + 1)
+
+    for scope in range(5):
+        nest(scope, 0, 60, 3)
+        points += [(scope, rnd.randint(-2, 65), k) for k in range(60)]
+    spans += [(0, 3, None, 1000), (None, 1, 5, 1001)]
+    points += [points[0], (9, 1, 1)]
+    want = set()
+    for scope, at, i in points:
+        held = [(start, -stop, span) for s, start, stop, span in spans if s == scope and stop is not None and start <= at < stop]
+        if held:
+            start, _, span = max(held)
+            want.add((scope, at, i, span, start))
+    got = Q.innermost(spark.createDataFrame(points, "scope int, at int, id int"), spark.createDataFrame(spans, "scope int, start int, stop int, span int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_call_graph(spark, edges):
+    nodes, inside = graph.call_graph(edges, seed(spark, 1), "callees", 2, 500)
+    assert sorted(map(tuple, nodes.collect())) == [(1, 0, True), (2, 1, True), (3, 2, False), (4, 2, False)]
+    assert sorted(map(tuple, inside.collect())) == [(1, 2), (2, 3), (2, 4), (3, 1), (3, 4), (4, 4)]
+    nodes, _ = graph.call_graph(edges, seed(spark, 4), "callers", 5, 2)
+    assert [r.node for r in nodes.orderBy("depth", "node").collect()] == [4, 2]
+    assert {r.node for r in graph.call_graph(edges, seed(spark, 5), "both", 1)[0].collect()} == {5, 6}
+    with pytest.raises(errors.InvalidArgument):
+        graph.call_graph(edges, seed(spark, 1), "up")
+
+
+def test_closure_sizes_and_overrides(spark, edges):
+    assert dict(map(tuple, graph.closure_sizes(edges).collect())) == {1: 3, 2: 3, 3: 3, 5: 1, 6: 1}
+    overrides = spark.createDataFrame([(2, 1), (3, 2), (4, 1), (6, 5)], "src int, dst int")
+    assert sorted(map(tuple, graph.override_cascade(overrides, seed(spark, 3)).collect())) == [(1, True), (2, False), (3, False), (4, False)]
+
+
 def test_extract():
     rows = csharp.extract(SOURCE)
     of = lambda kind: [(r[1], r[7]) for r in rows if r[0] == kind]
@@ -307,5 +354,5 @@ def test_components_have_cycles_of_any_length(spark):
 def test_requests_resolve_against_the_whole_table(spark, tmp_path):
     rows = [(1, "a", 1), (2, "a", 40), (3, "b", 2), (4, "c", 50), (5, None, 1)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.request: (r.status, r.n) for r in driver_queries.QUERIES["get_method_source_all"](spark, str(tmp_path)).collect()}
+    got = {r.request: (r.status, r.n) for r in driver_queries.QUERIES["get_method_source"](spark, str(tmp_path)).collect()}
     assert got == {"a": ("ambiguous", 2), "b": ("ok", 1), "c": ("ok", 1), "no such part": ("notFound", 0)}
