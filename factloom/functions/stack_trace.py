@@ -4,40 +4,71 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STATE_MACHINE = re.compile(r"\.?<([\w.]+)>d__\d+(?:`\d+)?\.MoveNext$")
-_LOCAL = re.compile(r"<([\w.]+)>g__(\w+)\|[\d_]+$")
-_LAMBDA = re.compile(r"(?:\.<>c(?:__DisplayClass\d+_\d+)?)?\.<([\w.]+)>b__[\d_]+$")
+# Shapes of names that the compiler makes, after ``+`` has become a dot: an optional closure class, the enclosing method
+# in angle brackets, and what it holds; those of asynchronous code run in a method MoveNext of a nested type.
+_CLOSURE = r"(?:\.<>c(?:__DisplayClass\d+_\d+)?)?"
+_MOVE = r">d(?:__\d+)?(?:`\d+)?\.MoveNext$"
+_SHAPES = [
+    (re.compile(_CLOSURE + r"\.<<([\w.]+)>g__(\w+)\|[\d_]+" + _MOVE), "localFunction"),
+    (re.compile(_CLOSURE + r"\.<<([\w.]+)>b__[\d_]+" + _MOVE), "lambda"),
+    (re.compile(_CLOSURE + r"\.<([\w.]+)>d(?:__\d+)?(?:`\d+)?\.MoveNext$"), "stateMachine"),
+    (re.compile(_CLOSURE + r"\.<([\w.]+)>g__(\w+)\|[\d_]+$"), "localFunction"),
+    (re.compile(_CLOSURE + r"\.<([\w.]+)>b__[\d_]+$"), "lambda"),
+]
+
+
+def plain_name(name: str) -> str:
+    """A name with dots for nesting, without arity and type arguments, however deep."""
+    name = re.sub(r"`\d+", "", name.replace("+", "."))
+    for opened, closed in ("[]", "<>"):
+        out, depth = [], 0
+        for c in name:
+            depth += c == opened
+            if not depth:
+                out.append(c)
+            depth -= c == closed and depth > 0
+        name = "".join(out)
+    return name
 
 
 def demangle(name: str) -> tuple[str, str]:
     """The name as written in source, and what the compiler had made of it."""
-    if m := _STATE_MACHINE.search(name):
-        return f"{name[: m.start()]}.{m[1]}".replace("+", "."), "stateMachine"
-    if m := _LOCAL.search(name):
-        return f"{name[: m.start()].rstrip('.')}.{m[1]}.{m[2]}".replace("+", "."), "localFunction"
-    if m := _LAMBDA.search(name):
-        return f"{name[: m.start()]}.{m[1]}".replace("+", "."), "lambda"
-    name = re.sub(r"`\d+|\[[^\]]*\]", "", name).replace("+", ".")
-    if name.endswith("..ctor") or name.endswith("..cctor"):
+    dotted = name.replace("+", ".")
+    for shape, kind in _SHAPES:
+        if m := shape.search(dotted):
+            return ".".join([plain_name(dotted[: m.start()]), *(g.lstrip(".") for g in m.groups())]), kind
+    name = plain_name(dotted)
+    if name.endswith(("..ctor", "..cctor")):
         head = name.rpartition("..")[0]
         return f"{head}.{head.rpartition('.')[2]}", "constructor"
     return name, "method"
 
 
+def top_level_count(parameters: Column) -> Column:
+    """How many parameters a list has: top-level commas and one, 0 if it is empty."""
+    inner = parameters
+    for _ in range(5):  # innermost brackets first
+        inner = F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}", "")
+    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).otherwise(F.size(F.split(inner, ",")))
+
+
 def trace_rows(traces: DataFrame) -> DataFrame:
     """``(trace_id, position, kind, symbol, origin, parameters, file, line)`` of ``traces(trace_id, text)``; blank and separator lines are left out.
 
-    Lines are told apart in the JVM; only distinct frame names are demangled in Python.
+    A frame is what follows ``at``, after any prefix of a log; native offsets are dropped. An exception is a dotted name, or one
+    that ends in Exception, at a line's start, after ``--->`` or a log's bracket. Other lines are unknown. Lines are told apart in the JVM; only
+    distinct frame names are demangled in Python.
     """
     lines = traces.select("trace_id", F.posexplode(F.split("text", r"\r?\n")).alias("position", "raw")).withColumn("raw", F.trim("raw")).where("raw <> '' and not startswith(raw, '--- ')")
-    frame = r"^at ([^(\s][^(]*)\((.*?)\)(?: in (.+):line (\d+))?$"
-    kind = F.when(F.col("raw").rlike(frame), "frame").when(F.col("raw").startswith("at "), "unknown").otherwise("exception")
+    frame = r"^(?:.*\s)?at ([^(\s][^(]*)\((.*?)\)(?: \+ 0x[0-9a-fA-F]+)?(?: in (.+):line (\d+))?$"
+    header = r"^(?:.*\]\s+)?(?:---> )?(?:\(Inner Exception #\d+\) )?(?:Unhandled exception\. )?((?:[A-Za-z_]\w*\.)+[\w+`]+|\w*Exception)(?::.*|\s*)$"
+    kind = F.when(F.col("raw").rlike(frame), "frame").when(F.col("raw").rlike(header), "exception").otherwise("unknown")
     part = lambda n: F.nullif(F.regexp_extract("raw", frame, n), F.lit(""))
-    header = F.regexp_extract("raw", r"^(?:---> )?(?:Unhandled exception\. )?([\w.+`]+)", 1)
-    rows = lines.select("trace_id", "position", kind.alias("kind"), F.coalesce(F.trim(part(1)), F.when(kind == "exception", header)).alias("name"), F.when(kind == "frame", F.when(part(2).isNull(), 0).otherwise(F.size(F.split(part(2), ",")))).alias("parameters"), part(3).alias("file"), part(4).cast("int").alias("line"))
+    name = F.when(kind == "frame", F.trim(part(1))).when(kind == "exception", F.regexp_extract("raw", header, 1))
+    rows = lines.select("trace_id", "position", kind.alias("kind"), name.alias("name"), F.when(kind == "frame", top_level_count(part(2))).alias("parameters"), part(3).alias("file"), part(4).cast("int").alias("line"))
 
     @F.pandas_udf("symbol string, origin string")
     def readable(names):
