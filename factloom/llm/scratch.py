@@ -34,8 +34,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """Deal ``df`` by ``key`` and cut; later groupings by ``key`` then move only their other side.
+def cut_by(df: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """Deal ``df`` by ``key`` to ``width`` partitions and cut; later groupings by ``key`` then move only their other side.
 
     A checkpoint keeps its partitioning only if the plan that it comes from is not adaptive.
     """
@@ -43,7 +43,7 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(shuffle_width(spark), key))
+        return cut(df.repartition(width or shuffle_width(spark), key))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
 

@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import cut, cut_by, small_batches
+from .scratch import cut, cut_by, shuffle_width, small_batches
 
 BATCH_BYTES = 4 << 20
+#: Text in a partition of batches, about; there are at least as many partitions as the session gives a shuffle.
+PARTITION_BYTES = 64 << 20
 _U = np.uint64
 _BATCH = "part long, ids binary, at binary, texts binary"
 _SENT = "part long, level int, bucket long, keys binary, owners binary"
@@ -229,12 +231,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``window`` words that also starts in a document of a smaller id is removed; windows are judged on
     the input. Null, empty and shorter texts have no window. Rows that repeat an id do not count as
     smaller than each other, so they keep what only they share; each gives a row. Rows without an id
-    are left out; other columns are ignored; an empty table gives an empty result.
+    are left out; whole texts count, however long; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    store = cut_by(docs.mapInArrow(_pack, _BATCH), "part")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    store = cut_by(docs.mapInArrow(_pack, _BATCH), "part", max(shuffle_width(spark), -(-size // PARTITION_BYTES)))
     buckets = min(max(store.count(), 1), 1 << 31)
     held = store.groupBy("part")
     bits = spark.createDataFrame([], _BITS)

@@ -191,6 +191,23 @@ def test_substring_dedup(docs, none, monkeypatch, size):
     assert substring_dedup.substring_dedup(none).collect() == []
 
 
+def test_substring_dedup_of_repeated_ids(spark, monkeypatch):
+    """Rows that share an id do not count as smaller than each other; rows without one are left out; many partitions."""
+    monkeypatch.setattr(substring_dedup, "PARTITION_BYTES", 100)
+    run, own = " ".join(f"w{k}" for k in range(13)), " ".join(f"v{k}" for k in range(20))
+    rows = [(5, run), (5, run), (5, f"a {run}"), (9, f"{run} tail"), (None, run), (7, own), (7, own), (2, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, part string, level int")).collect())
+    assert got == [(2, 0, 0), (5, 13, 0), (5, 13, 0), (5, 14, 0), (7, 20, 0), (7, 20, 0), (9, 14, 13)]
+
+
+def test_bpe_of_odd_rows(spark):
+    """Null and repeated ids, null, empty and very long texts, clashing columns: a row for each row."""
+    long = "Straße 漢字 🙂 1234 " * 20_000
+    rows = [(None, "a"), (1, "a"), (1, "a"), (1, None), (2, ""), (3, long)]
+    got = bpe.encode_decode(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_tokens int, ids string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted(((r.doc_id, r.decoded_sha256) for r in got), key=repr) == sorted(((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=repr)
+
+
 def test_substring_levels_at_most_double():
     for window in range(1, 200):
         chain = substring_dedup.lengths(window)
