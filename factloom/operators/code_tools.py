@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.errors import InvalidArgument, SymbolNotFound
+from factloom.functions.predicates import match_rank
 from factloom.sources.csharp import REF_KINDS
 
 from .graph import reach
@@ -455,3 +456,155 @@ def test_skeletons(facts: DataFrame, requests: DataFrame, framework: str | None
     sut = F.when(F.col("x").isNotNull(), F.concat(F.lit("new "), "name", F.lit("("), given, F.lit(")"))).when(F.col("declared").isNull(), F.concat(F.lit("new "), "name", F.lit("()"))).otherwise(F.lit("default! /* TODO: make one */"))
     text = F.concat(F.lit("public class "), "name", F.lit("Tests\n{\n    private readonly "), "name", F.lit(" _sut = "), sut, F.lit(";\n\n"), F.coalesce("body", F.lit("")), F.lit("}\n"))
     return rows.select("type", F.concat("name", F.lit("Tests")).alias("class_name"), text.alias("text"))
+
+
+def search(facts: DataFrame, query: str, metadata: DataFrame | None = None) -> DataFrame:
+    """``(id, full_name, name, kind, project, file, line, rank)``: types, then members, whose simple name holds the query, case ignored; exact first, then prefixes.
+
+    Only if no type or member does, and the query has 3 characters or more, types of ``metadata(full_name, name)`` are looked at.
+    """
+    found = symbols(facts).withColumn("rank", match_rank(F.col("name"), query)).where("rank is not null").select("id", "full_name", "name", "kind", "project", "file", "line", "rank")
+    if metadata is None or len(query) < 3:
+        return found
+    other = metadata.withColumn("rank", match_rank(F.col("name"), query)).where("rank is not null")
+    none = found.limit(1).agg((F.count("*") == 0).alias("none")).where("none")
+    other = other.join(F.broadcast(none)).select(F.col("full_name").alias("id"), "full_name", "name", F.lit("metadata").alias("kind"), F.lit("").alias("project"), F.lit("").alias("file"), F.lit(0).alias("line"), "rank")
+    return found.unionByName(other)
+
+
+# Attributes that excuse a symbol without references, by reason.
+EXCUSES = {
+    "mcpTool": ["McpServerTool", "McpServerToolType", "McpServerPrompt", "McpServerResource"],
+    "generated": ["GeneratedCode", "CompilerGenerated"],
+    "testMethod": [*TEST_ATTRIBUTES, "SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown", "TestInitialize", "TestCleanup"],
+    "testContainer": ["TestFixture", "TestClass", "Collection"],
+    "composition": ["Export", "InheritedExport", "Import", "ImportMany", "ImportingConstructor"],
+    "interop": ["FieldOffset", "MarshalAs", "StructLayout", "InlineArray"],
+}
+
+
+def excuses(facts: DataFrame) -> DataFrame:
+    """``(symbol, reason)``: the first reason, in the order of ``EXCUSES``, that excuses a type or member by its own attributes or its type's; a type with a test, or below one, is a test container."""
+    short = F.regexp_replace(last_segment(F.col("name")), "Attribute$", "")
+    rank = F.lit(None).cast("int")
+    for n, names in reversed(list(enumerate(EXCUSES.values()))):
+        rank = F.when(F.col("short").isin(names), n).otherwise(rank)
+    marked = facts.where("kind = 'attribute'").withColumn("short", short).withColumn("rank", rank).where("rank is not null").select(F.col("container").alias("symbol"), "rank")
+    members = facts.where("kind = 'member'").select(F.col("full_name").alias("symbol"), F.col("container").alias("type"), "detail").distinct()
+    tests = marked.where("rank = 2").join(members, "symbol").select(F.col("type").alias("node"))
+    containers = tests.unionByName(marked.where("rank = 3").select(F.col("symbol").alias("node"))).distinct()
+    down = base_edges(facts).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    below = reach(down, containers).select(F.col("node").alias("symbol"), F.lit(3).alias("rank"))
+    own = marked.where("rank <> 5 and rank <> 3").unionByName(below)
+    interop = marked.where("rank = 5").join(members.where("detail = 'field'").select("symbol"), "symbol", "left_semi")
+    by_type = own.where("rank <> 2").unionByName(marked.where("rank = 5")).withColumnRenamed("symbol", "type").join(members, "type").where("rank <> 5 or detail = 'field'").select("symbol", "rank")
+    best = own.unionByName(interop).unionByName(by_type).groupBy("symbol").agg(F.min("rank").alias("rank"))
+    return best.select("symbol", F.element_at(F.array(*(F.lit(x) for x in EXCUSES)), F.col("rank") + 1).alias("reason"))
+
+
+def unused_symbols(facts: DataFrame, internal: bool = False, project: str | None = None) -> DataFrame:
+    """``(id, name, kind, project, file, line, excused)``: types and members whose name nothing refers to, and what excuses each (null: nothing).
+
+    Public ones, and with ``internal`` others too; interfaces, static types, types with a Main, overrides, constructors, operators and
+    what is not a type, method, property, field or event are left out, as are members of a type that is unused itself, and of interfaces. Uses in generated
+    files (by name) do not count.
+    """
+    rows = symbols(facts).where("kind in ('class', 'struct', 'record', 'enum', 'delegate', 'method', 'property', 'field', 'event') and name <> 'Main'")
+    holders = facts.where("kind = 'type' and detail = 'interface'").select(F.col("full_name").alias("container")).distinct()
+    mains = facts.where("kind = 'member' and name = 'Main'").select(F.col("container").alias("full_name")).distinct()
+    access = accessibility(F.col("modifiers"), "private")
+    rows = rows.where(~has_word(F.col("modifiers"), "override") & ~((F.col("what") == "type") & has_word(F.col("modifiers"), "static")))
+    rows = rows.where((access == "public") if not internal else F.lit(True)).join(holders, "container", "left_anti").join(mains, "full_name", "left_anti")
+    rows = rows if project is None else rows.where(F.lower("project") == project.lower())
+    used = facts.where("kind = 'ref'").where(~F.lower("file").endswith(".g.cs")).select("name").distinct()
+    implemented = facts.where("kind = 'member'").join(holders, "container", "left_semi").select("name").distinct()
+    loose = rows.join(used, "name", "left_anti").join(implemented, "name", "left_anti")
+    dead = loose.where("what = 'type'").select(F.col("full_name").alias("container")).distinct()
+    loose = loose.join(dead, "container", "left_anti").join(excuses(facts).withColumnRenamed("symbol", "full_name"), "full_name", "left")
+    return loose.select("id", "name", "kind", "project", "file", "line", F.col("reason").alias("excused"))
+
+
+def obsolete_usage(facts: DataFrame) -> DataFrame:
+    """``(name, is_error, n, first_file, message)``: symbols with an Obsolete attribute, and how often their names are used."""
+    marked = facts.where("kind = 'attribute'").where(last_segment(F.col("name")).isin("Obsolete", "ObsoleteAttribute"))
+    message = F.regexp_extract("detail", r'^"((?:[^"\\]|\\.)*)"', 1)
+    marked = marked.groupBy(F.col("container").alias("symbol")).agg(F.max(F.col("detail").rlike(r",\s*(?:error\s*:\s*)?true\s*$")).alias("is_error"), F.min(message).alias("message"))
+    uses = facts.where("kind = 'ref'").groupBy("name").agg(F.count("*").alias("n"), F.min("file").alias("first_file"))
+    return marked.withColumn("name", last_segment(F.col("symbol"))).join(uses, "name").select(F.col("symbol").alias("name"), "is_error", "n", "first_file", "message")
+
+
+def large_classes(facts: DataFrame, max_members: int = 20, max_lines: int = 500, project: str | None = None) -> DataFrame:
+    """``(type, members, lines, size, project)``: types with at least so many members or lines."""
+    types = facts.where("kind = 'type'").groupBy(F.col("full_name").alias("type")).agg(F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"), F.min("project").alias("project"))
+    members = facts.where("kind = 'member'").groupBy(F.col("container").alias("type")).agg(F.count("*").alias("members"))
+    rows = types.join(members, "type", "left").withColumn("members", F.coalesce("members", F.lit(0)))
+    rows = rows if project is None else rows.where(F.lower("project") == project.lower())
+    return rows.where((F.col("members") >= max_members) | (F.col("lines") >= max_lines)).select("type", "members", "lines", F.greatest("members", "lines").alias("size"), "project")
+
+
+def api_entries(facts: DataFrame) -> DataFrame:
+    """A surface to compare: ``(name, kind, access, seq)`` with a smaller access for wider ones."""
+    order = F.when(F.col("access") == "public", 0).when(F.col("access") == "protected internal", 1).otherwise(2)
+    return public_api(facts).select(F.col("signature").alias("name"), "kind", order.alias("access"), F.struct("project", "file", "line").alias("seq"))
+
+
+def read_baseline(facts: DataFrame, path: str) -> DataFrame:
+    """The surface that a JSON file holds as a list of ``{"name", "kind", "accessibility"}``; later entries of a name win. Comments are allowed."""
+    rows = facts.sparkSession.read.schema("name string, kind string, accessibility string").option("allowComments", True).json(path, multiLine=True)
+    order = F.when(F.lower("accessibility") == "public", 0).when(F.lower("accessibility") == "protected internal", 1).otherwise(2)
+    return rows.where("name is not null").select("name", "kind", order.alias("access"), F.monotonically_increasing_id().alias("seq"))
+
+
+def breaking_changes(facts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``(severity, change, name)`` of the facts' surface against ``baseline(name, kind, access, seq)``."""
+    from .code_queries import breaking_changes as compare
+
+    return compare(baseline, api_entries(facts)).select("severity", "change", "name")
+
+
+def conflicts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(id, path, line, n)``: errors ``(id, path, line, suppressed)`` that a change adds: for each id and path, case ignored, as many rows as there are more of
+    them after than before, those on lines unseen before first."""
+
+    def live(df: DataFrame) -> DataFrame:
+        return df.where(~F.coalesce("suppressed", F.lit(False))).withColumn("key", F.lower("path"))
+
+    had = live(before).groupBy("id", "key").agg(F.count("*").alias("had"), F.collect_set("line").alias("lines"))
+    place = Window.partitionBy("id", "key").orderBy(F.array_contains(F.coalesce("lines", F.array().cast("array<int>")), F.col("line").cast("int")), "line", "path")
+    size = Window.partitionBy("id", "key")
+    rows = live(after).join(had, ["id", "key"], "left").withColumn("more", F.count("*").over(size) - F.coalesce("had", F.lit(0)))
+    return rows.withColumn("n", F.row_number().over(place)).where("n <= more").select("id", "path", "line", "n")
+
+
+def refuse_degraded(load_diagnostics: DataFrame) -> None:
+    """An error if the load had failures ``(project, message)``: no change is planned on a snapshot with gaps."""
+    rows = load_diagnostics.limit(10).collect()
+    if rows:
+        raise InvalidArgument("the snapshot was loaded with gaps", diagnostics=[r.asDict() for r in rows])
+
+
+SEVERITIES = ["error", "warning", "info", "hidden"]
+
+
+def diagnostics(rows: DataFrame, severity: str = "warning", project: str | None = None) -> DataFrame:
+    """Rows ``(id, severity, suppressed, project, file, line, ...)`` that are not suppressed and at least as severe, with their ``rank``."""
+    if severity.lower() not in SEVERITIES:
+        raise InvalidArgument("unknown severity", severity=severity, known=SEVERITIES)
+    rank = F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.lower("severity")).cast("int")
+    out = rows.withColumn("rank", rank).where((F.col("rank") > 0) & (F.col("rank") <= SEVERITIES.index(severity.lower()) + 1) & ~F.coalesce("suppressed", F.lit(False)))
+    return out if project is None else out.where(F.lower("project").contains(project.lower()))
+
+
+def god_objects(facts: DataFrame, lines: int = 300, members: int = 15, fields: int = 10, least: int = 5) -> DataFrame:
+    """``(type, lines, members, fields, n_in, n_out, axes)``: types over every size axis that ``least`` namespaces or more refer to, or that refer to as many, those of the framework not counted."""
+    from .code_queries import god_objects as over
+
+    types = facts.where("kind = 'type'").groupBy(F.col("full_name").alias("type"), "name", F.col("container").alias("ns")).agg(F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
+    counted = facts.where("kind = 'member'").groupBy(F.col("container").alias("type")).agg(F.count("*").alias("members"), F.count_if(F.col("detail") == "field").alias("fields"))
+    sizes = types.join(counted, "type").select("type", "lines", "members", "fields")
+    names = types.select("type", "name", "ns").where(~F.col("ns").rlike("^(?:" + "|".join(FRAMEWORK) + r")(?:\.|$)"))
+    refs = facts.where("kind = 'ref'").select("name", F.col("container").alias("member")).distinct()
+    owner = facts.where("kind = 'member'").select(F.col("full_name").alias("member"), F.col("container").alias("holder")).distinct()
+    uses = refs.join(owner, "member").join(names, "name").where("holder <> type").join(names.select(F.col("type").alias("holder"), F.col("ns").alias("from_ns")), "holder")
+    both = uses.select("type", F.lit("in").alias("way"), F.col("from_ns").alias("ns")).unionByName(uses.select(F.col("holder").alias("type"), F.lit("out").alias("way"), "ns"))
+    return over(sizes, {"lines": lines, "members": members, "fields": fields}, both.distinct(), least, least).withColumn("axes", F.lit(3) + (F.col("n_in") >= least).cast("int") + (F.col("n_out") >= least).cast("int"))

@@ -248,3 +248,78 @@ def test_trace_lines(spark):
     text = "2026-07-19 06:12 [ERR]    at Demo.Store.Run(Func`2<Int32, String> f, (Int32, Int32) p)\nERROR: disk\n   at Program.Main() + 0x1b\n[ERR] System.IOException: x\nTimeoutException"
     got = [(r.kind, r.symbol, r.parameters) for r in trace_rows(spark.createDataFrame([(1, text)], "trace_id int, text string")).orderBy("position").collect()]
     assert got == [("frame", "Demo.Store.Run", 2), ("unknown", None, None), ("frame", "Program.Main", 0), ("exception", "System.IOException", None), ("exception", "TimeoutException", None)]
+
+
+def test_tools_by_name(spark, facts):
+    import json
+
+    from factloom.plans import tools
+
+    out = tools.run("find_naming_violations", facts, limit=2)
+    text = json.loads(tools.to_json(out).first().json)
+    assert text["totalCount"] == 4 and text["truncated"] and text["limit"] == 2 and [x["rule"] for x in text["items"]] == ["InterfacePrefix", "ParameterCamelCase"]
+    assert text["summary"] == {"byRule": {"InterfacePrefix": 1, "ParameterCamelCase": 1, "PrivateFieldUnderscore": 1, "PropertyPascalCase": 1}}
+    out = tools.run("find_async_violations", facts)
+    assert [r.severity for r in out.items.collect()] == ["Error", "Error", "Warning", "Warning"] and not out.meta.first().truncated
+    assert json.loads(tools.to_json(tools.run("get_overloads", facts, ask(spark, "nothing"))).first().json) == {"items": [], "totalCount": 0, "truncated": False, "limit": 2**31 - 1, "summary": {}}
+    for wrong in (("nope", {}), ("find_naming_violations", {"limit": -1})):
+        with pytest.raises(errors.InvalidArgument):
+            tools.run(wrong[0], facts, **wrong[1])
+
+
+DEAD = """
+public class Used { public void Call() { Other(); } public void Other() { } public void Alone() { } [McpServerTool] public void Tool() { } internal void Quiet() { } public override string ToString() => ""; }
+public class Gone { public void Inside() { } }
+public class Tests { [Fact] public void T() { var u = new Used(); u.Call(); } public void Helper() { } }
+public class MoreTests : Tests { public void Extra() { } }
+[StructLayout(1)] public struct Raw { public int Handle; }
+public interface IThing { void Do(); }
+public class Thing : IThing { public void Do() { } }
+[Obsolete("use Used", true)] public class Old { }
+public class User { Old old; Old other; Thing t; Raw r; }
+public class Program { public static void Main() { new User(); new MoreTests(); } }
+"""
+
+
+def test_unused_and_obsolete(spark):
+    facts = csharp.facts(spark.createDataFrame([("a.cs", "p", DEAD), ("x.g.cs", "p", "class G { void M() { Alone(); } }")], "file string, project string, text string"))
+    got = {r.id: r.excused for r in T.unused_symbols(facts).collect()}
+    assert got == {"Used.Alone()": None, "Used.Tool()": "mcpTool", "Gone": None, "Tests.T()": "testMethod", "Tests.Helper()": "testContainer", "MoreTests.Extra()": "testContainer", "Raw.Handle": "interop"}
+    assert "Used.Quiet()" in {r.id for r in T.unused_symbols(facts, internal=True).collect()}
+    assert [tuple(r) for r in T.obsolete_usage(facts).collect()] == [("Old", True, 2, "a.cs", "use Used")]
+    assert [r.type for r in T.large_classes(facts, 6, 100).collect()] == ["Used"]
+    assert sorted((r.name, r.rank) for r in T.search(facts, "TOOL").collect()) == [("Tool", 0)]
+    metadata = spark.createDataFrame([("System.Text.Encoder", "Encoder")], "full_name string, name string")
+    assert [r.kind for r in T.search(facts, "enco", metadata).collect()] == ["metadata"] and T.search(facts, "en", metadata).count() == 0
+
+
+def test_baseline_and_conflicts(spark, facts, tmp_path):
+    (tmp_path / "api.json").write_text('[ /* old */ {"name": "Shop.Web.Store", "kind": "class", "accessibility": "Public"}, {"name": "Shop.Web.Lost", "kind": "class", "accessibility": "Public"}, {"name": "Shop.Web.Store.Pay()", "kind": "method", "accessibility": "Public"}]')
+    got = {(r.change, r.name) for r in T.breaking_changes(facts, T.read_baseline(facts, str(tmp_path / "api.json"))).where("severity = 'Breaking'").collect()}
+    assert got == {("Removed", "Shop.Web.Lost"), ("AccessibilityNarrowed", "Shop.Web.Store.Pay()")}
+    schema = "id string, path string, line int, suppressed boolean"
+    before = spark.createDataFrame([("E1", "A.cs", 1, False), ("E1", "a.cs", 2, False), ("E2", "b.cs", 1, True)], schema)
+    after = spark.createDataFrame([("E1", "a.cs", 1, False), ("E1", "a.cs", 2, None), ("E1", "A.CS", 9, False), ("E2", "b.cs", 1, False), ("E3", "c.cs", 1, True)], schema)
+    assert sorted((r.id, r.line) for r in T.conflicts(before, after).collect()) == [("E1", 9), ("E2", 1)]
+    with pytest.raises(errors.InvalidArgument):
+        T.refuse_degraded(spark.createDataFrame([("p", "gone")], "project string, message string"))
+    T.refuse_degraded(spark.createDataFrame([], "project string, message string"))
+    rows = spark.createDataFrame([("a", "Error", False, "P1"), ("b", "warning", None, "p2"), ("c", "info", False, "p1"), ("d", "error", True, "p1")], "id string, severity string, suppressed boolean, project string")
+    assert sorted(r.id for r in T.diagnostics(rows).collect()) == ["a", "b"] and [r.id for r in T.diagnostics(rows, "error", "p").collect()] == ["a"]
+    assert T.god_objects(facts, 5, 3, 0, 1).where("type = 'Shop.Web.Store'").count() == 1 and T.god_objects(facts).count() == 0
+
+
+def test_control_flow(spark):
+    from factloom.functions.control_flow import analyze_control_flow, control_flow
+
+    text = "void M() {\n  if (a) { return 1; }\n  while (true) { if (b) break; }\n  for (;;) { go(); }\n  dead();\n}\n"
+    assert control_flow(text, 2, 2)["end_reachable"] and control_flow(text, 2, 2)["returns"] == [(2, "return 1 ;")]
+    assert control_flow(text, 3, 3)["end_reachable"] and not control_flow(text, 4, 4)["end_reachable"]
+    assert control_flow(text, 4, 5)["unreachable"] == [5]
+    assert control_flow("try { throw x; } catch { return 2; } finally { f(); }", 1, 1)["end_reachable"] is False
+    assert control_flow("if (a) return 1; else throw e;", 1, 1)["end_reachable"] is False
+    assert control_flow("do { x(); } while (true); y();", 1, 1)["unreachable"] == [1]
+    assert control_flow("continue;", 1, 1)["exits"] == [(1, "continue ;")] and control_flow(text, 50, 60) is None
+    files = spark.createDataFrame([("a.cs", text), ("b.cs", None)], "file string, text string")
+    got = analyze_control_flow(files, spark.createDataFrame([("a.cs", 2, 4), ("b.cs", 1, 2), ("a.cs", 90, 99)], "file string, start int, stop int")).collect()
+    assert [(r.file, r.end_reachable, r.returns) for r in got] == [("a.cs", False, ["2: return 1 ;"])]
