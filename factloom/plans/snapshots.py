@@ -23,12 +23,37 @@ class Catalog:
     spark: SparkSession
     loaded: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     active: str | None = None
-
-    def load(self, name: str, tables: dict[str, DataFrame]) -> None:
-        """Add or replace a snapshot and make it the active one."""
+    makers: dict[str, Callable[[], dict[str, DataFrame]]] = field(default_factory=dict)
+    skipped: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
+    broken: dict[str, str] = field(default_factory=dict)
+
+    def load(self, name: str, tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]], skipped: list[tuple[str, str]] = ()) -> None:
+        """Add or replace a snapshot and make it the active one; given as what makes its tables, it can be rebuilt. ``skipped`` are projects that could not be read, and why."""
+        if callable(tables):
+            self.makers[name] = tables
+            tables = tables()
+        else:
+            self.makers.pop(name, None)
         self.loaded[name] = tables
+        self.skipped[name] = list(skipped)
+        self.broken.pop(name, None)
         self.active = name
 
+    def rebuild(self, name: str | None = None) -> str:
+        """Make a snapshot's tables anew, the active one's by default; queries see the old ones until all are there, and go on with them if that fails."""
+        name = name or self.active
+        if name not in self.loaded:
+            raise NotLoaded("no such snapshot is loaded", name=name)
+        if name not in self.makers:
+            raise InvalidArgument("this snapshot was given as tables", name=name)
+        try:
+            self.loaded[name] = self.makers[name]()
+        except Exception as e:
+            self.broken[name] = str(e)
+            raise
+        self.broken.pop(name, None)
+        return name
+
     def activate(self, part: str) -> str:
         """The one snapshot whose name holds ``part``, ignoring case."""
         found = [n for n in self.loaded if part.lower() in n.lower()]
@@ -41,6 +66,8 @@ class Catalog:
         """Forget a snapshot; the first of the rest becomes active."""
         if self.loaded.pop(name, None) is None:
             raise ProjectNotFound("not loaded", name=name)
+        for known in (self.makers, self.skipped, self.broken):
+            known.pop(name, None)
         if self.active == name:
             self.active = next(iter(self.loaded), None)
 
@@ -49,8 +76,11 @@ class Catalog:
             raise NotLoaded("no snapshot is loaded")
         return self.loaded[self.active][name]
 
-    def listing(self) -> DataFrame:
-        return self.spark.createDataFrame([(n, n == self.active, len(t)) for n, t in sorted(self.loaded.items())], "path string, active boolean, tables int")
+    def listing(self, limit: int = 50) -> DataFrame:
+        """``(path, active, tables, status, skipped)`` in order of path; status: ready, empty, or error after a rebuild that failed."""
+        status = lambda n: "error" if n in self.broken else "ready" if self.loaded[n] else "empty"
+        rows = [(n, n == self.active, len(t), status(n), len(self.skipped.get(n, ()))) for n, t in sorted(self.loaded.items())]
+        return self.spark.createDataFrame(rows[:limit], "path string, active boolean, tables int, status string, skipped int")
 
 
 @dataclass

@@ -290,7 +290,7 @@ def test_snapshots(spark):
         catalog.activate(".sln")
     with pytest.raises(errors.ProjectNotFound):
         catalog.activate("three")
-    assert [tuple(r) for r in catalog.listing().collect()] == [("one.sln", True, 1), ("two.sln", False, 1)]
+    assert [tuple(r) for r in catalog.listing().collect()] == [("one.sln", True, 1, "ready", 0), ("two.sln", False, 1, "ready", 0)]
     catalog.unload("one.sln")
     assert catalog.active == "two.sln"
 
