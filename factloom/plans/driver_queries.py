@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions.predicates import contains_ci, percent, shortened
 from factloom.operators import code_queries as Q
-from factloom.operators import graph
+from factloom.operators import code_tools, graph
 from factloom.operators.envelope import first_by, first_sites, list_result
+from factloom.plans.snapshots import Catalog
+from factloom.streaming.changes import manifest_diff
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -468,3 +470,54 @@ def rename_symbol(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT p_brand AS namespace, count(*) AS n_types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM part GROUP BY p_brand")
 def inspect_external_assembly(spark: SparkSession, d: str) -> DataFrame:
     return Q.assembly_summary(_t(spark, d, "part").select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("name")))
+
+
+_GRAPH = f"""WITH RECURSIVE e AS ({_EDGES}), c(node, depth) AS (SELECT CAST(77 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 3),
+n AS (SELECT node, min(depth) AS depth FROM c GROUP BY node ORDER BY depth, node LIMIT 60)"""
+
+
+@_query(f"{_GRAPH} SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+def call_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Calls between the 60 nearest callees of part 77 within three steps."""
+    _, edges = graph.call_graph(_calls(spark, d), spark.createDataFrame([(77,)], "node long"), "callees", 3, 60)
+    return edges
+
+
+@_query("SELECT 'R' || r_regionkey AS node, CAST(0 AS INT) AS level FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation UNION ALL SELECT 'C' || c_custkey, 2 FROM customer")
+def project_levels(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d)
+    return graph.levels(tree, tree.select(F.col("src").alias("node")).unionByName(tree.select(F.col("dst").alias("node"))))
+
+
+@_query("SELECT 'N' || n_nationkey AS node, CAST(1 AS BIGINT) AS n FROM nation UNION ALL SELECT 'C' || c_custkey, 2 FROM customer")
+def closure_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure_sizes(_tree(spark, d))
+
+
+@_query("""WITH a AS (SELECT o_custkey AS path, max(o_orderstatus) AS old FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), b AS (SELECT o_custkey AS path, max(o_orderstatus) AS new FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE old IS NULL OR new IS NULL OR old <> new""")
+def manifest_changes(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderstatus").alias("digest"), "o_orderdate")
+    at = F.lit("1998-01-01").cast("timestamp")
+    return manifest_diff(orders.where(F.col("o_orderdate") < at), orders.where(F.col("o_orderdate") >= at))
+
+
+@_query("""WITH r AS (SELECT event_type AS id, 'U' || user_id AS path, CAST(floor(value) AS INT) AS line, event_id % 2 AS late FROM events WHERE event_type IN ('error', 'click')),
+h AS (SELECT id, path, count(*) AS had, list(DISTINCT line) AS lines FROM r WHERE late = 0 GROUP BY ALL),
+x AS (SELECT r.id, r.path, line, row_number() OVER (PARTITION BY r.id, r.path ORDER BY coalesce(list_contains(lines, line), false), line, r.path) AS n, count(*) OVER (PARTITION BY r.id, r.path) - coalesce(had, 0) AS more FROM r LEFT JOIN h ON r.id = h.id AND r.path = h.path WHERE late = 1)
+SELECT id, path, line, CAST(n AS INT) AS n FROM x WHERE n <= more""")
+def introduced_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "events").where("event_type in ('error', 'click')").select(F.col("event_type").alias("id"), F.concat(F.lit("U"), "user_id").alias("path"), F.floor("value").cast("int").alias("line"), F.lit(False).alias("suppressed"), (F.col("event_id") % 2).alias("late"))
+    return code_tools.conflicts(rows.where("late = 0").drop("late"), rows.where("late = 1").drop("late"))
+
+
+@_query("SELECT unnest(['customers', 'orders', 'parts']) AS path, unnest([false, true, false]) AS active, CAST(unnest([2, 1, 1]) AS INT) AS tables, 'ready' AS status, CAST(0 AS INT) AS skipped")
+def list_solutions(spark: SparkSession, d: str) -> DataFrame:
+    catalog = Catalog(spark)
+    catalog.load("parts", {"part": _t(spark, d, "part")})
+    catalog.load("customers", {"customer": _t(spark, d, "customer"), "nation": _t(spark, d, "nation")})
+    catalog.load("orders", lambda: {"orders": _t(spark, d, "orders")})
+    catalog.activate("CUST")
+    catalog.rebuild("orders")
+    catalog.activate("ord")
+    return catalog.listing()
