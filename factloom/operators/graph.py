@@ -25,17 +25,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Steps that a job takes from a frontier of at most ``SMALL`` nodes; from a larger one it takes one.
+STRIDE, SMALL = 3, 100_000
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``(node, depth)`` of all nodes within ``max_depth`` steps of ``seeds(node)``, seeds at 0, each at its least depth."""
-    edges = _edges(edges)
-    seen = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
-    depth, n = 0, 1
+    """``(node, depth)`` of all nodes within ``max_depth`` steps of ``seeds(node)``, seeds at 0, each at its least depth.
+
+    From a small frontier a job takes several steps: what it finds at a step without having taken out visited nodes in between
+    is visited or has been found a step before, so least depths stay right.
+    """
+    return _reach(_edges(edges), seeds, max_depth)
+
+
+def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    first, n = cut_and_count(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, frontier, depth = [first], first, 0
     while n and (max_depth is None or depth < max_depth):
-        depth += 1
-        step = edges.join(seen[-1].select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        fresh, n = cut_and_count(step.join(_union(seen).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if n:
-            seen.append(fresh)
+        stride = 1 if n > SMALL else STRIDE if max_depth is None else min(STRIDE, max_depth - depth)
+        steps, at = [], frontier.select("node")
+        for k in range(1, stride + 1):
+            at = edges.join(at.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+            steps.append(at.withColumn("depth", F.lit(depth + k)))
+        found = _union(steps).groupBy("node").agg(F.min("depth").alias("depth")) if stride > 1 else steps[0]
+        fresh = found.join(_union(seen).select("node"), "node", "left_anti")
+        depth += stride
+        fresh, n = cut_and_count(fresh, F.col("depth") == depth)
+        frontier = fresh.where(F.col("depth") == depth)
+        seen.append(fresh)
     return _union(seen)
 
 
@@ -133,33 +150,48 @@ def simple_cycles(edges: DataFrame, max_length: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: every node on a cycle of any length; ``component`` is the smallest node of its strongly connected component.
 
-    Rounds of colouring: nodes that no cycle can hold are trimmed, each node takes the smallest node that
-    reaches it as colour, and what reaches a colour's own node within the colour is one component.
+    Nodes that no cycle can hold are trimmed. First what the node of most edges reaches and is reached by is one component, most often the
+    largest. Then rounds of colouring: each node takes the smallest node that reaches it as colour, and what reaches a
+    colour's own node within the colour is one component.
     """
     steps = _edges(edges)
     loops = cut(steps.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
-    rest, found = steps.where("src <> dst"), loops.limit(0)
+    rest, n = _trimmed(steps.where("src <> dst"))
+    found = loops.limit(0)
+    if n:
+        pivot = cut(rest.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node"))
+        back = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        group = cut(_reach(rest, pivot, None).select("node").join(_reach(back, pivot, None).select("node"), "node"))
+        least = group.agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("component")
+        found = cut(group.join(F.broadcast(least)).select("node", "component"))
+        rest = _outside(rest, group)
     while True:
-        rest, n = _trimmed(rest)
         before = None
+        rest, n = _trimmed(rest)
         while n and n != before:
             before = n
             rest, n = _trimmed(rest)
         if not n:
             return found.unionByName(loops.join(found, "node", "left_anti"))
         colours = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("component", F.col("node")))
-        moved = True
+        moved = 1
         while moved:
             came = rest.join(colours.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("least"))
-            new = cut(colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
-            colours, moved = new.drop("moved"), not new.where("moved").isEmpty()
+            new = colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved"))
+            new, moved = cut_and_count(new, F.col("moved"))
+            colours = new.drop("moved")
         heads = colours.select(F.col("node").alias("src"), F.col("component").alias("head"))
         tails = colours.select(F.col("node").alias("dst"), F.col("component").alias("tail"))
         inner = cut(rest.join(heads, "src").join(tails, "dst").where("head = tail").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        group = cut(colours.join(reach(inner, colours.where("node = component")), "node", "left_semi"))
+        group = cut(colours.join(_reach(inner, colours.where("node = component"), None), "node", "left_semi"))
         several = group.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         found = cut(found.unionByName(group.join(several, "component", "left_semi").select("node", "component")))
-        rest = cut(rest.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        rest = _outside(rest, group)
+
+
+def _outside(rest: DataFrame, group: DataFrame) -> DataFrame:
+    """Edges that do not touch a node of ``group``."""
+    return cut(rest.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

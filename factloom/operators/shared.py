@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut``, with the number of rows, seen while they are written."""
+def cut_and_count(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, with the number of rows, or of those for which ``of`` holds, seen while they are written."""
     seen = Observation()
-    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    table = cut(df.observe(seen, F.count(F.lit(1) if of is None else F.when(of, 1)).alias("n")))
     return table, seen.get["n"]
