@@ -46,6 +46,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 100).otherwise(F.floor(part / whole * 100)).cast("long")
 
 
+def clamped(value: Column, low: int, high: int) -> Column:
+    """The value held between two bounds."""
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
 def glob_regex(glob: str) -> str:
     """A pattern for ``rlike`` from ``*`` and ``?``; case is ignored, and ``[`` is not allowed."""
     if "[" in glob:

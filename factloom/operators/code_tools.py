@@ -7,12 +7,13 @@ uses of all (``confidence`` says ``name_only``).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.errors import InvalidArgument, SymbolNotFound
+from factloom.errors import AmbiguousMatch, InvalidArgument, SymbolNotFound
 from factloom.functions.predicates import match_rank
 from factloom.sources.csharp import REF_KINDS
 
@@ -608,3 +609,38 @@ def god_objects(facts: DataFrame, lines: int = 300, members: int = 15, fields: i
     uses = refs.join(owner, "member").join(names, "name").where("holder <> type").join(names.select(F.col("type").alias("holder"), F.col("ns").alias("from_ns")), "holder")
     both = uses.select("type", F.lit("in").alias("way"), F.col("from_ns").alias("ns")).unionByName(uses.select(F.col("holder").alias("type"), F.lit("out").alias("way"), "ns"))
     return over(sizes, {"lines": lines, "members": members, "fields": fields}, both.distinct(), least, least).withColumn("axes", F.lit(3) + (F.col("n_in") >= least).cast("int") + (F.col("n_out") >= least).cast("int"))
+
+
+def rename(facts: DataFrame, request: str, new_name: str) -> DataFrame:
+    """``(what, file, line, col, end_col, old, new)``: the text edits of a rename, not applied, declarations and uses alike, and conflicts: members or types of the new name beside a renamed one.
+
+    The request must name one simple name; overrides and overloads share it and are renamed with it.
+    """
+    if not re.fullmatch(r"@?[^\W\d]\w*", new_name):
+        raise InvalidArgument("not a name", newName=new_name)
+    asked = facts.sparkSession.createDataFrame([(request,)], "request string")
+    found = resolve(facts, asked, required=True)
+    names = [r.name for r in found.select("name").distinct().limit(2).collect()]
+    if len(names) > 1:
+        raise AmbiguousMatch("the request has several names", request=request, names=names)
+    old = names[0]
+    declared = facts.where(F.col("kind").isin("type", "member") & (F.col("name") == old)).join(found.select("full_name").distinct(), "full_name", "left_semi")
+    spots = facts.where("kind = 'ref'").where(F.col("name") == old).select("file", "line", "col", F.lit("edit").alias("what"))
+    heads = declared.select("file", "line", "col", F.lit("declaration").alias("what"))
+    edits = spots.unionByName(heads).distinct().select("what", "file", "line", "col", (F.col("col") + len(old)).alias("end_col"), F.lit(old).alias("old"), F.lit(new_name).alias("new"))
+    taken = facts.where(F.col("kind").isin("type", "member") & (F.col("name") == new_name)).join(found.select("container").distinct(), "container", "left_semi")
+    clashes = taken.select(F.lit("conflict").alias("what"), "file", "line", "col", (F.col("col") + len(new_name)).alias("end_col"), F.col("name").alias("old"), F.lit(new_name).alias("new"))
+    return edits.unionByName(clashes)
+
+
+def doc_comment(xml: Column) -> Column:
+    """``(summary, exceptions)`` of a documentation comment's XML: its summary as one line, and the types it says may be thrown."""
+    whole = F.concat(F.lit("<doc>"), F.coalesce(xml, F.lit("")), F.lit("</doc>"))
+    summary = F.trim(F.regexp_replace(F.xpath_string(whole, F.lit("//summary")), r"\s+", " "))
+    thrown = F.transform(F.xpath(whole, F.lit("//exception/@cref")), lambda x: F.regexp_replace(x, r"^[A-Z]:", ""))
+    return F.struct(summary.alias("summary"), thrown.alias("exceptions"))
+
+
+def metadata_assemblies(types: DataFrame) -> DataFrame:
+    """``(assembly, version, n_types)`` of ``types(assembly, version, full_name)``, each assembly and version once."""
+    return types.groupBy("assembly", "version").agg(F.countDistinct("full_name").alias("n_types"))

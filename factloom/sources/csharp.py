@@ -573,7 +573,7 @@ def _members(out: _File, ts: list[Token], scope: str, inside: str) -> None:
             at_args = next((x for x in range(name_at, min(k, len(ts))) if ts[x].text == ("[" if kind == "indexer" else "(")), None)
             types = _params(out, ts[at_args + 1 : _closing(ts, at_args)], whole) if at_args is not None and kind not in ("field", "event", "property", "constant") else []
             for one, at in names:
-                out.add("member", one, scope, ts[start] if one == name else at, ts[end].line, modifiers, kind, scores[0], scores[1], nest=scores[2], type_=type_, extra=", ".join(types))
+                out.add("member", one, scope, at, ts[end].line, modifiers, kind, scores[0], scores[1], nest=scores[2], type_=type_, extra=", ".join(types))
             _types(out, ts[type_from:name_at], whole, "declaration")
             for a, at, args in attributes:
                 out.add("attribute", a, whole, at, detail=args)
@@ -680,10 +680,14 @@ def is_build_output(path: Column) -> Column:
 
 
 def scan_files(files: DataFrame, project: str | None = None, generated: bool = False) -> DataFrame:
-    """``files(file, project, text)`` as tools scan them: the project filter first, then the first project of each file, in order of project and file; generated ones only if asked."""
+    """``files(file, project, text)`` as tools scan them: the project filter first, then the first project of each file, in order of project; generated ones only if asked.
+
+    A text without a path is known by its content.
+    """
     kept = files if project is None else files.where(F.lower("project") == project.lower())
-    kept = kept if generated else kept.where(~is_generated(F.col("file"), F.col("text")))
-    return kept.groupBy("file").agg(F.min(F.struct("project", "text")).alias("x")).select("file", "x.project", "x.text")
+    kept = kept if generated else kept.where(~is_generated(F.coalesce("file", F.lit("")), F.col("text")))
+    identity = F.coalesce(F.nullif("file", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return kept.groupBy(identity.alias("file")).agg(F.min(F.struct("project", "text")).alias("x")).select("file", "x.project", "x.text")
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -203,6 +203,8 @@ def test_scan(spark):
     assert sorted((r.file, r.project) for r in csharp.scan_files(files).collect()) == [("/x/obj/d.cs", "q"), ("a.cs", "o")]
     assert [(r.file, r.project) for r in csharp.scan_files(files, "P").collect()] == [("a.cs", "p")]
     assert csharp.scan_files(files, generated=True).count() == 4
+    bare = spark.createDataFrame([("", "p", "class A {}"), (None, "o", "class A {}"), ("", "p", "class B {}")], "file string, project string, text string")
+    assert sorted((len(r.file), r.project) for r in csharp.scan_files(bare).collect()) == [(64, "o"), (64, "p")]
     assert [r.file for r in files.where(csharp.is_build_output(F.col("file"))).collect()] == ["/x/obj/d.cs"]
 
 
@@ -323,3 +325,26 @@ def test_control_flow(spark):
     files = spark.createDataFrame([("a.cs", text), ("b.cs", None)], "file string, text string")
     got = analyze_control_flow(files, spark.createDataFrame([("a.cs", 2, 4), ("b.cs", 1, 2), ("a.cs", 90, 99)], "file string, start int, stop int")).collect()
     assert [(r.file, r.end_reachable, r.returns) for r in got] == [("a.cs", False, ["2: return 1 ;"])]
+
+
+def test_rename(spark, facts):
+    rows = T.rename(facts, "Store.Make", "Create").collect()
+    assert all(SHOP.split("\n")[r.line - 1][r.col - 1 : r.end_col - 1] == "Make" for r in rows if r.file == "Shop.cs") and {r.what for r in rows} == {"edit", "declaration"} and len(rows) == 3
+    assert [r.line for r in T.rename(facts, "Store.Make", "Go").where("what = 'conflict'").collect()] == [15]
+    texts = {"Money.cs": MONEY, "Shop.cs": SHOP, "Tests.cs": TESTS}
+    assert all(texts[r.file].split("\n")[r.line - 1][r.col - 1 : r.end_col - 1] == "Store" for r in T.rename(facts, "Shop.Web.Store", "Shop2").where("what <> 'conflict'").collect())
+    with pytest.raises(errors.InvalidArgument):
+        T.rename(facts, "Store.Make", "1x")
+    with pytest.raises(errors.SymbolNotFound):
+        T.rename(facts, "nothing", "x")
+
+
+def test_documents_and_metadata(spark):
+    xml = "<summary>Buys\n  a thing.</summary><exception cref='T:System.IO.IOException'/><exception cref='Own'/>"
+    row = spark.createDataFrame([(xml,), (None,)], "x string").select(T.doc_comment(F.col("x")).alias("d")).collect()
+    assert row[0].d.summary == "Buys a thing." and row[0].d.exceptions == ["System.IO.IOException", "Own"] and row[1].d.exceptions == []
+    types = spark.createDataFrame([("A", "1", "X"), ("A", "1", "X"), ("A", "2", "Y")], "assembly string, version string, full_name string")
+    assert sorted(map(tuple, T.metadata_assemblies(types).collect())) == [("A", "1", 1), ("A", "2", 1)]
+    from factloom.functions.predicates import clamped
+
+    assert [r.v for r in spark.range(3).select(clamped(F.col("id") * 4, 1, 5).alias("v")).collect()] == [1, 4, 5]
