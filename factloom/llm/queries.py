@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preferences, decontaminate, exact_topk, language_id, licenses, line_dedup, near_dup, substring_dedup, toxicity
+from . import chat_preferences, decontaminate, exact_topk, language_id, licenses, line_dedup, near_dup, ngram_lm, substring_dedup, toxicity
 from .bpe import encode_decode
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a trigram model of nine tenths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~language_id.held_out(F.col("doc_id"), 10)).alias("learn"))
+    return ngram_lm.fit_and_score(docs, "learn")[1]
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_bpe": op2_bpe,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_topk": op10_exact_topk,
+    "op11_lm_scoring": op11_lm_scoring,
 }
 
 _OP3 = r"""
@@ -163,4 +170,36 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op8_line_dedup": _OP8, "op9_decontaminate": _OP9, "op10_exact_topk": _OP10}
+#: Probabilities are rounded to the operator's grid, in the same doubles.
+_OP11 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(0, 256)) AS n)),
+crc AS (SELECT (SELECT list(v ORDER BY n) FROM crc_table) AS t),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10 = 0, false) AS held_out
+  FROM documents, crc),
+places AS (SELECT r, held_out, unnest(range(1, len(w) + 2)) AS p, w FROM docs),
+tokens AS (
+  SELECT r, held_out, p, CASE WHEN p <= len(w) THEN w[p] ELSE ' end' END AS c, CASE WHEN p > 1 THEN w[p - 1] ELSE ' start' END AS b, CASE WHEN p > 2 THEN w[p - 2] WHEN p = 2 THEN ' start' END AS a FROM places),
+one AS (SELECT c, count(*) AS n FROM tokens WHERE NOT held_out GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM tokens WHERE NOT held_out GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM tokens WHERE NOT held_out AND a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT coalesce(sum(n), 0) AS total, count(*) AS v FROM one),
+starts AS (SELECT count(*) AS n FROM docs WHERE NOT held_out),
+counted AS (
+  SELECT tokens.*, total, v, coalesce(one.n, 0) AS n1, CASE WHEN tokens.b = ' start' THEN starts.n ELSE coalesce(x.n, 0) END AS nb, coalesce(two.n, 0) AS nbc, coalesce(y.n, 0) AS nab, CASE WHEN tokens.a = ' start' THEN starts.n ELSE coalesce(z.n, 0) END AS na, coalesce(three.n, 0) AS nabc
+  FROM tokens, total, starts LEFT JOIN one ON one.c = tokens.c LEFT JOIN one x ON x.c = tokens.b LEFT JOIN one z ON z.c = tokens.a LEFT JOIN two ON two.b = tokens.b AND two.c = tokens.c
+       LEFT JOIN two y ON y.b = tokens.a AND y.c = tokens.b LEFT JOIN three ON three.a = tokens.a AND three.b = tokens.b AND three.c = tokens.c),
+stored AS (
+  SELECT *, CASE WHEN nbc > 0 THEN pow(10, -least(round_even(-log10(nbc / (nb + PRIOR2)) * 4096, 0), 65534) / 4096) ELSE 0 END AS s2,
+         CASE WHEN nab > 0 THEN pow(10, -least(round_even(-log10(nab / (na + PRIOR2)) * 4096, 0), 65534) / 4096) * (na + PRIOR2) ELSE 0 END AS pair,
+         CASE WHEN nabc > 0 THEN pow(10, -least(round_even(-log10(nabc / (nab + PRIOR3)) * 4096, 0), 65534) / 4096) ELSE 0 END AS s3
+  FROM counted),
+likely AS (SELECT *, s2 + PRIOR2 / (nb + PRIOR2) * ((n1 + 1) / (total + v + 1)) AS p2 FROM stored)
+SELECT doc_id, docs.held_out, n_tokens, n_known, CAST(train_tokens AS BIGINT) AS train_tokens, base_score, score
+FROM docs JOIN (SELECT r, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, max(total) AS train_tokens, sum(log10((n1 + 0.1) / (total + 0.1 * (v + 1)))) AS base_score,
+                       sum(log10(CASE WHEN a IS NULL THEN p2 ELSE s3 + PRIOR3 / (pair + PRIOR3) * p2 END)) AS score FROM likely GROUP BY r) USING (r)
+""".replace("PRIOR2", repr(ngram_lm.PRIOR_2)).replace("PRIOR3", repr(ngram_lm.PRIOR_3))
+
+ORACLE_SQL = {"op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op8_line_dedup": _OP8, "op9_decontaminate": _OP9, "op10_exact_topk": _OP10, "op11_lm_scoring": _OP11}
