@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preferences, decontaminate, exact_topk, language_id, licenses, line_dedup, near_dup, ngram_lm, substring_dedup, toxicity
+from . import chat_preferences, decontaminate, exact_topk, language_id, lexical_search, licenses, line_dedup, near_dup, ngram_lm, substring_dedup, toxicity
 from .bpe import encode_decode
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,11 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.fit_and_score(docs, "learn")[1]
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for each benchmark item."""
+    return lexical_search.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_bpe": op2_bpe,
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_topk": op10_exact_topk,
     "op11_lm_scoring": op11_lm_scoring,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _OP3 = r"""
@@ -202,4 +208,17 @@ FROM docs JOIN (SELECT r, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_kn
                        sum(log10(CASE WHEN a IS NULL THEN p2 ELSE s3 + PRIOR3 / (pair + PRIOR3) * p2 END)) AS score FROM likely GROUP BY r) USING (r)
 """.replace("PRIOR2", repr(ngram_lm.PRIOR_2)).replace("PRIOR3", repr(ngram_lm.PRIOR_3))
 
-ORACLE_SQL = {"op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op8_line_dedup": _OP8, "op9_decontaminate": _OP9, "op10_exact_topk": _OP10, "op11_lm_scoring": _OP11}
+_OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+held AS (SELECT r, doc_id, len(w) AS n, w FROM docs WHERE len(w) > 0),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM held) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sums),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+           FROM asked JOIN postings USING (term) JOIN weights USING (term), sums GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op3_substring_dedup": _OP3, "op4_chat_format": _OP4, "op8_line_dedup": _OP8, "op9_decontaminate": _OP9, "op10_exact_topk": _OP10, "op11_lm_scoring": _OP11, "op12_lexical_search": _OP12}
