@@ -20,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano as E
 from . import words as W
-from .scratch import cut_in_loop, small_batches
+from .packed import gathered, pack, row, unpack
+from .scratch import cut_in_loop, scrap, small_batches
 
 #: Weights of the shorter context, for two and three tokens.
 PRIOR_2 = 2.0
@@ -49,73 +50,38 @@ _END = np.uint64(W.word_hash(b" "))
 
 _PIECES = "piece long, n_words long, n_texts long, docs binary, words binary, counts binary"
 _WORDS = "piece long, shard long, words binary, ids binary, counts binary, tokens long, known long"
-_WINDOWS = "piece long, n_windows long, docs binary, windows binary, heavy array<struct<a: long, b: long, n: long>>"
+_WINDOWS = "piece long, n_windows long, windows binary, heavy array<struct<a: long, b: long, n: long>>"
 _ANSWERS = "piece long, shard long, trie binary, second binary, third binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of integers from 0 on, by byte planes, compressed."""
-    out = []
-    for x in columns:
-        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-        planes = x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T
-        out.append(len(x).to_bytes(8, "little") + bytes([width]) + planes.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
-        planes = np.frombuffer(raw, np.uint8, count=n * width, offset=at + 9).reshape(width, n)
-        full = np.zeros((n, 8), dtype=np.uint8)
-        full[:, :width] = planes.T
-        out.append(full.view("<u8").ravel().astype(np.int64))
-        at += 9 + n * width
-    return out
-
-
-def _row(names: str, *values) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split(" ", 1) for x in names.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """Rows in runs of about ``limit`` bytes of text, or of one longer text."""
-    held, size = [], 0
-    for batch in batches:
-        for part in W.pieces(batch, "text", limit):
-            more = W.buffers(part.column(1))[1][-1]
-            if held and size + more > limit:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
-            held.append(part)
-            size += more
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _tokenise(piece_bytes: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.tidy("ngram_lm")
         context = TaskContext.get()
         piece = (context.partitionId() if context else 0) << 32
-        for table in _gathered(batches, piece_bytes):
+        for table in gathered(batches, piece_bytes):
             block = W.split(table.column(1), W.NOT_SPACE, fold=True)
             learn = np.asarray(table.column(2).combine_chunks()).astype(bool)
             words, token = np.unique(np.append(block.hash, _END), return_inverse=True)
             counts = np.bincount(token[:-1][learn[block.row_of_word()]], minlength=len(words)).astype(np.int64)
             counts[token[-1]] += int(learn.sum())
+            often = np.bincount(token[:-1], minlength=len(words))
+            place = np.empty(len(words), dtype=np.int64)
+            place[_by_frequency(often)] = np.arange(len(words))
             ids = table.column(0).combine_chunks()
-            docs = _pack(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64), np.asarray(ids.is_valid()).astype(np.int64), learn.astype(np.int64), np.diff(block.first), token)
-            yield _row(_PIECES, piece, len(words), int(learn.sum()), docs, words.tobytes(), _pack(counts))
+            docs = pack(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64), np.asarray(ids.is_valid()).astype(np.int64), learn.astype(np.int64), np.diff(block.first), place[token], often)
+            yield row(_PIECES, piece, len(words), int(learn.sum()), docs, words.tobytes(), pack(counts))
             piece += 1
 
     return tokenise
 
 
+def _by_frequency(often: np.ndarray) -> np.ndarray:
+    """Words from the most frequent on; tokens as places in this order have few large numbers, and compress."""
+    return np.argsort(-often, kind="stable")
+
+
 def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
     """Words are dealt by ranges of their hashes, so that a sorted list falls into runs."""
     return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -125,11 +91,11 @@ def _slice_words(shards: int):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, raw, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words, counts = np.frombuffer(raw, np.uint64), _unpack(packed)[0]
+                words, counts = np.frombuffer(raw, np.uint64), unpack(packed)[0]
                 of = _word_shard(words, shards)
                 edge = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    yield _row("shard long, piece long, words binary, counts binary", int(of[a]), piece, words[a:b].tobytes(), _pack(counts[a:b]))
+                    yield row("shard long, piece long, words binary, counts binary", int(of[a]), piece, words[a:b].tobytes(), pack(counts[a:b]))
 
     return cut_up
 
@@ -143,21 +109,21 @@ def _number_words(shards: int, known: pa.Table | None, table: pa.Table) -> Itera
     if known is None:
         every, which = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.zeros(len(every), dtype=np.int64)
-        np.add.at(total, which, np.concatenate([_unpack(x)[0] for x in table.column("counts").to_pylist()]))
+        np.add.at(total, which, np.concatenate([unpack(x)[0] for x in table.column("counts").to_pylist()]))
         words, counts = every[total > 0], total[total > 0]
         rank = np.empty(len(words), dtype=np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
         ids = _FIRST + rank * shards + shard
-        yield _row(_WORDS, None, shard, words.tobytes(), _pack(ids), _pack(counts), int(counts.sum()), len(words))
+        yield row(_WORDS, None, shard, words.tobytes(), pack(ids), pack(counts), int(counts.sum()), len(words))
     else:
         rows = known.select(["words", "ids", "counts"]).to_pylist()
         words = np.frombuffer(rows[0]["words"], np.uint64) if rows else np.empty(0, np.uint64)
-        ids, counts = (_unpack(rows[0][c])[0] if rows else np.empty(0, np.int64) for c in ("ids", "counts"))
+        ids, counts = (unpack(rows[0][c])[0] if rows else np.empty(0, np.int64) for c in ("ids", "counts"))
     for piece, mine in zip(table.column("piece").to_pylist(), lists, strict=True):
         at = np.minimum(np.searchsorted(words, mine), max(len(words) - 1, 0))
         there = words[at] == mine if len(words) else np.zeros(len(mine), dtype=bool)
         found = [np.where(there, x[at], 0) if len(x) else np.zeros(len(mine), np.int64) for x in (ids, counts)]
-        yield _row(_WORDS, piece, shard, None, _pack(found[0]), _pack(found[1]), 0, 0)
+        yield row(_WORDS, piece, shard, None, pack(found[0]), pack(found[1]), 0, 0)
 
 
 def _as_table(rows: Iterator[pa.RecordBatch], ddl: str) -> pa.Table:
@@ -166,13 +132,48 @@ def _as_table(rows: Iterator[pa.RecordBatch], ddl: str) -> pa.Table:
 
 
 def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of integer columns in their order, and which of them each row is."""
-    which = np.zeros(len(columns[0]), dtype=np.int64)
-    first = np.empty(0, np.int64)
-    for x in columns:
-        values, rank = np.unique(x, return_inverse=True)
-        key, first, which = np.unique(which * max(len(values), 1) + rank, return_index=True, return_inverse=True)
-    return [x[first] for x in columns], which
+    """Distinct rows of columns of integers from 0 on, in their order, and which of them each row is."""
+    if not len(columns[0]):
+        return list(columns), np.empty(0, np.int64)
+    key = columns[0]
+    for x in columns[1:]:
+        bits = int(x.max()).bit_length()
+        if int(key.max()).bit_length() + bits > 63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = (key << bits) | x
+    order = np.argsort(key, kind="stable")
+    new = np.diff(key[order], prepend=-1) != 0
+    which = np.empty(len(key), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return [x[order[new]] for x in columns], which
+
+
+def _encode(a: np.ndarray, b: np.ndarray, c: np.ndarray, *others: np.ndarray) -> bytes:
+    """Windows in order, as differences from the one before wherever what stands before is the same."""
+    one, two = np.diff(a, prepend=-1) == 0, np.diff(b, prepend=-1) == 0
+    second, third = b.copy(), c.copy()
+    second[one] -= b[np.flatnonzero(one) - 1]
+    third[one & two] -= c[np.flatnonzero(one & two) - 1]
+    return pack(np.diff(a, prepend=0), second, third, *others)
+
+
+def _since(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew where ``start`` holds."""
+    total = np.cumsum(x)
+    first = np.flatnonzero(start)
+    return total - (total[first] - x[first])[np.cumsum(start) - 1]
+
+
+def _decode(data: bytes) -> list[np.ndarray]:
+    """The columns of ``_encode``."""
+    step, second, third, *others = unpack(data)
+    if not len(step):
+        return [step, second, third, *others]
+    new = step != 0
+    new[0] = True
+    b = _since(second, new)
+    fresh = new | (second != 0)
+    return [np.cumsum(step), b, _since(third, fresh), *others]
 
 
 @dataclass
@@ -207,8 +208,8 @@ class _Piece:
 
 
 def _read_piece(docs: bytes, ids: np.ndarray, counts: np.ndarray) -> _Piece:
-    doc, valid, learn, size, token = _unpack(docs)
-    return _Piece(doc, valid.astype(bool), learn.astype(bool), size, token, ids, counts)
+    doc, valid, learn, size, place, often = unpack(docs)
+    return _Piece(doc, valid.astype(bool), learn.astype(bool), size, _by_frequency(often)[place], ids, counts)
 
 
 def _looked_up(piece: _Piece, window: list[np.ndarray]) -> np.ndarray:
@@ -221,9 +222,9 @@ def _window_rows(texts: int, shard_rows: int):
         W.tidy("ngram_lm")
         out = []
         said = answers.sort_by("shard").select(["ids", "counts"]).to_pylist()
-        for row in pieces.to_pylist():
-            ids, counts = (np.concatenate([_unpack(x[c])[0] for x in said]) for c in ("ids", "counts"))
-            piece = _read_piece(row["docs"], ids, counts)
+        for asked in pieces.to_pylist():
+            ids, counts = (np.concatenate([unpack(x[c])[0] for x in said]) for c in ("ids", "counts"))
+            piece = _read_piece(asked["docs"], ids, counts)
             window, which, of = piece.windows(texts)
             seen = np.bincount(which[piece.learn[of]], minlength=len(window[0])).astype(np.int64)
             known = _looked_up(piece, window)
@@ -232,11 +233,10 @@ def _window_rows(texts: int, shard_rows: int):
             (x, y), pair = _distinct(a[often], b[often])
             n = np.bincount(pair, minlength=len(x))
             heavy = n > len(a) // (2 * SHARE)
-            packed = _pack(np.diff(a, prepend=0), b, c, seen[known], piece.counts[window[0]][known] * often)
-            docs = _pack(piece.doc.view(np.uint64), piece.valid.astype(np.int64), piece.learn.astype(np.int64), piece.size, piece.token)
-            out.append((row["piece"], len(a), len(docs).to_bytes(8, "little") + docs + _pack(ids, counts), packed, [{"a": int(i), "b": int(j), "n": int(k)} for i, j, k in zip(x[heavy], y[heavy], n[heavy], strict=True)]))
+            packed = _encode(a, b, c, seen[known], piece.counts[window[0]][known] * often)
+            out.append((asked["piece"], len(a), packed, [{"a": int(i), "b": int(j), "n": int(k)} for i, j, k in zip(x[heavy], y[heavy], n[heavy], strict=True)]))
         heavy_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
-        kinds = [("piece", pa.int64()), ("n_windows", pa.int64()), ("docs", pa.binary()), ("windows", pa.binary()), ("heavy", heavy_type)]
+        kinds = [("piece", pa.int64()), ("n_windows", pa.int64()), ("windows", pa.binary()), ("heavy", heavy_type)]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], schema=pa.schema(kinds))
 
     return rows
@@ -258,14 +258,13 @@ def _slice_windows(shards: int, hot: np.ndarray):
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, packed in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                a, b, c, seen, often = _unpack(packed)
-                a = np.cumsum(a)
+                a, b, c, seen, often = _decode(packed)
                 of = _route(a, b, c, often > 0, hot, shards)
                 order = np.argsort(of, kind="stable")
                 edge = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), len(of))
                 for i, j in zip(edge[:-1], edge[1:], strict=True):
                     some = order[i:j]
-                    yield _row("shard long, piece long, windows binary", int(of[some[0]]), piece, _pack(np.diff(a[some], prepend=0), b[some], c[some], seen[some], often[some]))
+                    yield row("shard long, piece long, windows binary", int(of[some[0]]), piece, _encode(a[some], b[some], c[some], seen[some], often[some]))
 
     return cut_up
 
@@ -277,8 +276,8 @@ def _count_pairs(hot: np.ndarray):
         total = np.zeros(len(hot), dtype=np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                a, b, _, seen, _ = _unpack(packed)
-                key = _pair_key(np.cumsum(a), b)
+                a, b, _, seen, _ = _decode(packed)
+                key = _pair_key(a, b)
                 there = np.isin(key, hot)
                 np.add.at(total, np.searchsorted(hot, key[there]), seen[there])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot))), pa.array(total)], names=["pair", "n"])
@@ -359,13 +358,11 @@ class Trie:
         return codes[0][node][pair], codes[1][leaf]
 
 
-def _answer(hot: np.ndarray, hot_n: np.ndarray, given: pa.Table | None, table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """A shard's trie (piece null), unless it is given, and for each piece the codes of its windows there."""
+def _answer(hot: np.ndarray, hot_n: np.ndarray, given: pa.Table | None, keep: bool, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A shard's trie (piece null), if it is not given but to be kept, and for each piece the codes of its windows there."""
     if not table.num_rows:
         return
-    shard, lists = table.column("shard")[0].as_py(), [_unpack(x) for x in table.column("windows").to_pylist()]
-    for x in lists:
-        x[0] = np.cumsum(x[0])
+    shard, lists = table.column("shard")[0].as_py(), [_decode(x) for x in table.column("windows").to_pylist()]
     a, b, c, seen, often = (np.concatenate([x[k] for x in lists]) for k in range(5))
     window, which = _distinct(a, b, c)
     if given is None:
@@ -373,13 +370,14 @@ def _answer(hot: np.ndarray, hot_n: np.ndarray, given: pa.Table | None, table: p
         np.maximum.at(context, which, often)
         learned = n > 0
         blob = build_trie(*(x[learned] for x in window), n[learned], context[learned], hot, hot_n)
-        yield _row(_ANSWERS, None, shard, blob, None, None)
+        if keep:
+            yield row(_ANSWERS, None, shard, blob, None, None)
     else:
         blob = given.column("trie")[0].as_py() if given.num_rows else build_trie(*[np.empty(0, np.int64)] * 5, hot, hot_n)
     second, third = (x[which].astype(np.int64) for x in Trie(blob).find(*window))
     at = 0
     for piece, x in zip(table.column("piece").to_pylist(), lists, strict=True):
-        yield _row(_ANSWERS, piece, shard, None, _pack(second[at : at + len(x[0])]), _pack(third[at : at + len(x[0])]))
+        yield row(_ANSWERS, piece, shard, None, pack(second[at : at + len(x[0])]), pack(third[at : at + len(x[0])]))
         at += len(x[0])
 
 
@@ -389,10 +387,10 @@ def _score_rows(model: Model):
     def rows(pieces: pa.Table, answers: pa.Table) -> pa.Table:
         W.tidy("ngram_lm")
         out = []
-        said = answers.sort_by("shard").select(["second", "third"]).to_pylist()
+        numbered = answers.filter(pa.compute.is_valid(answers.column("ids"))).sort_by("shard").select(["ids", "counts"]).to_pylist()
+        said = answers.filter(pa.compute.is_valid(answers.column("second"))).sort_by("shard").select(["second", "third"]).to_pylist()
         for blob in pieces.column("docs").to_pylist():
-            cut = 8 + int.from_bytes(blob[:8], "little")
-            piece = _read_piece(blob[8:cut], *_unpack(blob[cut:]))
+            piece = _read_piece(blob, *(np.concatenate([unpack(x[c])[0] for x in numbered]) for c in ("ids", "counts")))
             window, which, of = piece.windows(texts)
             looked = np.flatnonzero(_looked_up(piece, window))
             a, b, c = (piece.ids[x][looked] for x in window)
@@ -401,7 +399,7 @@ def _score_rows(model: Model):
             for name in ("second", "third"):
                 code = np.full(len(window[0]), NONE, dtype=np.int64)
                 if said:
-                    code[order] = np.concatenate([_unpack(x[name])[0] for x in said])
+                    code[order] = np.concatenate([unpack(x[name])[0] for x in said])
                 share.append(np.where(code == NONE, 0.0, 10.0 ** (-code / GRID)))
             context, count = piece.counts[window[0]], piece.counts[window[1]]
             pair = share[0] * (context + PRIOR_2)
@@ -463,15 +461,17 @@ def _windows(pieces: DataFrame, answers: DataFrame, texts: int, shard_rows: int)
     return cut_in_loop(pieces.select("piece", "docs").groupBy("piece").cogroup(answers.select("piece", "shard", "ids", "counts").groupBy("piece")).applyInArrow(_window_rows(texts, shard_rows), _WINDOWS))
 
 
-def _ask_tries(windows: DataFrame, shards: int, hot: np.ndarray, hot_n: np.ndarray, given: DataFrame | None) -> DataFrame:
+def _ask_tries(windows: DataFrame, shards: int, hot: np.ndarray, hot_n: np.ndarray, given: DataFrame | None, keep: bool = False) -> DataFrame:
     asked = windows.select("piece", "windows").mapInArrow(_slice_windows(shards, hot), "shard long, piece long, windows binary").groupBy("shard")
     if given is None:
-        return asked.applyInArrow(lambda table: _as_table(_answer(hot, hot_n, None, table), _ANSWERS), _ANSWERS)
-    return asked.cogroup(given.groupBy("shard")).applyInArrow(lambda table, trie: _as_table(_answer(hot, hot_n, trie, table), _ANSWERS), _ANSWERS)
+        return asked.applyInArrow(lambda table: _as_table(_answer(hot, hot_n, None, keep, table), _ANSWERS), _ANSWERS)
+    return asked.cogroup(given.groupBy("shard")).applyInArrow(lambda table, trie: _as_table(_answer(hot, hot_n, trie, keep, table), _ANSWERS), _ANSWERS)
 
 
-def _scores(windows: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    return windows.select("piece", "docs").groupBy("piece").cogroup(answers.select("piece", "shard", "second", "third").groupBy("piece")).applyInArrow(_score_rows(model), _SCORES)
+def _scores(pieces: DataFrame, numbers: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """A piece's documents meet the numbers of their words and the codes of their windows."""
+    both = answers.select("piece", "shard", "second", "third").unionByName(numbers.select("piece", "shard", "ids", "counts"), allowMissingColumns=True)
+    return pieces.select("piece", "docs").groupBy("piece").cogroup(both.groupBy("piece")).applyInArrow(_score_rows(model), _SCORES)
 
 
 def _hot_pairs(windows: DataFrame, shard_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -490,8 +490,8 @@ def _hot_pairs(windows: DataFrame, shard_rows: int) -> tuple[np.ndarray, np.ndar
     return hot, count, total
 
 
-def fit_and_score(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[Model, DataFrame]:
-    """The model of the rows where ``learn_col`` is true, and the scores of all rows, as ``score`` gives them.
+def fit_and_score(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, piece_bytes: int = PIECE_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[Model, DataFrame]:
+    """The model of the rows where ``learn_col`` is true, and the scores of all rows, as ``score`` gives them. Its tries are written only with ``keep``.
 
     Each shard answers for the rows' windows as soon as its trie is built.
     """
@@ -501,12 +501,14 @@ def fit_and_score(docs: DataFrame, learn_col: str, id_col: str = "doc_id", text_
     answers = cut_in_loop(_ask_words(pieces, word_shards, None))
     words = answers.where("piece is null")
     tokens, known = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    windows = _windows(pieces, answers.where("piece is not null"), texts, shard_rows)
+    numbers = answers.where("piece is not null")
+    windows = _windows(pieces, numbers, texts, shard_rows)
     hot, hot_n, total = _hot_pairs(windows, shard_rows)
     shards = max(1, -(-total // shard_rows))
-    found = cut_in_loop(_ask_tries(windows, shards, hot, hot_n, None))
+    found = cut_in_loop(_ask_tries(windows, shards, hot, hot_n, None, keep))
+    scrap(windows)
     model = Model(words, found.where("piece is null").select("shard", "trie"), word_shards, shards, tokens, known, texts, hot, hot_n, piece_bytes, shard_rows)
-    return model, _scores(windows, found.where("piece is not null"), model)
+    return model, _scores(pieces, numbers, found.where("piece is not null"), model)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -516,8 +518,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ignored. A text of any length is scored whole, in one piece; none of its words need be known. An empty table gives an empty result.
     """
     pieces = _pieces(docs.withColumn("_learn", F.lit(False)), id_col, text_col, "_learn", model.piece_bytes)
-    windows = _windows(pieces, _ask_words(pieces, model.word_shards, model.words).where("piece is not null"), model.texts, model.shard_rows)
-    return _scores(windows, _ask_tries(windows, model.shards, model.hot, model.hot_n, model.tries), model)
+    numbers = cut_in_loop(_ask_words(pieces, model.word_shards, model.words).where("piece is not null"))
+    windows = _windows(pieces, numbers, model.texts, model.shard_rows)
+    return _scores(pieces, numbers, _ask_tries(windows, model.shards, model.hot, model.hot_n, model.tries), model)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents by a trigram model of nine tenths of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~language_id.held_out(F.col("doc_id"), 10)).alias("learn"))
-    return ngram_lm.fit_and_score(docs, "learn")[1]
+    return ngram_lm.fit_and_score(docs, "learn", keep=False)[1]
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,14 @@ def cut_in_loop(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scrap(table: DataFrame) -> None:
+    """Remove the files of a table of ``cut_in_loop`` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut_and_sum(df: DataFrame, weight: str) -> tuple[DataFrame, int, int]:
     """``cut_in_loop``, with the sum and the largest of ``weight``, seen while it is written (0 without rows)."""
     seen = Observation()
