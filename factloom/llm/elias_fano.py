@@ -7,9 +7,6 @@ import tempfile
 
 import numpy as np
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
-#: The place of the r-th one in a byte.
-_PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.uint8)
 _CHUNK = 1 << 18
 
 
@@ -25,8 +22,24 @@ def encode(values: np.ndarray) -> list[np.ndarray]:
     high = np.zeros(-(-int(place[-1] + 1) // 64) * 64, dtype=np.uint8)
     high[place] = 1
     packed = np.packbits(high, bitorder="little")
-    ones = np.cumsum(_ONES[packed].reshape(-1, 8).sum(axis=1, dtype=np.int64))
-    return [np.array([n, width], np.int64), np.append(np.packbits(low, bitorder="little"), np.zeros(8, np.uint8)), packed, np.append(0, ones)]
+    ones = np.cumsum(np.bitwise_count(packed.view("<u8")), dtype=np.int64)
+    bits = np.packbits(low, bitorder="little")
+    return [np.array([n, width], np.int64), np.append(bits, np.zeros(16 - len(bits) % 8, np.uint8)), packed, np.append(0, ones)]
+
+
+def _select(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The place of the ``left``-th one, from 0 on, of each 64-bit word: by halves."""
+    place = np.zeros(len(word), dtype=np.uint64)
+    left = left.astype(np.uint64)
+    for width in (32, 16, 8, 4, 2, 1):
+        step = np.uint64(width)
+        ones = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.uint64)
+        up = left >= ones
+        left -= ones * up
+        move = step * up
+        word = word >> move
+        place += move
+    return place.astype(np.int64)
 
 
 class Monotone:
@@ -34,7 +47,7 @@ class Monotone:
 
     def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
         self.n, self.width = int(head[0]), int(head[1])
-        self.low, self.high, self.ones = low, high.reshape(-1, 8), ones
+        self.low, self.high, self.ones = low.view("<u8"), high.view("<u8"), ones
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
@@ -42,17 +55,13 @@ class Monotone:
         for k in range(0, len(i), _CHUNK):
             some = i[k : k + _CHUNK]
             word = np.searchsorted(self.ones, some, side="right") - 1
-            left = some - self.ones[word]
-            has = self.high[word]
-            upto = np.cumsum(_ONES[has], axis=1, dtype=np.int64)
-            byte = (upto <= left[:, None]).sum(axis=1)
-            row = np.arange(len(some))
-            left -= np.where(byte > 0, upto[row, byte - 1], 0)
-            value = word * 64 + byte * 8 + _PLACE[has[row, byte], left] - some
+            value = word * 64 + _select(self.high[word], some - self.ones[word]) - some
             if self.width:
                 bit = some * self.width
-                raw = self.low[(bit >> 3)[:, None] + np.arange(8)]
-                value = (value << self.width) | (((raw.view("<u8").ravel() >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64))
+                at, off = bit >> 6, (bit & 63).astype(np.uint64)
+                # a shift by 64 bits is not defined: the next word comes in two steps
+                raw = (self.low[at] >> off) | ((self.low[at + 1] << np.uint64(1)) << (np.uint64(63) - off))
+                value = (value << self.width) | (raw & np.uint64((1 << self.width) - 1)).astype(np.int64)
             out[k : k + _CHUNK] = value
         return out
 
