@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the session's ``spark.checkpoint.dir``; where that is unset, in a folder of our own in local mode, and an error on a cluster. What is there is removed when the session's JVM ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode, and an error on a cluster."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
-    path = f"{(spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')).rstrip('/')}/{name}"
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in ``shared_dir``; what is there is removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
