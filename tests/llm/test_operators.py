@@ -335,6 +335,13 @@ def test_language_id_has_a_centroid_for_each_of_many_languages(spark):
     assert len(trained) > 2000 and set(model.langs) == trained and len(model.langs) <= 3000
 
 
+def test_language_id_learns_the_largest_of_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    words = {"a": "anna banana", "b": "bobby blob", "c": "cecily coco", "d": "daddy dodo"}
+    rows = [(k, f"{words[x]} {k}", x) for k, x in enumerate("aaaaaaaaaaaaaaaaaaaabbbbbbbbbbbbbbbbbbbbccccccccccccccccccccd")]
+    assert set(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == {"a", "b", "c"}
+
+
 def test_language_id_rejection_survives_an_odd_row(spark):
     """One training row of junk does not switch rejection by distance off."""
     docs = labelled(spark).select("doc_id", "text", "lang")
