@@ -48,11 +48,16 @@ def demangle(name: str) -> tuple[str, str]:
 
 
 def top_level_count(parameters: Column) -> Column:
-    """How many parameters a list has: top-level commas and one, 0 if it is empty."""
-    inner = parameters
-    for _ in range(5):  # innermost brackets first
-        inner = F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}", "")
-    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).otherwise(F.size(F.split(inner, ",")))
+    """How many parameters a list has: commas outside of brackets, however deep these nest, and one; 0 if it is empty."""
+    marks = F.regexp_extract_all(parameters, F.lit(r"[(\[<{)\]>},]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
+
+    def step(state: Column, mark: Column) -> Column:
+        opens, closes = mark.isin("(", "[", "<", "{"), mark.isin(")", "]", ">", "}")
+        depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        return F.struct(depth.alias("depth"), F.when((mark == ",") & (state["depth"] == 0), state["n"] + 1).otherwise(state["n"]).alias("n"))
+
+    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).otherwise(F.aggregate(marks, start, step, lambda x: x["n"]))
 
 
 def trace_rows(traces: DataFrame) -> DataFrame:
@@ -79,3 +84,21 @@ def trace_rows(traces: DataFrame) -> DataFrame:
 
     named = rows.withColumn("r", F.when(F.col("kind") == "frame", readable("name")))
     return named.select("trace_id", "position", "kind", F.coalesce("r.symbol", "name").alias("symbol"), F.col("r.origin").alias("origin"), "parameters", "file", "line")
+
+
+def resolved_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(trace_id, position, symbol, member, origin, status, file, line)`` of the frames of ``trace_rows``, resolved against ``symbols``.
+
+    ``symbols(name, parameters, member, source, file, line)`` by full name, without arity and type arguments. What is from ``source`` comes before metadata, then
+    the overload with as many parameters, then the first by file, line and member. The file and line of the trace win over those of the
+    symbol. ``status`` is source, metadata or unresolved; ``origin`` says what the compiler had made of the name.
+    """
+    asked = frames.where("kind = 'frame'").select("trace_id", "position", "symbol", "origin", "parameters", F.col("file").alias("own_file"), F.col("line").alias("own_line"))
+    known = symbols.where("name is not null").select(F.col("name").alias("symbol"), F.col("parameters").alias("has"), "member", F.coalesce("source", F.lit(False)).alias("source"), "file", "line")
+    # a name's choices are few, and a choice depends on the number of parameters alone: it is made once for each such pair
+    pairs = asked.select("symbol", "parameters").distinct().join(known, "symbol")
+    order = F.struct((~F.col("source")).alias("far"), (~F.col("has").eqNullSafe(F.col("parameters"))).alias("other"), "file", "line", "member", "source")
+    chosen = pairs.groupBy("symbol", "parameters").agg(F.min(order).alias("c"))
+    status = F.when(F.col("c").isNull(), "unresolved").when(F.col("c.source"), "source").otherwise("metadata")
+    met = asked.alias("a").join(chosen.alias("b"), (F.col("a.symbol") == F.col("b.symbol")) & F.col("a.parameters").eqNullSafe(F.col("b.parameters")), "left")
+    return met.select("trace_id", "position", "a.symbol", F.col("c.member").alias("member"), "origin", status.alias("status"), F.coalesce("own_file", "c.file").alias("file"), F.coalesce("own_line", "c.line").alias("line"))

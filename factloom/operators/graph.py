@@ -27,6 +27,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 #: Steps that a job takes from a frontier of at most ``SMALL`` nodes; from a larger one it takes one.
 STRIDE, SMALL = 3, 100_000
+#: Up to so many steps a walk is one plan.
+UNROLLED = 4
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -35,9 +37,22 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     From a small frontier a job takes several steps: what it finds at a step without having taken out visited nodes in between
     is visited or has been found a step before, so least depths stay right.
     """
+    if max_depth is not None and max_depth <= UNROLLED:
+        return _unrolled(edges, seeds, max_depth)
     return _reach(_edges(edges), seeds, max_depth)
 
 
+def _unrolled(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """``reach`` as one plan without a written table: a join for each step, and the least depth at the end. The edges' exchange is the same in each step, so Spark works it out once."""
+    steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    at = seeds.select("node").distinct()
+    found = [at.withColumn("depth", F.lit(0))]
+    for depth in range(1, max_depth + 1):
+        at = steps.join(at.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+        found.append(at.withColumn("depth", F.lit(depth)))
+    return _union(found).groupBy("node").agg(F.min("depth").alias("depth"))
+
+
 def _reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     first, n = cut_and_count(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, frontier, depth = [first], first, 0
@@ -71,10 +86,11 @@ def reach_from_each(edges: DataFrame, max_depth: int | None = None) -> DataFrame
 
 
 def call_graph(edges: DataFrame, root: DataFrame, direction: str = "callees", max_depth: int = 3, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``(node, depth, expanded)`` around ``root(node)`` and edges ``(src, dst)`` between them.
+    """Nodes ``(node, depth, expanded)`` around ``root(node)`` and edges ``(src, dst)`` of those that are expanded.
 
     ``direction`` is ``callees``, ``callers`` or ``both``. At most ``max_nodes`` nodes are kept, the nearest first and then the
-    smallest; ``expanded`` is false for those at the last depth, whose own edges are not followed.
+    smallest; ``expanded`` is false for those at the last depth, whose own edges are not followed and not told. An edge to a node that was
+    dropped is told all the same.
     """
     if direction not in ("callees", "callers", "both"):
         raise InvalidArgument("direction must be callees, callers or both", direction=direction)
@@ -82,18 +98,22 @@ def call_graph(edges: DataFrame, root: DataFrame, direction: str = "callees", ma
     back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     walked = known if direction == "callees" else back if direction == "callers" else known.unionByName(back)
     nodes = cut(reach(walked, root, max_depth).orderBy("depth", "node").limit(max_nodes).withColumn("expanded", F.col("depth") < max_depth))
-    inside = known.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return nodes, inside.select("src", "dst")
+    expanded = nodes.where("expanded")
+    ends = {"callees": ["src"], "callers": ["dst"], "both": ["src", "dst"]}[direction]
+    return nodes, _union([known.join(expanded.select(F.col("node").alias(end)), end, "left_semi").select("src", "dst") for end in ends]).distinct()
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_depth: int, stop: DataFrame | None = None) -> DataFrame:
     """``(node, depth, path)`` of all simple paths of 1 to ``max_depth`` edges; a path ends at a node of ``stop(node)``."""
-    edges = _edges(edges)
+    lazily = max_depth <= UNROLLED
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct() if lazily else _edges(edges)
     front = seeds.select("node", F.array("node").alias("path"))
     found = []
     for depth in range(1, max_depth + 1):
         front = front.select(F.col("node").alias("src"), "path").join(edges, "src").where(~F.array_contains("path", F.col("dst")))
-        front, n = cut_and_count(front.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
+        front, n = front.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), 1
+        if not lazily:
+            front, n = cut_and_count(front)
         found.append(front.select("node", F.lit(depth).alias("depth"), "path"))
         if not n:
             break

@@ -476,9 +476,9 @@ _GRAPH = f"""WITH RECURSIVE e AS ({_EDGES}), c(node, depth) AS (SELECT CAST(77 A
 n AS (SELECT node, min(depth) AS depth FROM c GROUP BY node ORDER BY depth, node LIMIT 60)"""
 
 
-@_query(f"{_GRAPH} SELECT src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+@_query(f"{_GRAPH} SELECT src, dst FROM e WHERE src IN (SELECT node FROM n WHERE depth < 3)")
 def call_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Calls between the 60 nearest callees of part 77 within three steps."""
+    """Calls of the 60 nearest callees of part 77 that are expanded within three steps, also to nodes beyond the 60."""
     _, edges = graph.call_graph(_calls(spark, d), spark.createDataFrame([(77,)], "node long"), "callees", 3, 60)
     return edges
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.errors import AmbiguousMatch, InvalidArgument, NotLoaded, ProjectNotFound
@@ -85,25 +86,29 @@ class Catalog:
 
 @dataclass
 class Tasks:
-    """Allowed jobs in threads of their own."""
+    """Allowed jobs in threads of their own; with a session, each has a job group, so that its Spark jobs can be told apart and cancelled."""
 
     allowed: dict[str, Callable[[], object]]
     known: dict[str, dict] = field(default_factory=dict)
+    spark: SparkSession | None = None
 
     def start(self, tool: str) -> str:
         if tool not in self.allowed:
             raise InvalidArgument("not a background task", tool=tool)
         task = uuid.uuid4().hex
-        row = self.known[task] = {"tool": tool, "status": "running", "started": time.time(), "ended": None, "result": None, "error": None}
+        row = self.known[task] = {"tool": tool, "status": "running", "started": time.time(), "ended": None, "result": None, "error": None, "cancelled": False}
 
         def run() -> None:
+            if self.spark:
+                self.spark.sparkContext.setJobGroup(task, tool, interruptOnCancel=True)
             try:
-                row["result"], row["status"] = self.allowed[tool](), "completed"
+                result = self.allowed[tool]()
+                row["result"], row["status"] = result, "cancelled" if row["cancelled"] else "completed"
             except Exception as e:  # reported by status()
-                row["error"], row["status"] = str(e), "failed"
+                row["error"], row["status"] = str(e), "cancelled" if row["cancelled"] else "failed"
             row["ended"] = time.time()
 
-        thread = threading.Thread(target=run, daemon=True)
+        thread = InheritableThread(target=run, daemon=True) if self.spark else threading.Thread(target=run, daemon=True)
         thread.start()
         row["thread"] = thread
         return task
@@ -114,6 +119,23 @@ class Tasks:
             raise InvalidArgument("unknown task", taskId=task)
         return {k: v for k, v in self.known[task].items() if k != "thread"}
 
+    def cancel(self, task: str) -> None:
+        """Cancel a task's Spark jobs, those that run and those that it would start; one that has ended stays as it is."""
+        if self.spark is None:
+            raise InvalidArgument("tasks without a session cannot be cancelled", taskId=task)
+        if self.status(task)["ended"] is None:
+            self.known[task]["cancelled"] = True
+            self.spark.sparkContext.cancelJobGroupAndFutureJobs(task) if hasattr(self.spark.sparkContext, "cancelJobGroupAndFutureJobs") else self.spark.sparkContext.cancelJobGroup(task)
+
+    def jobs(self, task: str) -> dict[int, str]:
+        """The Spark jobs of a task and how each is: RUNNING, SUCCEEDED, FAILED."""
+        self.status(task)
+        if self.spark is None:
+            return {}
+        tracker = self.spark.sparkContext.statusTracker()
+        found = {j: tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(task)}
+        return {j: info.status for j, info in sorted(found.items()) if info}
+
     def running(self) -> list[str]:
         self._evict()
         return [t for t, r in self.known.items() if r["ended"] is None or time.time() - r["ended"] < LISTED_S]

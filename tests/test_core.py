@@ -181,9 +181,10 @@ def test_innermost_by_brute_force(spark):
 def test_call_graph(spark, edges):
     nodes, inside = graph.call_graph(edges, seed(spark, 1), "callees", 2, 500)
     assert sorted(map(tuple, nodes.collect())) == [(1, 0, True), (2, 1, True), (3, 2, False), (4, 2, False)]
-    assert sorted(map(tuple, inside.collect())) == [(1, 2), (2, 3), (2, 4), (3, 1), (3, 4), (4, 4)]
-    nodes, _ = graph.call_graph(edges, seed(spark, 4), "callers", 5, 2)
+    assert sorted(map(tuple, inside.collect())) == [(1, 2), (2, 3), (2, 4)]  # 3 and 4 are not expanded
+    nodes, inside = graph.call_graph(edges, seed(spark, 4), "callers", 5, 2)
     assert [r.node for r in nodes.orderBy("depth", "node").collect()] == [4, 2]
+    assert sorted(map(tuple, inside.collect())) == [(1, 2), (2, 4), (3, 4), (4, 4)]  # 1 and 3 are dropped, the edges from them are not
     assert {r.node for r in graph.call_graph(edges, seed(spark, 5), "both", 1)[0].collect()} == {5, 6}
     with pytest.raises(errors.InvalidArgument):
         graph.call_graph(edges, seed(spark, 1), "up")
