@@ -101,8 +101,9 @@ def override_edges(methods: DataFrame, bases: DataFrame, interfaces: DataFrame)
     """
     above = cut(ancestors(bases, _types(methods, bases, interfaces)))
     mine = methods.where("overrides").join(above.where("depth > 0"), "type").select("member", "signature", "scope", "depth")
-    theirs = methods.select(F.col("type").alias("scope"), "signature", F.col("member").alias("base"))
-    nearest = mine.join(theirs, ["scope", "signature"]).groupBy("member").agg(F.min(F.struct("depth", "base")).alias("b"))
+    # of several methods of one signature in a type, which no compiler lets pass, the smallest counts
+    only = cut(methods.groupBy(F.col("type").alias("scope"), "signature").agg(F.min("member").alias("base")))
+    nearest = mine.join(only, ["scope", "signature"]).groupBy("member").agg(F.min(F.struct("depth", "base")).alias("b"))
     overriding = nearest.select(F.col("member").alias("src"), F.col("b.base").alias("dst"), F.lit("override").alias("how"))
     # interfaces of a class: those it names, of classes above it, and what these extend
     named = above.select("type", F.col("scope").alias("src")).join(interfaces, "src").select("type", F.col("dst").alias("interface")).distinct()
@@ -111,7 +112,7 @@ def override_edges(methods: DataFrame, bases: DataFrame, interfaces: DataFrame)
     classes = methods.select("type").join(interfaces.select(F.col("dst").alias("type")), "type", "left_anti").distinct()
     asked = every.join(classes.unionByName(bases.select(F.col("src").alias("type"))).distinct(), "type", "left_semi")
     wanted = asked.join(methods.select(F.col("type").alias("interface"), "signature", F.col("member").alias("dst")), "interface")
-    done = wanted.join(above, "type").join(methods.select(F.col("type").alias("scope"), "signature", F.col("member").alias("src")), ["scope", "signature"])
+    done = wanted.join(above, "type").join(only.withColumnRenamed("base", "src"), ["scope", "signature"])
     by = done.where("scope <> interface").groupBy("type", "dst").agg(F.min(F.struct("depth", "src")).alias("b"))
     return overriding.unionByName(by.select(F.col("b.src").alias("src"), "dst", F.lit("interface").alias("how")).distinct())
 

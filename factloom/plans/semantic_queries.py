@@ -135,8 +135,9 @@ bases AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM custome
 interfaces AS (SELECT DISTINCT 'N' || n_nationkey AS src, 'I' || (n_nationkey % 10) AS dst FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT 'C' || c_custkey, 'I' || (c_custkey % 10) FROM customer WHERE c_custkey % 7 = 0 UNION SELECT 'I' || (s_suppkey % 10), 'I' || (s_suppkey % 10 % 3) FROM supplier WHERE s_suppkey % 10 >= 3),
 above(type, scope, depth) AS (SELECT DISTINCT src, src, 0 FROM (SELECT src FROM bases UNION SELECT dst FROM bases) UNION SELECT type, dst, depth + 1 FROM above JOIN bases ON scope = src),
 wider(type, interface) AS (SELECT a.type, i.dst FROM above a JOIN interfaces i ON a.scope = i.src UNION SELECT type, dst FROM wider JOIN interfaces ON interface = src),
-o1 AS (SELECT m.member AS src, b.member AS dst, row_number() OVER (PARTITION BY m.member ORDER BY depth, b.member) AS r FROM methods m JOIN above a ON m.type = a.type JOIN methods b ON b.type = a.scope AND b.signature = m.signature WHERE m.overrides AND depth > 0),
-o2 AS (SELECT m.member AS src, i.member AS dst, row_number() OVER (PARTITION BY w.type, i.member ORDER BY depth, m.member) AS r FROM wider w JOIN methods i ON i.type = w.interface JOIN above a ON a.type = w.type JOIN methods m ON m.type = a.scope AND m.signature = i.signature),
+single AS (SELECT type, signature, min(member) AS member FROM methods GROUP BY type, signature),
+o1 AS (SELECT m.member AS src, b.member AS dst, row_number() OVER (PARTITION BY m.member ORDER BY depth, b.member) AS r FROM methods m JOIN above a ON m.type = a.type JOIN single b ON b.type = a.scope AND b.signature = m.signature WHERE m.overrides AND depth > 0),
+o2 AS (SELECT m.member AS src, i.member AS dst, row_number() OVER (PARTITION BY w.type, i.member ORDER BY depth, m.member) AS r FROM wider w JOIN methods i ON i.type = w.interface JOIN above a ON a.type = w.type JOIN single m ON m.type = a.scope AND m.signature = i.signature),
 edges AS (SELECT src, dst, 'override' AS how FROM o1 WHERE r = 1 UNION SELECT src, dst, 'interface' FROM o2 WHERE r = 1)"""
 
 
