@@ -17,6 +17,8 @@ from .shared import cut, cut_and_count
 _PAIR = ["scope", "node", "var"]
 #: Steps that a job takes; between them pairs are told apart, but not from all that are known.
 STRIDE = 4
+#: The flows of a region: reads backwards, writes outside and inside forwards, the entry's variables without a write.
+LIVE, COME, GO, BARE = range(4)
 
 
 def spread(edges: DataFrame, start: DataFrame, kill: DataFrame) -> DataFrame:
@@ -71,17 +73,23 @@ def region_flow(edges: DataFrame, accesses: DataFrame, region: DataFrame, entry:
     doors = entry.select("scope", "node").distinct().join(inside, ["scope", "node"], "left_semi")
     touched = cut(rows.where("inside").select("scope", "var").distinct())
 
-    within = steps.join(inside.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_semi").join(inside.select("scope", F.col("node").alias("dst")), ["scope", "dst"], "left_semi")
-    # live at the entry by reads inside, without leaving the region
-    asked = live_variables(within, rows.where("inside")).join(doors, ["scope", "node"], "left_semi").select("scope", "var").distinct()
+    within = cut(steps.join(inside.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_semi").join(inside.select("scope", F.col("node").alias("dst")), ["scope", "dst"], "left_semi"))
     # a write goes on from the node after it until the next write
-    given = _written(steps, rows.where("writes and not inside"), writes).join(doors, ["scope", "node"], "left_semi").select("scope", "var").distinct()
-    flows_in = asked.join(given, ["scope", "var"], "left_semi").withColumn("flows_in", F.lit(True))
-    out = _written(steps, rows.where("writes and inside"), writes).join(rows.where("reads and not inside").select(*_PAIR), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_out", F.lit(True))
+    after = lambda some: rows.where(some).select("scope", F.col("node").alias("src"), "var").join(steps, ["scope", "src"]).select("scope", F.col("dst").alias("node"), "var").distinct()
+    begin = {LIVE: rows.where("reads and inside").select(*_PAIR), COME: after("writes and not inside"), GO: after("writes and inside"), BARE: doors.join(touched, "scope").select(*_PAIR)}
+    ways = {LIVE: _turned(within), COME: steps, GO: steps, BARE: within}
+    inner = rows.where("writes and inside").select(*_PAIR)
+    # the four flows are scopes of their own in one walk, which takes as many rounds as the longest of them
+    start, edges, kill = (cut(reduce(DataFrame.unionByName, (_of(df, k) for k, df in x.items()))) for x in (begin, ways, {LIVE: inner, COME: writes, GO: writes, BARE: writes}))
+    stuck = start.where(F.col("scope.flow") != LIVE).join(kill, _PAIR, "left_semi")
+    arrived = cut(spread(edges, start.join(stuck, _PAIR, "left_anti"), kill).unionByName(stuck).select("scope.flow", "scope.scope", "node", "var").distinct())
+    met = lambda flow: arrived.where(F.col("flow") == flow).select(*_PAIR)
+    # live at the entry by reads inside, without leaving the region, and written before
+    asked = met(LIVE).join(inner.join(begin[LIVE], _PAIR, "left_anti"), _PAIR, "left_anti").join(doors, ["scope", "node"], "left_semi").select(*_PAIR)
+    flows_in = asked.join(met(COME), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_in", F.lit(True))
+    out = met(GO).join(rows.where("reads and not inside").select(*_PAIR), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_out", F.lit(True))
     # ways through the region without a write
-    begin = doors.join(touched, "scope")
-    bare = spread_on(within, begin, writes)
-    after = bare.join(writes, _PAIR, "left_anti")
+    after = met(BARE).join(writes, _PAIR, "left_anti")
     leave = steps.join(within, ["scope", "src", "dst"], "left_anti").select("scope", F.col("src").alias("node"))
     ends = inside.join(steps.select("scope", F.col("src").alias("node")), ["scope", "node"], "left_anti")
     exits = leave.unionByName(ends).distinct().join(inside, ["scope", "node"], "left_semi")
@@ -94,13 +102,6 @@ def region_flow(edges: DataFrame, accesses: DataFrame, region: DataFrame, entry:
     return every.select("scope", "var", "read_inside", "written_inside", (F.col("written_inside") & ~flag("missed")).alias("always_assigned"), flag("flows_in").alias("flows_in"), flag("flows_out").alias("flows_out"), "read_outside", "written_outside")
 
 
-def _written(steps: DataFrame, some: DataFrame, writes: DataFrame) -> DataFrame:
-    """Where the values of the writes ``some`` arrive."""
-    return spread_on(steps, some.select("scope", F.col("node").alias("src"), "var").join(steps, ["scope", "src"]).select("scope", F.col("dst").alias("node"), "var"), writes)
-
-
-def spread_on(edges: DataFrame, start: DataFrame, kill: DataFrame) -> DataFrame:
-    """``spread``, but a pair that starts at a node that kills it does not go on either."""
-    start = cut(start.select(*_PAIR).distinct())
-    stops = kill.select(*_PAIR).distinct()
-    return spread(edges, start.join(stops, _PAIR, "left_anti"), stops).unionByName(start.join(stops, _PAIR, "left_semi")).distinct()
+def _of(rows: DataFrame, flow: int) -> DataFrame:
+    """Rows in a scope of the flow's own."""
+    return rows.withColumn("scope", F.struct(F.lit(flow).alias("flow"), F.col("scope").alias("scope")))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_and_count
+from .shared import cut, cut_and_count
 
 NODE = "struct<path: string, name: string, arity: int>"
 TERM = f"array<{NODE}>"
@@ -106,7 +106,8 @@ def base_terms(types: DataFrame, rules: DataFrame, max_depth: int = 20) -> DataF
     A rule is asked only of terms whose root it names. Each term counts at its least distance. Generic rules can make
     larger and larger terms without end, which an interface must not; the walk stops with an error after ``max_depth`` steps.
     """
-    known = rules.select(_root(F.col("of")).alias("root"), "of", "base").where("root is not null and base is not null")
+    # written once: parsing is a large expression, and every step would plan it again
+    known = cut(rules.select(_root(F.col("of")).alias("root"), "of", "base").where("root is not null and base is not null"))
     front, n = cut_and_count(types.select("type", "term", F.lit(0).alias("distance")).where("term is not null").distinct())
     seen, distance = [front], 0
     while n:
@@ -127,6 +128,7 @@ def extension_methods(types: DataFrame, rules: DataFrame, methods: DataFrame, co
     ``constraints(method, name, bound)`` a variable's part must be the closed term ``bound`` or have it as a base. ``arguments`` tells what
     the variables stand for.
     """
+    rules, constraints = cut(rules.select("of", "base")), cut(constraints.select("method", "name", "bound"))
     terms = base_terms(types, rules)
     known = methods.where("receiver is not null").select("method", "receiver", F.coalesce(_root(F.col("receiver")), F.lit(ANY)).alias("root"))
     # a bare variable fits every type as it stands, so it is asked of that only
