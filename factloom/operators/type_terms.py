@@ -30,34 +30,31 @@ def parsed(text: Column) -> Column:
     An array of ``T`` is ``[]`` of one argument, a nullable ``T`` is ``?`` of one.
     """
     tokens = F.regexp_extract_all(text, F.lit(r"\?[A-Za-z_]\w*|[A-Za-z_][\w.]*|\[\]|[<>,?]"), F.lit(0))
-    # open: how many arguments each open bracket has had; the path's last step is the count of the innermost
-    kind = f"struct<open: array<int>, nodes: {TERM}, good: boolean>"
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(TERM).alias("nodes"), F.lit(True).alias("good")).cast(kind)
+    # path: where the next name goes; an argument's last step counts those before it
+    kind = f"struct<path: string, nodes: {TERM}, good: boolean>"
+    start = F.struct(F.lit("").alias("path"), F.array().cast(TERM).alias("nodes"), F.lit(True).alias("good")).cast(kind)
 
     def step(state: Column, token: Column) -> Column:
-        opened, nodes = state["open"], state["nodes"]
-        path = F.array_join(F.transform(opened, lambda i: F.concat(F.lit("."), i.cast("string"))), "")
-        deep = F.size(opened)
-        last = F.try_element_at(opened, F.lit(-1))
-        rest = F.slice(opened, F.lit(1), F.greatest(deep - 1, F.lit(0)))
+        path, nodes = state["path"], state["nodes"]
+        up = F.regexp_replace(path, r"\.\d+$", "")
+        following = F.concat(up, F.lit("."), (F.regexp_extract(path, r"(\d+)$", 1).try_cast("int") + 1).cast("string"))
         # a suffix takes what stands at the path, and all below it, one step down under a node of its own
-        moved = F.transform(nodes, lambda n: F.when((n["path"] == path) | F.startswith(n["path"], F.concat(path, F.lit("."))), _node(F.concat(path, F.lit(".0"), F.substr(n["path"], F.length(path) + 1)), n["name"], n["arity"])).otherwise(n))
-        suffix = F.when(token == "?", F.lit("?")).otherwise(F.lit("[]"))
-        wrapped = F.concat(F.filter(moved, lambda n: ~F.startswith(n["path"], F.concat(path, F.lit(".0")))), F.array(_node(path, suffix, F.lit(1))), F.filter(moved, lambda n: F.startswith(n["path"], F.concat(path, F.lit(".0")))))
+        inside = lambda n: (n["path"] == path) | F.startswith(n["path"], F.concat(path, F.lit(".")))
+        lowered = F.transform(F.filter(nodes, inside), lambda n: _node(F.concat(path, F.lit(".0"), F.substr(n["path"], F.length(path) + 1)), n["name"], n["arity"]))
+        suffix = F.concat(F.filter(nodes, lambda n: ~inside(n)), F.array(_node(path, token, F.lit(1))), lowered)
         name = F.concat(nodes, F.array(_node(path, token, F.lit(0))))
-        more = lambda o, x, good: F.struct(o.alias("open"), x.alias("nodes"), (state["good"] & good).alias("good")).cast(kind)
-        return (
-            F.when(token == "<", more(F.concat(opened, F.array(F.lit(0))), nodes, F.size(nodes) > 0))
-            .when(token == ",", more(F.concat(rest, F.array((last + 1).cast("int"))), nodes, deep > 0))
-            .when(token == ">", more(rest, nodes, deep > 0))
-            .when((token == "?") | (token == "[]"), more(opened, wrapped, F.exists(nodes, lambda n: n["path"] == path)))
-            .otherwise(more(opened, name, ~F.exists(nodes, lambda n: n["path"] == path)))
-        )
+        wraps = token.isin("?", "[]")
+        there = F.exists(nodes, lambda n: n["path"] == path)
+        return F.struct(
+            F.when(token == "<", F.concat(path, F.lit(".0"))).when(token == ",", following).when(token == ">", up).otherwise(path).alias("path"),
+            F.when(token.isin("<", ",", ">"), nodes).when(wraps, suffix).otherwise(name).alias("nodes"),
+            (state["good"] & F.when(token.isin(",", ">"), path != "").when((token == "<") | wraps, there).otherwise(~there)).alias("good"),
+        ).cast(kind)
 
     found = F.aggregate(tokens, start, step)
     # the number of arguments is that of the nodes one step below
     counted = F.transform(found["nodes"], lambda n: _node(n["path"], n["name"], F.size(F.filter(found["nodes"], lambda m: F.startswith(m["path"], F.concat(n["path"], F.lit("."))) & ~F.contains(F.substr(m["path"], F.length(n["path"]) + 2), F.lit("."))))))
-    return F.when(found["good"] & (F.size(found["open"]) == 0) & (F.size(found["nodes"]) > 0), F.array_sort(counted)).cast(TERM)
+    return F.when(found["good"] & (found["path"] == "") & (F.size(found["nodes"]) > 0), F.array_sort(counted)).cast(TERM)
 
 
 def below(term: Column, path: Column) -> Column:
