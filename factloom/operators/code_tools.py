@@ -31,11 +31,19 @@ _TOKENS = ["+", "-", "!", "~", "++", "--", "true", "false", "*", "/", "%", "&",
 
 
 def stripped(name: Column) -> Column:
-    """A name without type arguments (nested ones too) and arity marks, and without ``global::``."""
-    out = F.regexp_replace(name, r"^global::", "")
-    for _ in range(4):  # innermost brackets first
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
-    return F.trim(F.regexp_replace(out, r"`\d+", ""))
+    """A name without type arguments, however deep they nest, without arity marks and ``global::``. A bracket that nothing closes stays, as does one that closes nothing."""
+    plain = F.regexp_replace(name, r"^global::", "")
+    pieces = F.regexp_extract_all(plain, F.lit(r"[^<>]+|[<>]"), F.lit(0))
+    # texts of the brackets that are open, outermost first; the first is what stands outside of any
+    start = F.array(F.lit(""))
+
+    def step(held: Column, piece: Column) -> Column:
+        rest, last = F.slice(held, F.lit(1), F.size(held) - 1), F.element_at(held, -1)
+        opened, closed = F.concat(held, F.array(F.lit("<"))), (piece == ">") & (F.size(held) > 1)
+        return F.when(piece == "<", opened).when(closed, rest).otherwise(F.concat(rest, F.array(F.concat(last, piece))))
+
+    flat = F.when(F.contains(plain, F.lit("<")), F.aggregate(pieces, start, step, lambda held: F.array_join(held, ""))).otherwise(plain)
+    return F.trim(F.regexp_replace(flat, r"`\d+", ""))
 
 
 def last_segment(name: Column) -> Column:

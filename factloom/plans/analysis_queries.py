@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.stack_trace import resolved_frames, trace_rows
-from factloom.operators import closure, data_flow, type_terms
+from factloom.operators import closure, data_flow, graph, type_terms
 from factloom.operators.shared import shared_path
 from factloom.sources import project_xml
 
@@ -114,6 +114,32 @@ def maintained_closure(spark: SparkSession, d: str) -> DataFrame:
     return closure.maintain(closure.closure(before), before, every.where(late & ~gone), every.where(gone))
 
 
+def _near_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls to nearby parts: upwards, and a few downwards, which make cycles."""
+    near = _t(spark, d, "part").count() / 20
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    rows = _t(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return rows.where((F.abs(F.col("src") - F.col("dst")) <= near) & ((F.col("src") < F.col("dst")) | (F.col("dst") % 5 == 0))).distinct()
+
+
+_NEAR = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem WHERE l_quantity >= 45) WHERE dst IS NOT NULL AND abs(src - dst) <= (SELECT count(*) FROM part) / 20 AND (src < dst OR dst % 5 = 0)), r(root, node) AS (SELECT src, dst FROM e UNION SELECT root, dst FROM r JOIN e ON node = src)"
+
+
+@_query(f"""WITH RECURSIVE {_NEAR}, nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), bad AS (SELECT root AS node FROM r WHERE root = node UNION SELECT r.root FROM r JOIN r c ON c.root = c.node AND r.node = c.root),
+up(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT src FROM e) UNION SELECT e.src, level + 1 FROM up JOIN e ON e.dst = up.node WHERE e.src NOT IN (SELECT node FROM bad))
+SELECT node, CAST(coalesce(max(level), 0) AS INT) AS level FROM nodes LEFT JOIN up USING (node) GROUP BY node""")
+def call_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The longest way down from each part over calls to nearby parts; 0 for those on or above a cycle."""
+    edges = _near_calls(spark, d)
+    return graph.levels(edges, edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))))
+
+
+@_query(f"WITH RECURSIVE {_NEAR} SELECT root AS node, count(*) AS n FROM r WHERE root <> node GROUP BY root")
+def call_closure_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many parts each one reaches over calls to nearby parts."""
+    return graph.closure_sizes(_near_calls(spark, d))
+
+
 @_query("""WITH f AS (SELECT l_orderkey AS trace_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS position, 'App.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') AS symbol, l_suppkey % 4 AS n, CASE WHEN l_linenumber = 1 THEN '/src/' || l_partkey || '.cs' END AS file, CASE WHEN l_linenumber = 1 THEN l_suppkey END AS line
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (SELECT 'App.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') AS symbol, p_size % 3 AS has, p_partkey AS member, p_size % 5 <> 0 AS source, '/parts/' || (p_partkey % 10) || '.cs' AS file, p_size AS line FROM part WHERE p_size <= 30),

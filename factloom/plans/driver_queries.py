@@ -511,8 +511,9 @@ def introduced_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return code_tools.conflicts(rows.where("late = 0").drop("late"), rows.where("late = 1").drop("late"))
 
 
-@_query("SELECT unnest(['customers', 'orders', 'parts']) AS path, unnest([false, true, false]) AS active, CAST(unnest([2, 1, 1]) AS INT) AS tables, 'ready' AS status, CAST(0 AS INT) AS skipped")
+@_query("SELECT unnest(['customers', 'orders', 'parts']) AS path, unnest([false, true, false]) AS active, CAST(unnest([2, 1, 1]) AS INT) AS tables, 'ready' AS status, CAST(0 AS INT) AS skipped, unnest([(SELECT count(*) FROM customer) + (SELECT count(*) FROM nation), (SELECT count(*) FROM orders), (SELECT count(*) FROM part)]) AS facts")
 def list_solutions(spark: SparkSession, d: str) -> DataFrame:
+    """Loaded snapshots, with how many rows their tables have."""
     catalog = Catalog(spark)
     catalog.load("parts", {"part": _t(spark, d, "part")})
     catalog.load("customers", {"customer": _t(spark, d, "customer"), "nation": _t(spark, d, "nation")})
@@ -520,4 +521,4 @@ def list_solutions(spark: SparkSession, d: str) -> DataFrame:
     catalog.activate("CUST")
     catalog.rebuild("orders")
     catalog.activate("ord")
-    return catalog.listing()
+    return catalog.listing().join(catalog.sizes(), "path")

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.errors import AmbiguousMatch, InvalidArgument, NotLoaded, ProjectNotFound
 
@@ -83,6 +84,14 @@ class Catalog:
         rows = [(n, n == self.active, len(t), status(n), len(self.skipped.get(n, ()))) for n, t in sorted(self.loaded.items())]
         return self.spark.createDataFrame(rows[:limit], "path string, active boolean, tables int, status string, skipped int")
 
+    def sizes(self) -> DataFrame:
+        """``(path, facts)``: how many rows the tables of each snapshot have."""
+        rows = self.spark.createDataFrame([], "path string, n long")
+        for name, tables in self.loaded.items():
+            for table in tables.values():
+                rows = rows.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(name).alias("path"), "n"))
+        return rows.groupBy("path").agg(F.sum("n").alias("facts"))
+
 
 @dataclass
 class Tasks:

@@ -348,3 +348,10 @@ def test_documents_and_metadata(spark):
     from factloom.functions.predicates import clamped
 
     assert [r.v for r in spark.range(3).select(clamped(F.col("id") * 4, 1, 5).alias("v")).collect()] == [1, 4, 5]
+
+
+def test_names_are_stripped_however_deep(spark):
+    deep = "global::A.B" + "<C" * 12 + ">" * 12 + ".D`2"
+    rows = spark.createDataFrame([(deep,), ("A<B, C<D>>",), ("A<B",), ("A>",), ("A",), ("",), (None,), ("A<B>.C<D<E>>.F",)], "n string")
+    assert [r[0] for r in rows.select(T.stripped(F.col("n"))).collect()] == ["A.B.D", "A", "A<B", "A>", "A", "", None, "A.C.F"]
+    assert csharp.extract("class A { " + "B<" * 150 + "int" + ">" * 150 + " f; }")
