@@ -26,7 +26,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 #: Steps that a job takes from a frontier of at most ``SMALL`` nodes; from a larger one it takes one.
-STRIDE, SMALL = 3, 100_000
+STRIDE, SMALL = 6, 100_000
+#: Steps over edges in a round of colouring, before colours jump.
+RELAXED = 2
 #: Up to so many steps a walk is one plan.
 UNROLLED = 4
 
@@ -171,15 +173,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: every node on a cycle of any length; ``component`` is the smallest node of its strongly connected component.
 
     Nodes that no cycle can hold are trimmed. First what the node of most edges reaches and is reached by is one component, most often the
-    largest. Then rounds of colouring: each node takes the smallest node that reaches it as colour, and what reaches a
-    colour's own node within the colour is one component.
+    largest. Then rounds of colouring: each node takes the smallest node that reaches it as colour, by edges and by
+    jumps to the colour of its colour, so that long ways take few rounds; what reaches a colour's own node within the colour is one component.
     """
     steps = _edges(edges)
     loops = cut(steps.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
     rest, n = _trimmed(steps.where("src <> dst"))
     found = loops.limit(0)
     if n:
-        pivot = cut(rest.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node"))
+        # a node with many edges both to and from it is most likely in the largest component
+        ends = rest.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(rest.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        degree = ends.groupBy("node").agg(F.least(F.sum("out"), F.sum("in")).alias("n"))
+        pivot = cut(degree.orderBy(F.desc("n"), "node").limit(1).select("node"))
         back = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         group = cut(_reach(rest, pivot, None).select("node").join(_reach(back, pivot, None).select("node"), "node"))
         least = group.agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("component")
@@ -196,8 +201,13 @@ def components(edges: DataFrame) -> DataFrame:
         colours = cut(rest.select(F.col("src").alias("node")).unionByName(rest.select(F.col("dst").alias("node"))).distinct().withColumn("component", F.col("node")))
         moved = 1
         while moved:
-            came = rest.join(colours.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("least"))
-            new = colours.join(came, "node", "left").select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved"))
+            new = colours.withColumn("first", F.col("component"))
+            for _ in range(RELAXED):
+                came = rest.join(new.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("least"))
+                new = new.join(came, "node", "left").select("node", "first", F.least("component", "least").alias("component"))
+            # what reaches a node's colour reaches the node
+            jump = new.select(F.col("node").alias("component"), F.col("component").alias("least"))
+            new = new.join(jump, "component").select("node", F.least("component", "least").alias("component"), (F.least("component", "least") < F.col("first")).alias("moved"))
             new, moved = cut_and_count(new, F.col("moved"))
             colours = new.drop("moved")
         heads = colours.select(F.col("node").alias("src"), F.col("component").alias("head"))
