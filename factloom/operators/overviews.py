@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .code_tools import base_edges, resolve, symbol_context
-from .graph import reach_from_each
+from .code_tools import accessibility, base_edges, conflicts, di_registrations, has_word, last_segment, resolve, symbol_context
+from .graph import reach, reach_from_each
 
 
 def type_overviews(facts: DataFrame, requests: DataFrame, diagnostics: DataFrame) -> DataFrame:
@@ -81,3 +81,71 @@ def method_sources(facts: DataFrame, requests: DataFrame, files: DataFrame, meta
         out = out.unionByName(outside.select(*row("metadata")))
         missing = missing.join(outside, "request", "left_anti")
     return out.unionByName(missing.select(*row("notFound")))
+
+
+def _accessible(access: Column, project: Column, from_project: str | None) -> Column:
+    """Whether something of this accessibility can be used from a project, null if none is given; ``friend`` tells whether the project lets that one in."""
+    if from_project is None:
+        return F.lit(None).cast("boolean")
+    near = (F.lower(project) == from_project.lower()) | F.coalesce("friend", F.lit(False))
+    return F.when(access == "public", True).when(access.isin("internal", "protected internal"), near).otherwise(False)
+
+
+def creation_options(facts: DataFrame, requests: DataFrame, friends: DataFrame | None = None, from_project: str | None = None) -> DataFrame:
+    """``(request, how, member, params, is_async, accessible)``: every way to get one of the requests' types.
+
+    ``constructor``: declared ones but copy constructors, else one without parameters, and none of types that are abstract, static or
+    interfaces. ``factory``: static members anywhere whose type it is, also as ``Task`` or ``ValueTask`` of it (``is_async``). ``registration``: services
+    that register it, the lifetime as ``params``. ``required``: members that an initialiser must set, those of bases too, the nearest of a name.
+    ``accessible`` is null unless ``from_project`` is given; ``friends(project, friend)`` lets the internals of a project be seen by another.
+    """
+    types = resolve(facts, requests).where("what = 'type'").select("request", F.col("full_name").alias("type"), F.col("name").alias("simple"), "modifiers", F.col("kind").alias("type_kind"), "project")
+    let_in = None if friends is None or from_project is None else friends.where(F.lower("friend") == from_project.lower()).select("project").distinct().withColumn("friend", F.lit(True))
+    seen = lambda df: df.withColumn("friend", F.lit(False)) if let_in is None else df.join(let_in, "project", "left")
+    rows = facts.where("kind = 'member'").select(F.col("container").alias("holder"), F.col("full_name").alias("member"), "name", F.col("detail").alias("member_kind"), F.col("modifiers").alias("flags"), F.col("type").alias("result"), F.col("extra").alias("params"), F.col("project").alias("home"))
+    able = types.where(F.col("type_kind").isin("class", "struct", "record") & ~has_word(F.col("modifiers"), "abstract") & ~has_word(F.col("modifiers"), "static"))
+    declared = able.join(rows.where("member_kind = 'constructor'"), F.col("type") == F.col("holder")).where(~has_word(F.col("flags"), "static"))
+    access = accessibility(F.col("flags"), "private")
+    made = seen(declared.where(last_segment(F.col("params")) != F.col("simple")))
+    out = ["request", "how", "member", "params", "is_async", "accessible"]
+    own = made.select("request", F.lit("constructor").alias("how"), "member", "params", F.lit(False).alias("is_async"), _accessible(access, F.col("project"), from_project).alias("accessible"))
+    plain = seen(able.join(declared.select("request").distinct(), "request", "left_anti"))
+    default = plain.select("request", F.lit("constructor").alias("how"), F.concat("type", F.lit("."), "simple").alias("member"), F.lit("").alias("params"), F.lit(False).alias("is_async"), _accessible(accessibility(F.col("modifiers"), "internal"), F.col("project"), from_project).alias("accessible"))
+    later = r"^(?:\w+\.)*(?:Task|ValueTask)<(.+)>$"
+    static = rows.where(has_word(F.col("flags"), "static") & F.col("member_kind").isin("method", "property", "field")).withColumn("is_async", F.col("result").rlike(later))
+    static = static.withColumn("simple", last_segment(F.when(F.col("is_async"), F.regexp_extract("result", later, 1)).otherwise(F.col("result"))))
+    factory = seen(static.join(types.select("request", "simple"), "simple").withColumnRenamed("home", "project"))
+    factories = factory.select("request", F.lit("factory").alias("how"), "member", "params", "is_async", _accessible(access, F.col("project"), from_project).alias("accessible"))
+    served = di_registrations(facts).select(F.explode(F.array_distinct(F.array(last_segment(F.col("service")), last_segment(F.col("implementation"))))).alias("simple"), F.col("service").alias("member"), F.col("lifetime").alias("params"))
+    registered = served.join(types.select("request", "simple"), "simple").select("request", F.lit("registration").alias("how"), "member", "params", F.lit(False).alias("is_async"), F.lit(None).cast("boolean").alias("accessible")).distinct()
+    above = reach_from_each(base_edges(facts)).select(F.col("root").alias("type"), F.col("node").alias("holder"), "depth").where("type <> holder")
+    chain = types.select("request", "type", F.col("type").alias("holder"), F.lit(0).alias("depth")).unionByName(types.select("request", "type").join(above, "type"))
+    must = chain.join(rows.where(has_word(F.col("flags"), "required")), "holder").groupBy("request", "name").agg(F.min(F.struct("depth", "member", "result")).alias("m"))
+    required = must.select("request", F.lit("required").alias("how"), F.col("m.member").alias("member"), F.col("m.result").alias("params"), F.lit(False).alias("is_async"), F.lit(None).cast("boolean").alias("accessible"))
+    return own.select(*out).unionByName(default).unionByName(factories).unionByName(registered).unionByName(required)
+
+
+def conflicts_of_change(before: DataFrame, after: DataFrame, changed: DataFrame, references: DataFrame) -> DataFrame:
+    """``conflicts`` of the projects ``changed(project)`` and of all that refer to them, at any distance, by ``references(src, dst)``: src refers to dst; both listings have a ``project``."""
+    back = references.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    touched = reach(back, changed.select(F.col("project").alias("node"))).select(F.col("node").alias("project"))
+    rows = [df.join(touched, "project", "left_semi").drop("project") for df in (before, after)]
+    return conflicts(*rows)
+
+
+def assembly_namespace(types: DataFrame, members: DataFrame, bases: DataFrame, assembly: str, namespace: str) -> DataFrame:
+    """``(type, kind, modifiers, base, interfaces, members, summary)`` of the public top-level types of a namespace of an assembly.
+
+    ``types(type, name, assembly, namespace, kind, access, container, modifiers, base, summary)``, ``members(type, signature, access)``, ``bases(src, dst)`` of
+    interfaces. Members are signatures of public ones, each once and sorted; those of an interface include what it inherits. Interfaces are the direct ones.
+    """
+    own = types.where((F.lower("assembly") == assembly.lower()) & (F.col("namespace") == namespace) & (F.col("access") == "public") & F.col("container").isNull())
+    kinds = own.select("type", "kind").distinct()
+    above = reach_from_each(bases).select(F.col("root").alias("type"), F.col("node").alias("holder")).join(kinds.where("kind = 'interface'").select("type"), "type", "left_semi")
+    holders = kinds.select("type", F.col("type").alias("holder")).unionByName(above).distinct()
+    public = members.where("access = 'public'").select(F.col("type").alias("holder"), "signature")
+    listed = holders.join(public, "holder").groupBy("type").agg(F.sort_array(F.collect_set("signature")).alias("members"))
+    direct = bases.join(kinds.select(F.col("type").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("type")).agg(F.sort_array(F.collect_set("dst")).alias("interfaces"))
+    empty = F.array().cast("array<string>")
+    out = own.join(listed, "type", "left").join(direct, "type", "left")
+    return out.select("type", "kind", "modifiers", "base", F.coalesce("interfaces", empty).alias("interfaces"), F.coalesce("members", empty).alias("members"), "summary")

@@ -214,3 +214,52 @@ def facts_method_source(spark: SparkSession, d: str) -> DataFrame:
     text = F.array_join(F.transform(i, lambda x: F.when(x % 7 == 0, "").otherwise(F.concat(F.lit("line "), x.cast("string"), F.lit(" of N"), n))), "\n")
     files = _t(spark, d, "nation").select(_text("N", F.col("n_nationkey"), ".cs").alias("file"), text.alias("text"))
     return overviews.method_sources(facts(spark, d), asked, files, outside.where("c_custkey % 2 = 0").select(F.col("request").alias("full_name")))
+
+
+@_query("""SELECT request, how, member, params, is_async, CAST(accessible AS VARCHAR) AS accessible FROM (SELECT 'N' || t AS request, 'constructor' AS how, container || '.' || m.name AS member, params, false AS is_async, modifiers = 'public' AS accessible FROM m JOIN ty ON m.container = ty.type WHERE k = 3 AND (n % 4 IN (0, 2) OR n = 15)
+UNION ALL SELECT name, 'constructor', type || '.' || name, '', false, n % 5 <> 0 OR project IN ('P0', 'P2') FROM ty WHERE (n % 4 IN (0, 2) OR n = 15) AND type NOT IN (SELECT container FROM m WHERE k = 3)
+UNION ALL SELECT result, 'factory', container || '.' || m.name, '', false, true FROM m JOIN ty ON result = ty.name WHERE k = 6
+UNION ALL SELECT 'N' || s_nationkey, 'factory', 'App.Make.S' || s_suppkey || '.NewAsync', 'int', true, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN 'P' || (s_suppkey % 5) IN ('P0', 'P2') ELSE false END FROM supplier
+UNION ALL SELECT * FROM (SELECT DISTINCT unnest(list_distinct(['N' || s_nationkey, CASE s_suppkey % 3 WHEN 0 THEN 'N' || (s_suppkey % 25) WHEN 1 THEN 'N' || s_nationkey END])) AS request, 'registration', 'N' || s_nationkey, ['Scoped', 'Singleton', 'Transient'][s_suppkey % 4 + 1], false, NULL FROM supplier WHERE s_suppkey % 4 < 3) WHERE request IS NOT NULL
+UNION ALL SELECT request, 'required', member, 'int', false, NULL FROM (SELECT ty.name AS request, q.type || '.Id' AS member, row_number() OVER (PARTITION BY ty.name ORDER BY d, q.type) AS first FROM ty JOIN (WITH RECURSIVE w(lower, upper, d) AS (SELECT type, type, 0 FROM ty UNION ALL SELECT w.lower, su.upper, d + 1 FROM w JOIN su ON w.upper = su.lower) SELECT lower, upper, d FROM w WHERE NOT (d > 0 AND lower = upper)) c ON c.lower = ty.type JOIN ty q ON q.type = c.upper AND q.n % 3 = 1) WHERE first = 1)""")
+def facts_creation_options(spark: SparkSession, d: str) -> DataFrame:
+    """Every way to get each nation's type as project P0 sees it, which is a friend of P2."""
+    s = F.col("s_suppkey")
+    makers = _facts_of(_t(spark, d, "supplier"), "member", file=_text("S", s, ".cs"), project=_text("P", s % 5), name="NewAsync", full_name=_text("App.Make.S", s, ".NewAsync"), container=_text("App.Make.S", s), detail="method", modifiers=_pick(s % 3, "public static", "internal static", "static"), type=_text("System.Task<App.N", F.col("s_nationkey"), ">"), extra="int")
+    n = F.col("n_nationkey")
+    home = _text("App.R", F.col("n_regionkey"), ".N", n)
+    needed = _facts_of(_t(spark, d, "nation").where("n_nationkey % 3 = 1"), "member", file=_text("N", n, ".cs"), project=_text("P", F.col("n_regionkey")), name="Id", full_name=F.concat(home, F.lit(".Id")), container=home, detail="property", modifiers="public required", type="int")
+    friends = spark.createDataFrame([("P2", "P0"), ("P3", "P1")], "project string, friend string")
+    found = overviews.creation_options(facts(spark, d).unionByName(makers).unionByName(needed), _asked(spark, d), friends, "p0")
+    return found.withColumn("accessible", F.col("accessible").cast("string"))
+
+
+@_query("""SELECT 'T' || p_partkey AS type, CASE p_size % 3 WHEN 0 THEN 'interface' ELSE 'class' END AS kind, lower(p_type) AS modifiers, 'B' || (p_size % 4) AS base,
+CASE WHEN p_size % 3 = 0 AND p_partkey >= 30 THEN 'T' || (p_partkey - 30) ELSE '' END AS interfaces, (SELECT coalesce(string_agg(DISTINCT 'M' || l_linenumber || '(' || (l_suppkey % 3) || ')', ',' ORDER BY 'M' || l_linenumber || '(' || (l_suppkey % 3) || ')'), '') FROM lineitem WHERE l_returnflag <> 'R' AND (l_partkey = p_partkey OR (p_size % 3 = 0 AND l_partkey IN (SELECT upper FROM ups WHERE lower = p_partkey)))) AS members, p_name AS summary
+FROM part WHERE p_size > 5 AND p_brand = 'Brand#12' AND p_type <> 'PROMO'""")
+def facts_assembly_namespace(spark: SparkSession, d: str) -> DataFrame:
+    """A brand's namespace of an assembly of parts: interfaces extend the interface 30 numbers below."""
+    p, z = F.col("p_partkey"), F.col("p_size")
+    part = _t(spark, d, "part")
+    types = part.select(_text("T", p).alias("type"), F.col("p_name").alias("name"), F.lit("Parts").alias("assembly"), F.col("p_brand").alias("namespace"), F.when(z % 3 == 0, "interface").otherwise("class").alias("kind"), F.when(z > 5, "public").otherwise("internal").alias("access"), F.when(F.col("p_type") == "PROMO", "Outer").alias("container"), F.lower("p_type").alias("modifiers"), _text("B", z % 4).alias("base"), F.col("p_name").alias("summary"))
+    lines = _t(spark, d, "lineitem")
+    members = lines.select(_text("T", F.col("l_partkey")).alias("type"), _text("M", F.col("l_linenumber"), "(", F.col("l_suppkey") % 3, ")").alias("signature"), F.when(F.col("l_returnflag") == "R", "private").otherwise("public").alias("access"))
+    bases = part.where("p_size % 3 = 0 and p_partkey >= 30").select(_text("T", p).alias("src"), _text("T", p - 30).alias("dst"))
+    return _joined(overviews.assembly_namespace(types, members, bases, "parts", "Brand#12"), "interfaces", "members")
+
+
+ORACLE_SQL["facts_assembly_namespace"] = ORACLE_SQL["facts_assembly_namespace"].replace("WITH RECURSIVE ", "WITH RECURSIVE ups(lower, upper) AS (SELECT p_partkey, p_partkey - 30 FROM part WHERE p_size % 3 = 0 AND p_partkey >= 30 UNION SELECT lower, upper - 30 FROM ups JOIN part ON p_partkey = upper WHERE p_size % 3 = 0 AND upper >= 30), ", 1)
+
+
+@_query("""SELECT id, path, line, CAST(n AS INT) AS n FROM (SELECT r.id, r.path, r.line, row_number() OVER (PARTITION BY r.id, lower(r.path) ORDER BY coalesce(list_contains(lines, r.line), false), r.line, r.path) AS n, count(*) OVER (PARTITION BY r.id, lower(r.path)) - coalesce(had, 0) AS more
+FROM ce r LEFT JOIN (SELECT id, lower(path) AS low, count(*) AS had, list(DISTINCT line) AS lines FROM ce WHERE late = 0 GROUP BY ALL) h ON h.id = r.id AND h.low = lower(r.path) WHERE late = 1) WHERE n <= more""")
+def facts_conflicts_of_change(spark: SparkSession, d: str) -> DataFrame:
+    """New errors in project 2 and those that refer to it."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = _t(spark, d, "events").where("event_type in ('error', 'click')").select(F.col("event_type").alias("id"), F.when(e % 3 == 0, _text("u", u)).otherwise(_text("U", u)).alias("path"), F.floor("value").cast("int").alias("line"), F.lit(False).alias("suppressed"), (u % 12).cast("string").alias("project"), (e % 2).alias("late"))
+    references = _t(spark, d, "nation").where("n_nationkey between 1 and 11 and n_nationkey % 4 <> 1").select(F.col("n_nationkey").cast("string").alias("src"), (F.col("n_nationkey") - 1).cast("string").alias("dst"))
+    changed = spark.createDataFrame([("2",)], "project string")
+    return overviews.conflicts_of_change(rows.where("late = 0").drop("late"), rows.where("late = 1").drop("late"), changed, references)
+
+
+ORACLE_SQL["facts_conflicts_of_change"] = ORACLE_SQL["facts_conflicts_of_change"].replace("WITH RECURSIVE ", "WITH RECURSIVE tp(p) AS (SELECT 2 UNION SELECT n_nationkey FROM tp JOIN nation ON n_nationkey - 1 = p WHERE n_nationkey BETWEEN 1 AND 11 AND n_nationkey % 4 <> 1), ce AS (SELECT event_type AS id, CASE WHEN event_id % 3 = 0 THEN 'u' ELSE 'U' END || user_id AS path, CAST(floor(value) AS INT) AS line, event_id % 2 AS late FROM events WHERE event_type IN ('error', 'click') AND user_id % 12 IN (SELECT p FROM tp)), ", 1)

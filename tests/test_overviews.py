@@ -57,3 +57,48 @@ def test_overviews(spark, facts):
     assert types == {"A": ([], ["n.B"], 2, ["D1"]), "B": (["n.A"], [], 0, [])}
     got = [tuple(r) for r in O.analyze_methods(facts, spark.createDataFrame([("A.Go",), ("A.Last",), ("B",)], "request string")).orderBy("request").collect()]
     assert got == [("A.Go", "n.A.Go()", "A.cs", 3, 2, ["n.B.Go"], ["Last"]), ("A.Last", "n.A.Last()", "A.cs", 6, 1, ["n.A.Go"], [])]
+
+
+def test_creation_options(spark, facts):
+    def row(kind, **c):
+        base = {x.split(" ")[0]: "" if x.split(" ")[1] == "string" else 0 for x in SCHEMA.split(", ")}
+        return tuple((base | {"kind": kind, "project": "p", "file": "M.cs"} | c)[n] for n in NAMES)
+
+    extra = [
+        row("member", name="A", container="n.A", full_name="n.A.A", detail="constructor", modifiers="internal", extra="int"),
+        row("member", name="A", container="n.A", full_name="n.A.A", detail="constructor", modifiers="private", extra="A"),  # a copy constructor
+        row("member", name="Get", container="n.M", full_name="n.M.Get", detail="method", modifiers="public static", type="System.ValueTask<n.B>", extra="int", project="q"),
+        row("member", name="One", container="n.M", full_name="n.M.One", detail="field", modifiers="static", type="B", project="q"),
+        row("member", name="Many", container="n.M", full_name="n.M.Many", detail="method", modifiers="public static", type="List<B>"),
+        row("member", name="Id", container="n.A", full_name="n.A.Id", detail="property", modifiers="public required", type="int"),
+        row("member", name="Id", container="n.B", full_name="n.B.Id", detail="property", modifiers="public required", type="long"),
+        row("call", name="AddScoped", container="n.S.Go", detail="method", type="IB, n.B"),
+    ]
+    every = facts.unionByName(spark.createDataFrame(extra, SCHEMA))
+    asked = spark.createDataFrame([("A",), ("B",), ("None",)], "request string")
+    friends = spark.createDataFrame([("p", "Test")], "project string, friend string")
+    for project, near in (("test", True), ("P", True), ("other", False), (None, None)):
+        got = sorted(map(tuple, O.creation_options(every, asked, friends, project).collect()), key=str)
+        far = None if project is None else False
+        yes = None if project is None else True
+        assert got == sorted(
+            [
+                ("A", "constructor", "n.A.A", "int", False, near),
+                ("A", "required", "n.A.Id", "int", False, None),
+                ("B", "constructor", "n.B.B", "", False, yes),
+                ("B", "factory", "n.M.Get", "int", True, yes),
+                ("B", "factory", "n.M.One", "", False, far),
+                ("B", "registration", "IB", "Scoped", False, None),
+                ("B", "required", "n.B.Id", "long", False, None),  # the nearest of the name
+            ],
+            key=str,
+        )
+
+
+def test_conflicts_of_change(spark):
+    rows = "id string, path string, line int, suppressed boolean, project string"
+    before = spark.createDataFrame([("E", "a", 1, False, "core")], rows)
+    after = spark.createDataFrame([("E", "A", 1, False, "core"), ("E", "a", 5, False, "core"), ("E", "b", 1, False, "app"), ("E", "c", 1, False, "other"), ("E", "d", 1, True, "app")], rows)
+    refs = spark.createDataFrame([("app", "core"), ("core", "base")], "src string, dst string")
+    got = O.conflicts_of_change(before, after, spark.createDataFrame([("core",)], "project string"), refs)
+    assert sorted(map(tuple, got.collect())) == [("E", "a", 5, 1), ("E", "b", 1, 1)]
