@@ -146,7 +146,7 @@ def facts_file_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""SELECT 'N' || t || '.' || name AS request, CAST(row_number() OVER (PARTITION BY container, name ORDER BY n_params, id) AS INT) AS place, id AS signature, n_params, modifiers, result AS type
-FROM (SELECT *, CASE WHEN params = '' THEN 0 ELSE len(string_split(params, ', ')) END AS n_params FROM sy WHERE k IN (0, 3))""")
+FROM (SELECT *, CAST(CASE WHEN params = '' THEN 0 ELSE len(string_split(params, ', ')) END AS INT) AS n_params FROM sy WHERE k IN (0, 3))""")
 def facts_overloads(spark: SparkSession, d: str) -> DataFrame:
     asked = _members(spark, d).where("k in (0, 3)").select(_text("N", F.col("t"), ".", F.col("name")).alias("request"))
     return T.overloads(facts(spark, d), asked)
