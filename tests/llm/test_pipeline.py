@@ -76,5 +76,5 @@ def test_empty_tables_and_no_labels(spark, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 13)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
