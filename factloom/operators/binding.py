@@ -4,13 +4,13 @@ Scopes of a use, from the nearest on: the enclosing types from the inside out, e
 enclosing namespaces from the inside out; then the namespaces that the file imports. The nearest scope that declares the
 name wins. Several declarations there are ambiguous, but members of one name in one type (overloads) are one.
 
-Everything is an equi-join on (kind of scope, scope, name) and partial aggregation: a use meets only declarations of its
-own scopes, never all that share its name.
+Everything is an equi-join on (kind of scope, scope, name) and partial aggregation. A use is joined with what its own type
+declares; other scopes are those of many uses at once, so there a name is looked up once for them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import override_cascade, reach_from_each
@@ -28,16 +28,46 @@ def ancestors(edges: DataFrame, types: DataFrame) -> DataFrame:
     return own.unionByName(above.join(types.select("type"), "type", "left_semi").where("type <> scope"))
 
 
-def type_scopes(types: DataFrame, bases: DataFrame) -> DataFrame:
-    """``(type, scope, outward, depth)``: the scopes within types of each type of ``types(type, container)``; ``bases(src, dst)``.
+def _groups(rows: DataFrame, key: str, of: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, group)`` and ``(group, of)``: keys of ``rows(key, of)`` whose sets of ``of`` are the same are one group, which is named by the smallest of them."""
+    sets = cut(rows.groupBy(key).agg(F.sort_array(F.collect_set(of)).alias("_set")))
+    named = cut(sets.groupBy("_set").agg(F.min(key).alias(group)))
+    return sets.join(named, "_set").select(key, group), named.select(group, F.explode("_set").alias(of))
 
-    Written, since every use is joined with it.
+
+def _inner(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Those of ``edges(src, dst)`` that a walk from ``starts(src)`` or from the end of an edge can take."""
+    return edges.join(starts.unionByName(edges.select(F.col("dst").alias("src"))).distinct(), "src", "left_semi")
+
+
+def type_kin(types: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(type, kin)`` of each of ``types(type, container)`` and ``(kin, scope, outward, depth)``: the scopes within types that types of a kin see beyond their own; ``bases(src, dst)``.
+
+    Types with the same bases and the same container are a kin: beyond their own they see the same. So what a name means there is asked
+    once for a kin, and scopes are worked out from bases and containers on, never from each type.
     """
-    around = ancestors(types.where("container is not null").select(F.col("type").alias("src"), F.col("container").alias("dst")), types)
-    above = ancestors(bases, types)
-    chain = around.select("type", F.col("scope").alias("enclosing"), F.col("depth").alias("outward"))
-    met = chain.join(above.select(F.col("type").alias("enclosing"), "scope", "depth"), "enclosing")
-    return cut(met.groupBy("type", "scope").agg(F.min(F.struct("outward", "depth")).alias("r")).select("type", "scope", "r.outward", "r.depth"))
+    edge = bases.select("src", "dst").where("src is not null and dst is not null").distinct()
+    hold = types.select(F.col("type").alias("src"), F.col("container").alias("dst")).where("src is not null and dst is not null").distinct()
+    known = types.select("type").where("type is not null").distinct()
+    next_ = lambda rows, how: rows.select(F.col("src").alias("type"), F.struct(F.lit(how).alias("how"), F.col("dst").alias("head")).alias("next"))
+    none = known.select("type", F.lit(None).cast("struct<how: string, head: string>").alias("next"))
+    kin, heads = _groups(none.unionByName(next_(edge.join(known.withColumnRenamed("type", "src"), "src", "left_semi"), "base")).unionByName(next_(hold, "container")), "type", "next", "kin")
+    heads = cut(heads.select("kin", "next.how", "next.head"))
+    above = lambda rows, starts: _with_own(starts, reach_from_each(_inner(rows, starts.withColumnRenamed("type", "src"))))
+    first = heads.where("how = 'base'").select("kin", F.col("head").alias("enclosing"), F.lit(0).alias("outward"), F.lit(1).alias("step"))
+    around = heads.where("how = 'container'").select("kin", F.col("head").alias("type"))
+    outer = around.join(above(hold, around.select("type").distinct()), "type").groupBy("kin", F.col("scope").alias("enclosing")).agg((F.min("depth") + 1).alias("outward"))
+    outer = outer.join(known.withColumnRenamed("type", "enclosing"), "enclosing", "left_semi").select("kin", "enclosing", "outward", F.lit(0).alias("step"))
+    starts = cut(first.unionByName(outer))
+    met = starts.join(above(edge, starts.select(F.col("enclosing").alias("type")).distinct()).withColumnRenamed("type", "enclosing"), "enclosing")
+    rank = F.min(F.struct("outward", (F.col("depth") + F.col("step")).alias("depth"))).alias("r")
+    return kin, cut(met.groupBy("kin", "scope").agg(rank).select("kin", "scope", "r.outward", "r.depth"))
+
+
+def _with_own(types: DataFrame, reached: DataFrame) -> DataFrame:
+    """``(type, scope, depth)``: each of ``types(type)`` at depth 0, and what ``reached(root, node, depth)`` has for it."""
+    above = reached.select(F.col("root").alias("type"), F.col("node").alias("scope"), "depth").where("type <> scope")
+    return types.select("type", F.col("type").alias("scope"), F.lit(0).alias("depth")).unionByName(above.join(types, "type", "left_semi"))
 
 
 def declared(types: DataFrame, members: DataFrame) -> DataFrame:
@@ -51,12 +81,34 @@ def declared(types: DataFrame, members: DataFrame) -> DataFrame:
     return nested.unionByName(top).unionByName(group).where("name is not null").distinct()
 
 
-def _namespaces(asked: DataFrame) -> DataFrame:
-    """The enclosing namespaces of each ``(ask, namespace)``, from the inside out, down to the one without a name."""
-    parts = F.when(F.coalesce("namespace", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("namespace", r"\."))
+def _rank(tier: int, outward: Column, depth: Column) -> Column:
+    return F.struct(F.lit(tier).alias("tier"), outward.cast("int").alias("outward"), depth.cast("int").alias("depth")).alias("rank")
+
+
+def _namespaces(namespaces: DataFrame) -> DataFrame:
+    """``(namespace, kind, scope, rank)``: the enclosing namespaces of each of ``namespaces(namespace)``, from the inside out, down to the one without a name."""
+    parts = F.when(F.col("namespace") == "", F.array().cast("array<string>")).otherwise(F.split("namespace", r"\."))
     dropped = F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("dropped")
     scope = F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("dropped")), ".")
-    return asked.withColumn("parts", parts).select("ask", "name", "parts", dropped).select("ask", "name", F.lit("namespace").alias("kind"), scope.alias("scope"), F.struct(F.lit(NAMESPACE).alias("tier"), F.col("dropped").alias("outward"), F.lit(0).alias("depth")).alias("rank"))
+    return namespaces.withColumn("parts", parts).select("namespace", "parts", dropped).select("namespace", F.lit("namespace").alias("kind"), scope.alias("scope"), _rank(NAMESPACE, F.col("dropped"), F.lit(0)))
+
+
+def _nearest(by: str, scopes: DataFrame, names: DataFrame, at: DataFrame) -> DataFrame:
+    """``(by, name, b)``, ``b`` of ``rank``, ``n`` and ``id``: what each name means by the nearest of ``scopes(by, kind, scope, rank)`` that declare it; ``names(kind, scope, name, id)``, ``at`` how many of them each scope has.
+
+    Where several scopes of one rank declare a name, what they declare is counted once each; elsewhere a scope's own number is right.
+    """
+    place = ["kind", "scope", "name"]
+    met = scopes.join(at, place[:2]).groupBy(by, "name", "rank").agg(F.count("*").alias("scopes"), F.sum("n").alias("n"), F.min("id").alias("id"))
+    first = cut(met.groupBy(by, "name").agg(F.min(F.struct("rank", "scopes", "n", "id")).alias("b")).select(by, "name", "b.*"))
+    one = first.where("scopes = 1").select(by, "name", "rank", "n", "id")
+    several = first.where("scopes > 1").select(by, "name", "rank").join(scopes, [by, "rank"]).join(names, place)
+    several = several.groupBy(by, "name", "rank").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    return cut(one.unionByName(several).select(by, "name", F.struct("rank", "n", "id").alias("b")))
+
+
+def _status(n: Column) -> Column:
+    return F.when(n == 0, MISSING).when(n == 1, OK).otherwise(AMBIGUOUS).alias("status")
 
 
 def bind(uses: DataFrame, types: DataFrame, members: DataFrame, bases: DataFrame, imports: DataFrame) -> DataFrame:
@@ -65,30 +117,43 @@ def bind(uses: DataFrame, types: DataFrame, members: DataFrame, bases: DataFrame
     ``types(type, name, namespace, container)``, ``members(member, name, type)``, ``bases(src, dst)``, ``imports(file, namespace)``.
     ``id`` is null unless the status is ok, ``n`` how many declarations the nearest scope has. A use outside of any
     type has a null ``type``; a null or empty namespace is the one without a name. A type or member without a name is never meant.
+
+    A use meets its type's own declarations only; what a name means beyond is asked once for a kin of types, a namespace and a set of imports.
     """
-    keys = ["name", "type", "namespace", "file"]
-    asked = cut(uses.select(*keys).where("name is not null").distinct().withColumn("ask", F.monotonically_increasing_id()))
-    rank = lambda tier, outward, depth: F.struct(F.lit(tier).alias("tier"), F.col(outward).cast("int").alias("outward") if isinstance(outward, str) else F.lit(outward).alias("outward"), F.col(depth).cast("int").alias("depth") if isinstance(depth, str) else F.lit(depth).alias("depth")).alias("rank")
-    inside = asked.select("ask", "name", "type").join(type_scopes(types, bases), "type").select("ask", "name", F.lit("type").alias("kind"), "scope", rank(TYPE, "outward", "depth"))
-    brought = asked.select("ask", "name", "file").join(imports.select("file", F.col("namespace").alias("scope")).distinct(), "file").select("ask", "name", F.lit("namespace").alias("kind"), "scope", rank(IMPORT, 0, 0))
-    visible = inside.unionByName(_namespaces(asked.select("ask", "name", "namespace"))).unionByName(brought)
-    met = visible.join(declared(types, members), ["kind", "scope", "name"])
-    at = met.groupBy("ask", "rank").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    nearest = at.groupBy("ask").agg(F.min(F.struct("rank", "n", "id")).alias("b")).select("ask", "b.rank.tier", "b.rank.outward", "b.rank.depth", "b.n", "b.id")
-    n = F.coalesce("n", F.lit(0))
-    status = F.when(n == 0, MISSING).when(n == 1, OK).otherwise(AMBIGUOUS)
-    return asked.join(nearest, "ask", "left").select(*keys, status.alias("status"), "tier", "outward", "depth", F.when(n == 1, F.col("id")).alias("id"), n.alias("n"))
+    names = cut(declared(types, members))
+    at = names.groupBy("kind", "scope", "name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    asked = uses.select("name", "type", "namespace", "file").where("name is not null").distinct()
+    kin, scopes = type_kin(types, bases)
+    wide = _nearest("kin", scopes.select("kin", F.lit("type").alias("kind"), "scope", _rank(TYPE, F.col("outward"), F.col("depth"))), names, at)
+    spaces = cut(asked.select(F.coalesce("namespace", F.lit("")).alias("namespace")).distinct())
+    around = _nearest("namespace", _namespaces(spaces), names, at)
+    sets, of = _groups(imports.select("file", "namespace").where("file is not null and namespace is not null"), "file", "namespace", "imports")
+    brought = _nearest("imports", of.select("imports", F.lit("namespace").alias("kind"), F.col("namespace").alias("scope"), _rank(IMPORT, F.lit(0), F.lit(0))), names, at)
+    own = at.where("kind = 'type'").select(F.col("scope").alias("type"), "name", F.struct(_rank(TYPE, F.lit(0), F.lit(0)), "n", "id").alias("own"))
+    rows = asked.join(sets, "file", "left").join(kin, "type", "left").join(own, ["type", "name"], "left")
+    rows = rows.join(wide.withColumnRenamed("b", "wide"), ["kin", "name"], "left").join(brought.withColumnRenamed("b", "brought"), ["imports", "name"], "left")
+    rows = rows.withColumn("_space", F.coalesce("namespace", F.lit(""))).join(around.select(F.col("namespace").alias("_space"), "name", F.col("b").alias("around")), ["_space", "name"], "left")
+    b = F.coalesce(F.when(F.col("kin").isNotNull(), F.col("own")), "wide", "around", "brought")
+    rows = rows.select("name", "type", "namespace", "file", b.alias("b"))
+    n = F.coalesce("b.n", F.lit(0))
+    return rows.select("name", "type", "namespace", "file", _status(n), "b.rank.tier", "b.rank.outward", "b.rank.depth", F.when(n == 1, F.col("b.id")).alias("id"), n.alias("n"))
 
 
 def bind_qualified(uses: DataFrame, types: DataFrame, members: DataFrame, bases: DataFrame) -> DataFrame:
-    """``(type, name, status, depth, id, n)`` of distinct ``uses(type, name)`` of a name on a known type: its nearest base that declares the name wins; bases at one distance are ambiguous."""
+    """``(type, name, status, depth, id, n)`` of distinct ``uses(type, name)`` of a name on a known type: its nearest base that declares the name wins; bases at one distance are ambiguous.
+
+    What a type does not declare itself is asked once for all types of the same bases.
+    """
+    names = cut(declared(types, members).where("kind = 'type'"))
+    at = names.groupBy("kind", "scope", "name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     asked = uses.select("type", "name").where("type is not null and name is not null").distinct()
-    above = ancestors(bases, types)
-    met = asked.join(above, "type").join(declared(types, members).where("kind = 'type'").drop("kind"), ["scope", "name"])
-    at = met.groupBy("type", "name", "depth").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    nearest = at.groupBy("type", "name").agg(F.min(F.struct("depth", "n", "id")).alias("b")).select("type", "name", "b.*")
-    n = F.coalesce("n", F.lit(0))
-    return asked.join(nearest, ["type", "name"], "left").select("type", "name", F.when(n == 0, MISSING).when(n == 1, OK).otherwise(AMBIGUOUS).alias("status"), "depth", F.when(n == 1, F.col("id")).alias("id"), n.alias("n"))
+    kin, scopes = type_kin(types.select("type", F.lit(None).cast("string").alias("container")), bases)
+    wide = _nearest("kin", scopes.select("kin", F.lit("type").alias("kind"), "scope", _rank(TYPE, F.col("outward"), F.col("depth"))), names, at)
+    own = at.select(F.col("scope").alias("type"), "name", F.struct(_rank(TYPE, F.lit(0), F.lit(0)), "n", "id").alias("own"))
+    rows = asked.join(own, ["type", "name"], "left").join(kin, "type", "left").join(wide, ["kin", "name"], "left")
+    rows = rows.select("type", "name", F.coalesce(F.when(F.col("kin").isNotNull(), F.col("own")), "b").alias("b"))
+    n = F.coalesce("b.n", F.lit(0))
+    return rows.select("type", "name", _status(n), "b.rank.depth", F.when(n == 1, F.col("b.id")).alias("id"), n.alias("n"))
 
 
 def override_edges(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> DataFrame:

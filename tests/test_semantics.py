@@ -196,3 +196,27 @@ def test_fact_store_drops_what_a_failed_refresh_left(spark, tmp_path):
     store.extract = lambda files: counted(files.where("words > 5"))
     assert store.refresh(spark.createDataFrame([("a", "2", "p", 2)], FILES), refs) == (1, 1)
     assert store.facts().collect() == []
+
+
+def test_scopes_are_worked_out_for_a_kin_of_types_not_for_each(spark):
+    chain = [(f"B{i}", f"B{i + 1}") for i in range(6)]
+    types = spark.createDataFrame([(f"T{i}", "x", "n", "Outer" if i % 2 else None) for i in range(40)] + [("Outer", "Outer", "n", None)], "type string, name string, namespace string, container string")
+    bases = spark.createDataFrame([(f"T{i}", "B0") for i in range(40)] + chain + [("Outer", "B5"), ("B6", "B4")], "src string, dst string")
+    kin, scopes = B.type_kin(types, bases)
+    assert kin.count() == 41 and kin.select("kin").distinct().count() == 3
+    assert scopes.count() == 7 + 8 + 3  # B0 to B6; these and Outer; B5, B6 and, around the cycle, B4
+    members = spark.createDataFrame([("a", "f", "B4"), ("b", "f", "B4"), ("c", "g", "Outer"), ("d", "f", "T3")], "member string, name string, type string")
+    uses = spark.createDataFrame([("T2", "f"), ("T3", "f"), ("T3", "g"), ("T2", "g"), ("Unknown", "f")], "type string, name string")
+    got = {(r["type"], r["name"]): (r["status"], r["depth"], r["id"]) for r in B.bind_qualified(uses, types, members, bases).collect()}
+    assert got == {("T2", "f"): ("ok", 5, "a"), ("T3", "f"): ("ok", 0, "d"), ("T3", "g"): ("notFound", None, None), ("T2", "g"): ("notFound", None, None), ("Unknown", "f"): ("notFound", None, None)}
+
+
+def test_one_type_that_two_imports_declare_is_one(spark):
+    types = spark.createDataFrame([("P", "p", "a", None), ("P", "p", "b", None), ("Q", "q", "a", None), ("R", "q", "b", None)], "type string, name string, namespace string, container string")
+    members = spark.createDataFrame([], "member string, name string, type string")
+    bases = spark.createDataFrame([], "src string, dst string")
+    uses = spark.createDataFrame([(n, None, s, f) for n in ("p", "q") for s in (None, "c.d") for f in (1, 2)], "name string, type string, namespace string, file int")
+    imports = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "file int, namespace string")
+    got = {(r["name"], r["namespace"], r["file"]): (r["status"], r["tier"], r["id"], r["n"]) for r in B.bind(uses, types, members, bases, imports).collect()}
+    want = {(n, s, 1): ("ok", 2, "P", 1) if n == "p" else ("ambiguous", 2, None, 2) for n in ("p", "q") for s in (None, "c.d")}
+    assert got == want | {(n, s, 2): ("notFound", None, None, 0) for n in ("p", "q") for s in (None, "c.d")}
