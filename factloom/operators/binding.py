@@ -51,7 +51,10 @@ def type_kin(types: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = types.select("type").where("type is not null").distinct()
     next_ = lambda rows, how: rows.select(F.col("src").alias("type"), F.struct(F.lit(how).alias("how"), F.col("dst").alias("head")).alias("next"))
     none = known.select("type", F.lit(None).cast("struct<how: string, head: string>").alias("next"))
-    kin, heads = _groups(none.unionByName(next_(edge.join(known.withColumnRenamed("type", "src"), "src", "left_semi"), "base")).unionByName(next_(hold, "container")), "type", "next", "kin")
+    # a type that is a base is of its own kin: around a cycle it is no scope above itself, but it is above others
+    alone = known.join(edge.select(F.col("dst").alias("type")).distinct(), "type", "left_semi").select(F.col("type").alias("src"), F.col("type").alias("dst"))
+    nexts = none.unionByName(next_(edge.join(known.withColumnRenamed("type", "src"), "src", "left_semi"), "base")).unionByName(next_(hold, "container")).unionByName(next_(alone, "self"))
+    kin, heads = _groups(nexts, "type", "next", "kin")
     heads = cut(heads.select("kin", "next.how", "next.head"))
     above = lambda rows, starts: _with_own(starts, reach_from_each(_inner(rows, starts.withColumnRenamed("type", "src"))))
     first = heads.where("how = 'base'").select("kin", F.col("head").alias("enclosing"), F.lit(0).alias("outward"), F.lit(1).alias("step"))
@@ -61,7 +64,7 @@ def type_kin(types: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = cut(first.unionByName(outer))
     met = starts.join(above(edge, starts.select(F.col("enclosing").alias("type")).distinct()).withColumnRenamed("type", "enclosing"), "enclosing")
     rank = F.min(F.struct("outward", (F.col("depth") + F.col("step")).alias("depth"))).alias("r")
-    return kin, cut(met.groupBy("kin", "scope").agg(rank).select("kin", "scope", "r.outward", "r.depth"))
+    return kin, cut(met.where("step = 0 or scope <> kin").groupBy("kin", "scope").agg(rank).select("kin", "scope", "r.outward", "r.depth"))
 
 
 def _with_own(types: DataFrame, reached: DataFrame) -> DataFrame:
@@ -156,30 +159,61 @@ def bind_qualified(uses: DataFrame, types: DataFrame, members: DataFrame, bases:
     return rows.select("type", "name", _status(n), "b.rank.depth", F.when(n == 1, F.col("b.id")).alias("id"), n.alias("n"))
 
 
+def _dispatch(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overrides ``(src, dst)``, and what is done for interfaces by slot, that is by interface and signature: who does it ``(src, interface, signature)``, and whose it is ``(interface, signature, dst)``.
+
+    A method's own type is asked for itself; what stands above is asked once for all types of the same bases.
+    """
+    every = _types(methods, bases, interfaces)
+    kin, scopes = type_kin(every.select("type", F.lit(None).cast("string").alias("container")), bases)
+    # of several methods of one signature in a type, which no compiler lets pass, the smallest counts
+    only = cut(methods.groupBy(F.col("type").alias("scope"), "signature").agg(F.min("member").alias("base")))
+    above = scopes.join(only, "scope").groupBy("kin", "signature").agg(F.min(F.struct("depth", "base")).alias("b"))
+    mine = methods.where("overrides").select("member", "type", "signature").join(kin, "type").join(cut(above), ["kin", "signature"])
+    overriding = mine.groupBy("member").agg(F.min("b").alias("b")).select(F.col("member").alias("src"), F.col("b.base").alias("dst"))
+    # interfaces of a class: those it names, of classes above it, and what these extend
+    wider = _with_own(interfaces.select(F.col("dst").alias("type")).distinct(), reach_from_each(_inner(interfaces, interfaces.select(F.col("dst").alias("src")))))
+    wider = cut(wider.select(F.col("type").alias("named"), F.col("scope").alias("interface")))
+    wide = lambda rows, key: rows.select(key, F.col("dst").alias("named")).distinct().join(wider, "named").select(key, "interface").distinct()
+    of_kin = wide(scopes.select("kin", F.col("scope").alias("src")).join(interfaces, "src"), "kin")
+    own = wide(interfaces.withColumnRenamed("src", "type"), "type")
+    classes = methods.select("type").join(interfaces.select(F.col("dst").alias("type")), "type", "left_anti").unionByName(bases.select(F.col("src").alias("type"))).distinct()
+    classes = classes.join(kin, "type")
+    asked = classes.join(of_kin, "kin").unionByName(classes.join(own, "type").select("kin", "type", "interface")).distinct()
+    homes = cut(methods.select(F.col("type").alias("interface"), "signature", F.col("member").alias("dst")).join(interfaces.select(F.col("dst").alias("interface")).distinct(), "interface", "left_semi").distinct())
+    slots = cut(homes.select("interface", "signature").distinct())
+    wanted = cut(asked.join(slots, "interface"))
+    far = wanted.select("kin", "interface", "signature").distinct().join(scopes, "kin").where("scope <> interface").join(only, ["scope", "signature"])
+    far = cut(far.groupBy("kin", "interface", "signature").agg(F.min(F.struct("depth", "base")).alias("b")).select("kin", "interface", "signature", F.col("b.base").alias("far")))
+    near = only.select(F.col("scope").alias("type"), "signature", F.col("base").alias("near"))
+    done = wanted.join(near, ["type", "signature"], "left").join(far, ["kin", "interface", "signature"], "left")
+    src = F.coalesce(F.when(F.col("type") != F.col("interface"), F.col("near")), "far")
+    return overriding, cut(done.select(src.alias("src"), "interface", "signature").where("src is not null").distinct()), homes
+
+
 def override_edges(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> DataFrame:
     """``(src, dst, how)``: the member ``src`` stands in for ``dst`` when that is called.
 
-    ``methods(member, type, signature, overrides)``; ``bases(src, dst)`` are classes, ``interfaces(src, dst)`` what a class or an interface
+    ``methods(member, type, signature, overrides)``, a row for each member; ``bases(src, dst)`` are classes, ``interfaces(src, dst)`` what a class or an interface
     names. A method that overrides replaces the one of its signature in the nearest class above (``override``). For
     each class and each interface that it or a class above names, or that such an interface extends, a method of the interface is done by
     the method of its signature that is nearest to the class (``interface``); none may be.
+
+    Pairs of an interface are as many as its methods of a signature times the methods that do them; they are made last, and not moved again.
     """
-    above = cut(ancestors(bases, _types(methods, bases, interfaces)))
-    mine = methods.where("overrides").join(above.where("depth > 0"), "type").select("member", "signature", "scope", "depth")
-    # of several methods of one signature in a type, which no compiler lets pass, the smallest counts
-    only = cut(methods.groupBy(F.col("type").alias("scope"), "signature").agg(F.min("member").alias("base")))
-    nearest = mine.join(only, ["scope", "signature"]).groupBy("member").agg(F.min(F.struct("depth", "base")).alias("b"))
-    overriding = nearest.select(F.col("member").alias("src"), F.col("b.base").alias("dst"), F.lit("override").alias("how"))
-    # interfaces of a class: those it names, of classes above it, and what these extend
-    named = above.select("type", F.col("scope").alias("src")).join(interfaces, "src").select("type", F.col("dst").alias("interface")).distinct()
-    wider = ancestors(interfaces, named.select(F.col("interface").alias("type")).distinct())
-    every = named.select("type", F.col("interface").alias("named")).join(wider.select(F.col("type").alias("named"), F.col("scope").alias("interface")), "named").select("type", "interface").distinct()
-    classes = methods.select("type").join(interfaces.select(F.col("dst").alias("type")), "type", "left_anti").distinct()
-    asked = every.join(classes.unionByName(bases.select(F.col("src").alias("type"))).distinct(), "type", "left_semi")
-    wanted = asked.join(methods.select(F.col("type").alias("interface"), "signature", F.col("member").alias("dst")), "interface")
-    done = wanted.join(above, "type").join(only.withColumnRenamed("base", "src"), ["scope", "signature"])
-    by = done.where("scope <> interface").groupBy("type", "dst").agg(F.min(F.struct("depth", "src")).alias("b"))
-    return overriding.unionByName(by.select(F.col("b.src").alias("src"), "dst", F.lit("interface").alias("how")).distinct())
+    overriding, doing, homes = _dispatch(methods, bases, interfaces)
+    pairs = doing.join(homes, ["interface", "signature"]).select("src", "dst", F.lit("interface").alias("how"))
+    return overriding.withColumn("how", F.lit("override")).select("src", "dst", "how").unionByName(pairs)
+
+
+def override_graph(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """``(src, dst)``: the edges of ``override_edges``, those for an interface over a node for its slot, so that they are not multiplied; two members are connected as they are there.
+
+    The name of such a node starts with a character of code 0 and is no member's.
+    """
+    overriding, doing, homes = _dispatch(methods, bases, interfaces)
+    slot = F.concat(F.lit("\0"), F.col("interface"), F.lit("\0"), F.col("signature"))
+    return overriding.unionByName(doing.select("src", slot.alias("dst"))).unionByName(homes.select(slot.alias("src"), "dst").join(doing.select(slot.alias("src")).distinct(), "src", "left_semi"))
 
 
 def _types(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -192,7 +226,7 @@ def _types(methods: DataFrame, bases: DataFrame, interfaces: DataFrame) -> DataF
 
 
 def dispatch_targets(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(target)``: all members a call of which may run one of ``targets(target)``, or that a call of one may run: the cascade of ``override_edges`` to its fixed point."""
+    """``(target)``: all members a call of which may run one of ``targets(target)``, or that a call of one may run: the cascade of ``override_edges`` or ``override_graph`` to its fixed point."""
     return override_cascade(edges.select("src", "dst"), targets.select(F.col("target").alias("node"))).select(F.col("node").alias("target"))
 
 

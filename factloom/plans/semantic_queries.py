@@ -141,7 +141,7 @@ o2 AS (SELECT m.member AS src, i.member AS dst, row_number() OVER (PARTITION BY
 edges AS (SELECT src, dst, 'override' AS how FROM o1 WHERE r = 1 UNION SELECT src, dst, 'interface' FROM o2 WHERE r = 1)"""
 
 
-def _dispatch(spark: SparkSession, d: str) -> DataFrame:
+def _dispatch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     methods = _union(
         _t(spark, d, "orders").select(_id("O", "o_orderkey").alias("member"), _id("C", "o_custkey").alias("type"), _id("s", F.col("o_orderkey") % 30).alias("signature"), (F.col("o_orderstatus") == "F").alias("overrides")),
         _t(spark, d, "part").select(_id("P", "p_partkey").alias("member"), _id("N", F.col("p_partkey") % 25).alias("type"), _id("s", F.col("p_partkey") % 45).alias("signature"), (F.col("p_size") % 2 == 0).alias("overrides")),
@@ -153,13 +153,13 @@ def _dispatch(spark: SparkSession, d: str) -> DataFrame:
         _t(spark, d, "customer").where("c_custkey % 7 = 0").select(_id("C", "c_custkey").alias("src"), _id("I", F.col("c_custkey") % 10).alias("dst")),
         _t(spark, d, "supplier").where("s_suppkey % 10 >= 3").select(_id("I", F.col("s_suppkey") % 10).alias("src"), _id("I", F.col("s_suppkey") % 10 % 3).alias("dst")),
     )
-    return binding.override_edges(methods, _bases(spark, d), interfaces.distinct())
+    return methods, _bases(spark, d), interfaces.distinct()
 
 
 @_query(f"WITH RECURSIVE {_METHODS} SELECT src, dst, how FROM edges")
 def override_map(spark: SparkSession, d: str) -> DataFrame:
     """Which member stands in for which, by signature and nearest type."""
-    return _dispatch(spark, d).select("src", "dst", "how")
+    return binding.override_edges(*_dispatch(spark, d)).select("src", "dst", "how")
 
 
 @_query(f"""WITH RECURSIVE {_METHODS},
@@ -173,7 +173,7 @@ def find_callers_by_dispatch(spark: SparkSession, d: str) -> DataFrame:
     lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("project"), "l_partkey")
     calls = _union(lines.select(_id("P", "l_partkey").alias("target"), "file", "line", "project"), lines.where("line = 2").select(_id("O", "file").alias("target"), "file", "line", "project"))
     targets = _t(spark, d, "part").where("p_brand = 'Brand#11' and p_size <= 6").select(_id("P", "p_partkey").alias("target"))
-    return binding.callers_by_dispatch(calls, targets, _dispatch(spark, d))
+    return binding.callers_by_dispatch(calls, targets, binding.override_graph(*_dispatch(spark, d)))
 
 
 @_query("""WITH RECURSIVE sites AS (SELECT DISTINCT src, dst, "at" FROM (SELECT l_partkey AS src, (l_linenumber * 7 + l_partkey) % 100 AS "at", lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem WHERE l_quantity >= 40) WHERE dst IS NOT NULL AND src <> dst),

@@ -220,3 +220,16 @@ def test_one_type_that_two_imports_declare_is_one(spark):
     got = {(r["name"], r["namespace"], r["file"]): (r["status"], r["tier"], r["id"], r["n"]) for r in B.bind(uses, types, members, bases, imports).collect()}
     want = {(n, s, 1): ("ok", 2, "P", 1) if n == "p" else ("ambiguous", 2, None, 2) for n in ("p", "q") for s in (None, "c.d")}
     assert got == want | {(n, s, 2): ("notFound", None, None, 0) for n in ("p", "q") for s in (None, "c.d")}
+
+
+def test_an_interface_with_many_methods_of_a_signature_is_not_multiplied_in_the_walk(spark):
+    methods = [(f"I.{i}", "I", "s", False) for i in range(30)] + [(f"C{i}.s", f"C{i}", "s", False) for i in range(30)] + [("B.s", "B", "s", False)]
+    methods = spark.createDataFrame(methods, "member string, type string, signature string, overrides boolean")
+    bases = spark.createDataFrame([(f"C{i}", "B") for i in range(30)] + [("D", "B"), ("B", "D")], EDGES)
+    interfaces = spark.createDataFrame([("B", "I"), ("C1", "I")], EDGES)
+    assert B.override_edges(methods, bases, interfaces).distinct().count() == B.override_edges(methods, bases, interfaces).count() == 31 * 30
+    graph = B.override_graph(methods, bases, interfaces)
+    assert graph.count() == 31 + 30
+    asked = spark.createDataFrame([("C7.s",)], "target string")
+    reached = {r["target"] for edges in (graph,) for r in B.dispatch_targets(edges, asked).collect() if not r["target"].startswith("\0")}
+    assert reached == {r["target"] for r in B.dispatch_targets(B.override_edges(methods, bases, interfaces), asked).collect()} and len(reached) == 61
