@@ -218,10 +218,11 @@ def public_api(facts: DataFrame) -> DataFrame:
 
 
 def event_subscribers(facts: DataFrame, requests: DataFrame) -> DataFrame:
-    """``(request, file, line, col, subscribes, handler, enclosing, project)``: ``+=`` and ``-=`` on names of the requests' events, one for each place."""
+    """``(request, file, line, col, subscribes, handler, enclosing, project)``: ``+=`` and ``-=`` on names of the requests' events, one for each place and what stands there; of a file in several projects the first project."""
     events = resolve(facts, requests).where("kind = 'event'").select("request", "name").distinct()
     rows = facts.where("kind = 'subscribe'").select("name", "file", "line", "col", (F.col("detail") == "+=").alias("subscribes"), F.col("extra").alias("handler"), F.col("container").alias("enclosing"), "project")
-    return rows.join(events, "name").drop("name").dropDuplicates(["request", "file", "line", "col"])
+    found = rows.join(events, "name").groupBy("request", "file", "line", "col", "subscribes", "handler", "enclosing").agg(F.min("project").alias("project"))
+    return found.select("request", "file", "line", "col", "subscribes", "handler", "enclosing", "project")
 
 
 def attribute_usages(facts: DataFrame, attribute: str) -> DataFrame:
