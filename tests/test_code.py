@@ -355,3 +355,22 @@ def test_names_are_stripped_however_deep(spark):
     rows = spark.createDataFrame([(deep,), ("A<B, C<D>>",), ("A<B",), ("A>",), ("A",), ("",), (None,), ("A<B>.C<D<E>>.F",)], "n string")
     assert [r[0] for r in rows.select(T.stripped(F.col("n"))).collect()] == ["A.B.D", "A", "A<B", "A>", "A", "", None, "A.C.F"]
     assert csharp.extract("class A { " + "B<" * 150 + "int" + ">" * 150 + " f; }")
+
+
+def test_two_subscriptions_at_one_place_are_both_told(spark):
+    """Of facts that are alike but for the project one is told, the same in each run."""
+    row = {c.split()[0]: 0 if c.endswith(" int") else "" for c in csharp.SCHEMA.split(", ")}
+    event = row | {"kind": "member", "name": "Sold", "full_name": "A.Sold", "container": "A", "detail": "event"}
+    place = row | {"kind": "subscribe", "name": "Sold", "file": "a.cs", "line": 3, "col": 7}
+    facts = spark.createDataFrame([tuple(r.values()) for r in (event, *(place | {"detail": d, "container": c, "project": p} for d, c, p in [("+=", "A.F", "P2"), ("+=", "A.F", "P1"), ("-=", "A.F", "P1"), ("-=", "A.G", "P1")]))], csharp.SCHEMA)
+    got = T.event_subscribers(facts, spark.createDataFrame([("Sold",)], "request string")).collect()
+    assert sorted((r["subscribes"], r["enclosing"], r["project"]) for r in got) == [(False, "A.F", "P1"), (False, "A.G", "P1"), (True, "A.F", "P1")]
+
+
+def test_facts_leave_a_task_in_pieces(spark, monkeypatch):
+    """Of texts of one name the smallest counts; a name may be null, a text without one is read like others."""
+    monkeypatch.setattr(csharp, "FACTS_AT_ONCE", 4)
+    files = [("P", "a.cs", "class B { int x; int y; int z; }"), ("P", "a.cs", "class A { int x; int y; int z; int w; }"), ("P", None, "class C { }"), ("P", None, "class D { }"), (None, "e.cs", "class E { }"), ("P", "n.cs", None)]
+    got = csharp.facts(spark.createDataFrame(files, "project string, file string, text string"))
+    assert sorted(r["name"] for r in got.where("kind = 'type'").collect()) == ["A", "C", "E"]
+    assert sorted(r["name"] for r in got.where("kind = 'member'").collect()) == ["w", "x", "y", "z"]
