@@ -10,6 +10,7 @@ over lie far from running text of their own language; text in a script that no l
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +24,18 @@ from . import words as W
 from .scratch import cut, small_batches
 
 DIMENSIONS = 4096
-#: Labelled rows from which centroids are fitted: about ``SAMPLE_ROWS`` in all, evenly over languages, at most ``SAMPLE_EACH`` of one and at least one of each. Of more than ``MOST_LANGS`` languages, those with the most rows are learned.
-SAMPLE_ROWS = 2400
-SAMPLE_EACH = 600
+#: Centroids of all languages together are about so many, but ``CENTROIDS`` of one language at most and at least one of each. Of more than ``MOST_LANGS`` languages, those with the most rows are learned.
+ALL_CENTROIDS = 2400
 MOST_LANGS = 5000
-#: A language's sampled rows are picked evenly from so many classes by hash, so that its rows are not ranked in one task.
-SAMPLE_CLASSES = 32
 CENTROIDS = 6
-#: What a text should reach is the cosine that all but ``REJECT_TAIL`` of its centroid's sampled texts reach (of its language's, where the centroid has fewer than ``LEAST_MEMBERS``). Under ``DOUBT_SHARE`` of that it is looked at again, by trigrams of known bytes only, and rejected under ``REJECT_SHARE`` of it.
+#: Rounds of k-means, each over all training rows.
+ROUNDS = 3
+#: Cosines are counted in so many bins; vectors are summed as whole numbers of this part, so that sums don't depend on their order.
+BINS = 1000
+UNIT = 1 << 20
+#: Sums that a task holds before they go on.
+HELD = 256
+#: What a text should reach is the cosine that all but ``REJECT_TAIL`` of its centroid's texts reach (of its language's, where the centroid has fewer than ``LEAST_MEMBERS``). Under ``DOUBT_SHARE`` of that it is looked at again, by trigrams of known bytes only, and rejected under ``REJECT_SHARE`` of it.
 DOUBT_SHARE = 0.5
 REJECT_SHARE = 0.15
 REJECT_TAIL = 0.01
@@ -41,7 +46,7 @@ SNIPPET_CHARS = (4, 8, 16, 32, 64, 100)
 SNIPPET_TAIL = 0.005
 NEAR_SIZE = 1.3
 LEAST_SNIPPETS = 20
-#: A byte is known if in some language this share of the sampled texts has it.
+#: A byte is known if in some language this share of the texts has it.
 KNOWN_SHARE = 0.01
 UNKNOWN = "und"
 
@@ -105,138 +110,190 @@ class Model:
     known: np.ndarray
 
 
+_SEEN = "lang string, n long, counts binary"
+_SUMS = "lang string, part int, n long, vector binary"
+_BINS = "lang string, part int, size int, bin int, n long"
+
+
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: document frequencies of all rows, and of the sampled ones, repeated ones once, the damped counts with the bytes' presence (-2) and snippets' trigrams (-3)."""
-    seen, total = np.zeros(DIMENSIONS, dtype=np.int64), 0
+    """Per task: document frequencies of all rows (no language), and by language in how many rows each folded byte stands."""
     W.tidy("language_id")
-    schema = pa.schema([("dim", pa.int32()), ("n", pa.int64()), ("lang", pa.string()), ("vector", pa.binary())])
-    had: set[tuple[str, int]] = set()
+    seen, total = np.zeros(DIMENSIONS, dtype=np.int64), 0
+    held: dict[str, list] = {}
     for batch in batches:
         for part in W.pieces(batch, "text"):
-            lang, key = part.column(1).to_pylist(), part.column(2).to_pylist()
-            rows = []
+            texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
             for low, counts in _counts(part.column(0)):
                 seen += (counts > 0).sum(axis=0)
                 total += len(counts)
-                picked = []
-                for i in range(len(counts)):
-                    if key[low + i] is not None and (lang[low + i], key[low + i]) not in had:
-                        had.add((lang[low + i], key[low + i]))
-                        picked.append(i)
-                texts = part.column(0).take(pa.array([low + i for i in picked], pa.int64())).to_pylist()
-                rows += [(-2, key[low + i], lang[low + i], np.log1p(counts[i]).astype(np.float16).tobytes() + np.packbits(_bytes_of(t)).tobytes()) for i, t in zip(picked, texts, strict=True)]
-                of = [(key[low + i], lang[low + i]) for i in picked for _ in SNIPPET_CHARS]
-                for start, few in _counts(pa.array([s for t in texts for s in _snippets(t)], pa.string())):
-                    rows += [(-3, *of[start + i], np.repeat(np.arange(DIMENSIONS, dtype=np.uint16), x).tobytes()) for i, x in enumerate(few) if 0 < np.count_nonzero(x) < LEAST_TRIGRAMS]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                for i in range(low, low + len(counts)):
+                    x = held.setdefault(langs[i], [0, np.zeros(256, dtype=np.int64)])
+                    x[0] += 1
+                    x[1] += _bytes_of(texts[i])
+        if len(held) > 16 * HELD:
+            yield _batch([(k, n, x.tobytes()) for k, (n, x) in held.items()], [pa.string(), pa.int64(), pa.binary()], _SEEN)
+            held.clear()
     if total:
-        dims = np.flatnonzero(seen)
-        n = len(dims) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(dims, -1).astype(np.int32)), pa.array(np.append(seen[dims], total)), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], schema=schema)
+        yield _batch([(k, n, x.tobytes()) for k, (n, x) in held.items()] + [(None, total, seen.tobytes())], [pa.string(), pa.int64(), pa.binary()], _SEEN)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+def _batch(rows: list[tuple], types: list, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
 
-def _cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centre is the mean direction, each next one the farthest vector."""
-    centres = _unit(vectors.mean(axis=0))[None]
-    while len(centres) < min(k, len(vectors)):
-        centres = np.vstack([centres, vectors[np.argmin((vectors @ centres.T).max(axis=1))]])
-    for _ in range(rounds):
-        nearest = (vectors @ centres.T).argmax(axis=1)
-        centres = np.vstack([_unit(vectors[nearest == c].mean(axis=0)) if (nearest == c).any() else centres[c] for c in range(len(centres))])
-    return centres
+def _added(table: pa.Table) -> pa.Table:
+    """A group's row with the sums of ``n`` and of its vectors of whole numbers, the last column."""
+    total = sum(np.frombuffer(x.as_buffer(), dtype=np.int64) for x in table.column(table.num_columns - 1))
+    out = table.slice(0, 1)
+    place = table.column_names.index("n")
+    out = out.set_column(place, table.schema.field(place), pa.array([int(np.sum(table.column(place).to_numpy()))], pa.int64()))
+    return out.set_column(table.num_columns - 1, table.schema.field(table.num_columns - 1), pa.array([total.tobytes()], pa.binary()))
 
 
-def _reached(vectors: np.ndarray, centres: np.ndarray) -> list[float]:
-    """The cosine that nearly all of each centroid's members of enough trigrams reach; 0 without any."""
-    cosine = vectors @ centres.T
-    of, best = cosine.argmax(axis=1), cosine.max(axis=1)
-    long = (vectors > 0).sum(axis=1) >= LEAST_TRIGRAMS
-    out = []
-    for c in range(len(centres)):
-        own = best[long & (of == c)]
-        own = own if len(own) >= LEAST_MEMBERS else best[long]
-        out.append(float(np.quantile(own, REJECT_TAIL)) if len(own) else 0.0)
-    return out
+def _own(rows: pa.RecordBatch, idf: np.ndarray, centres: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By language, some rows at a time: unit vectors that are not 0, the nearest of the language's own centroids, its cosine, and numbers of distinct trigrams."""
+    langs = np.array(rows.column(1).to_pylist(), dtype=object)
+    for low, counts in _counts(rows.column(0)):
+        vectors, size = _unit(np.log1p(counts, dtype=np.float32) * idf), (counts > 0).sum(axis=1)
+        here = langs[low : low + len(counts)]
+        for lang in sorted(set(here)):
+            at = np.flatnonzero((here == lang) & (size > 0))
+            if len(at):
+                cosine = vectors[at] @ centres[lang].T if lang in centres else np.zeros((len(at), 1), np.float32)
+                yield lang, vectors[at], cosine.argmax(axis=1), cosine.max(axis=1), size[at]
+
+
+def _bins(cosine: np.ndarray) -> np.ndarray:
+    return np.clip((cosine * BINS).astype(np.int64), 0, BINS - 1)
+
 
+def _summing(idf: np.ndarray, centres: dict[str, np.ndarray], edges: dict[str, np.ndarray]):
+    """Per task: sums of the unit vectors of each language and centroid, or, where a language has ``edges``, of each class of cosine with its one centroid."""
 
-def _thresholds(n: np.ndarray, cosine: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """The cosine that snippets reach by number of distinct trigrams, never more than for a larger number; 0 where no language has enough snippets of about that size."""
-    out = np.full(LEAST_TRIGRAMS, np.inf)
-    for size in range(1, LEAST_TRIGRAMS):
-        near = (n >= size / NEAR_SIZE) & (n <= size * NEAR_SIZE)
-        each = [cosine[near & (lang == x)] for x in np.unique(lang)]
-        out[size] = min((np.quantile(x, SNIPPET_TAIL) for x in each if len(x) >= LEAST_SNIPPETS), default=np.inf)
-    return np.where(np.isinf(out), 0.0, np.minimum.accumulate(out[::-1])[::-1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        out = lambda: _batch([(*k, n, x.tobytes()) for k, (n, x) in held.items()], [pa.string(), pa.int32(), pa.int64(), pa.binary()], _SUMS)
+        for batch in batches:
+            for part in W.pieces(batch, "text"):
+                for lang, vectors, of, cosine, _ in _own(part, idf, centres):
+                    of = np.searchsorted(edges[lang], _bins(cosine), side="left") if lang in edges else of
+                    whole = np.rint(vectors * UNIT).astype(np.int64)
+                    for c in np.unique(of):
+                        x = held.setdefault((lang, int(c)), [0, np.zeros(DIMENSIONS, dtype=np.int64)])
+                        x[0] += int((of == c).sum())
+                        x[1] += whole[of == c].sum(axis=0)
+                    if len(held) > HELD:
+                        yield out()
+                        held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
+def _counting(idf: np.ndarray, centres: dict[str, np.ndarray], snippets: bool):
+    """Per task: how many rows of each language and centroid have which cosine (size 0: all, 1: those of enough trigrams); part -1: snippets by number of trigrams, with the nearest centroid of all."""
+    every = np.vstack([centres[x] for x in sorted(centres)]) if centres else np.zeros((0, DIMENSIONS), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        out = lambda: _batch([(*k, n) for k, n in held.items()], [pa.string(), *[pa.int32()] * 3, pa.int64()], _BINS)
+        for batch in batches:
+            for part in W.pieces(batch, "text"):
+                for lang, _, of, cosine, size in _own(part, idf, centres):
+                    held.update((lang, int(c), int(long), int(x)) for c, long, x in zip(of, size >= LEAST_TRIGRAMS, _bins(cosine), strict=True))
+                if snippets and len(every):
+                    langs, texts = part.column(1).to_pylist(), part.column(0).to_pylist()
+                    of = [x for x in langs for _ in SNIPPET_CHARS]
+                    for low, few in _counts(pa.array([s for t in texts for s in _snippets(t)], pa.string())):
+                        size = (few > 0).sum(axis=1)
+                        at = np.flatnonzero((size > 0) & (size < LEAST_TRIGRAMS))
+                        cosine = (_unit(np.log1p(few[at], dtype=np.float32) * idf) @ every.T).max(axis=1)
+                        held.update((of[low + i], -1, int(size[i]), int(x)) for i, x in zip(at, _bins(cosine), strict=True))
+                if len(held) > 64 * HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
+def _quantiles(bins: DataFrame, by: list[str], tail: float) -> DataFrame:
+    """``(by, total, bin)``: the bin that all but ``tail`` of the rows counted in ``bins(by, bin, n)`` reach."""
+    group = Window.partitionBy(*by)
+    cells = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    return cells.where(F.col("upto") > F.col("total") * tail).groupBy(*by).agg(F.max("total").alias("total"), F.min("bin").alias("bin"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def _centres(rows: DataFrame, idf: np.ndarray, before: dict[str, np.ndarray], edges: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean directions of all rows by language and part; a centroid that is nearest to none stays."""
+    sums = rows.mapInArrow(_summing(idf, before, edges), _SUMS).groupBy("lang", "part").applyInArrow(_added, _SUMS)
+    new: dict[str, dict[int, np.ndarray]] = {}
+    for r in cut(sums).toLocalIterator():
+        new.setdefault(r["lang"], {})[r["part"]] = _unit(np.frombuffer(r["vector"], dtype=np.int64).astype(np.float64)).astype(np.float32)
+    out = {}
+    for lang, parts in new.items():
+        keep = {} if lang in edges or lang not in before else dict(enumerate(before[lang]))
+        out[lang] = np.stack([x for _, x in sorted((keep | parts).items())])
+    return out
 
 
 def fit(docs: DataFrame) -> Model:
     """Learn from ``docs(text, lang, doc_id)``; rows without a language or text, or of the held-out fold, are not used; a null id is of no fold that is held out.
 
-    Document frequencies cover all training rows. Centroids come from a bounded sample: of each language, and of each of ``SAMPLE_CLASSES``
-    classes of hashes, those rows with the smallest hashes of id and text, ``SAMPLE_ROWS`` over the number of languages, but ``SAMPLE_EACH`` at most
-    and one at least, so that every language has a centroid; of more than ``MOST_LANGS`` languages those with the most rows have one, which
-    bounds what the driver and each task hold. A repeated row is sampled once. Whole texts are used,
+    All training rows count everywhere: in document frequencies, bytes, centroids and thresholds. Centroids are those of spherical k-means, ``ROUNDS`` rounds over all rows
+    of a language, from the means of classes of about as many rows by cosine with the language's mean; tasks add up vectors, Spark adds up what tasks have, and the driver holds the centroids.
+    Of more than ``MOST_LANGS`` languages those with the most rows have one, which
+    bounds what the driver and each task hold. Whole texts are used,
     however long. Without labelled rows the model knows no language.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select("text", "lang", F.xxhash64(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"))
-    sizes = cut(rows.groupBy("lang").count())
-    n_langs = sizes.count()
-    each = max(1, min(SAMPLE_EACH, SAMPLE_ROWS // max(1, n_langs)))
-    learned = rows.select("lang", "key")
-    if n_langs > MOST_LANGS:
-        learned = learned.join(F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")), "lang", "left_semi")
-    classes = min(SAMPLE_CLASSES, each)
-    order = Window.partitionBy("lang", F.pmod("key", F.lit(classes))).orderBy("key")
-    # as many rows as the sample is documented to have, so they go to every executor
-    picked = learned.withColumn("r", F.row_number().over(order)).where(F.col("r") <= -(-each // classes)).select("lang", "key", F.col("key").alias("picked")).distinct()
-    sampled = rows.join(F.broadcast(cut(picked)), ["lang", "key"], "left").select("text", "lang", "picked")
-    observed = cut(sampled.mapInArrow(_observe, "dim int, n long, lang string, vector binary"))
-    seen = np.zeros(DIMENSIONS)
-    total = 0
-    for r in observed.where("vector is null").groupBy("dim").agg(F.sum("n").alias("n")).collect():
-        if r["dim"] < 0:
-            total = r["n"]
-        else:
-            seen[r["dim"]] = r["n"]
-    idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    sample = observed.where("dim = -2").select("lang", "n", "vector").distinct().orderBy("lang", "n").collect()
-    by: dict[str, list[np.ndarray]] = {}
-    has: dict[str, list[np.ndarray]] = {}
-    for r in sample:
-        by.setdefault(r["lang"], []).append(np.frombuffer(r["vector"], dtype=np.float16, count=DIMENSIONS))
-        has.setdefault(r["lang"], []).append(np.unpackbits(np.frombuffer(r["vector"], dtype=np.uint8, offset=2 * DIMENSIONS)))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
+    seen = cut(rows.mapInArrow(_observe, _SEEN).groupBy("lang").applyInArrow(_added, _SEEN))
+    every = seen.where("lang is null").collect()
+    total = every[0]["n"] if every else 0
+    idf = np.log((1 + total) / (1 + (np.frombuffer(every[0]["counts"], dtype=np.int64) if every else np.zeros(DIMENSIONS)))).astype(np.float32) + np.float32(0.1)
+    learned = seen.where("lang is not null").orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     known = np.zeros(256, dtype=bool)
-    for x in has.values():
-        known |= np.mean(x, axis=0) >= KNOWN_SHARE
+    for r in learned:
+        known |= np.frombuffer(r["counts"], dtype=np.int64) >= KNOWN_SHARE * r["n"]
     known[32] = True
-    centroids, langs, reached = [], [], []
-    for lang in sorted(by):
-        vectors = _unit(np.stack(by[lang]).astype(np.float32) * idf)
-        vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
-        if len(vectors):
-            centres = _cluster(vectors, CENTROIDS)
-            centroids.append(centres)
-            langs += [lang] * len(centres)
-            reached += _reached(vectors, centres)
-    by.clear(), has.clear(), sample.clear()
-    centres = np.vstack(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32)
-    snippets = observed.where("dim = -3").select("lang", "n", "vector").distinct().collect() if langs else []
-    sizes_of, cosines = [], []
-    for low in range(0, len(snippets), _ROWS):
-        few = np.stack([np.bincount(np.frombuffer(r["vector"], dtype=np.uint16), minlength=DIMENSIONS) for r in snippets[low : low + _ROWS]])
-        sizes_of += (few > 0).sum(axis=1).tolist()
-        cosines += (_unit(np.log1p(few, dtype=np.float32) * idf) @ centres.T).max(axis=1).tolist()
-    short = _thresholds(np.array(sizes_of), np.array(cosines), np.array([r["lang"] for r in snippets]))
-    snippets.clear()
+    if seen.where("lang is not null").count() > len(learned):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(r["lang"],) for r in learned], "lang string")), "lang", "left_semi").select("text", "lang")
+    k = max(1, min(CENTROIDS, ALL_CENTROIDS // max(1, len(learned))))
+    centres = _centres(rows, idf, {}, {})
+    if k > 1 and centres:
+        cells = rows.mapInArrow(_counting(idf, centres, False), _BINS).select("lang", "bin", "n")
+        cells = cut(cells.groupBy("lang", "bin").agg(F.sum("n").alias("n")))
+        edges: dict[str, list[int]] = {}
+        for i in range(1, k):
+            for r in _quantiles(cells, ["lang"], i / k).collect():
+                edges.setdefault(r["lang"], []).append(r["bin"])
+        centres = _centres(rows, idf, centres, {x: np.unique(e) for x, e in edges.items()})
+        for _ in range(ROUNDS):
+            centres = _centres(rows, idf, centres, {})
+    bins = cut(rows.mapInArrow(_counting(idf, centres, True), _BINS).groupBy("lang", "part", "size", "bin").agg(F.sum("n").alias("n")))
+    long = bins.where("part >= 0 and size = 1")
+    own = {(r["lang"], r["part"]): r["bin"] / BINS for r in _quantiles(long, ["lang", "part"], REJECT_TAIL).where(F.col("total") >= LEAST_MEMBERS).collect()}
+    whole = {r["lang"]: r["bin"] / BINS for r in _quantiles(long, ["lang"], REJECT_TAIL).collect()}
+    langs = [x for x in sorted(centres) for _ in centres[x]]
+    reached = [own.get((x, c), whole.get(x, 0.0)) for x in sorted(centres) for c in range(len(centres[x]))]
+    # what snippets of about a size reach, for the language where that is least, and never more than for a larger size
+    near = F.explode(F.filter(F.sequence(F.lit(1), F.lit(LEAST_TRIGRAMS - 1)), lambda x: (F.col("size") >= x / NEAR_SIZE) & (F.col("size") <= x * NEAR_SIZE)))
+    few = _quantiles(bins.where("part = -1").select("lang", "bin", "n", near.alias("near")), ["lang", "near"], SNIPPET_TAIL).where(F.col("total") >= LEAST_SNIPPETS)
+    short = np.full(LEAST_TRIGRAMS, np.inf)
+    for r in few.groupBy("near").agg(F.min("bin").alias("bin")).collect():
+        short[r["near"]] = r["bin"] / BINS
+    short = np.where(np.isinf(short), 0.0, np.minimum.accumulate(short[::-1])[::-1])
     W.tidy("language_id")
-    return Model(idf, centres, langs, np.array(reached), short, known)
+    stacked = np.vstack([centres[x] for x in sorted(centres)]) if centres else np.zeros((0, DIMENSIONS), np.float32)
+    return Model(idf, stacked, langs, np.array(reached), short, known)
 
 
 def _known_cosine(texts: pa.Array, model: Model) -> np.ndarray:

@@ -642,3 +642,13 @@ def test_exact_topk(spark, monkeypatch):
         monkeypatch.setattr(exact_topk, name, value)
     assert sorted(map(tuple, exact_topk.exact_topk(df).collect())) == sorted(want)
     assert exact_topk.exact_topk(df.limit(0)).collect() == []
+
+
+def test_language_id_learns_from_every_row(spark):
+    """Each training row moves the centroids, and a second fit is the same."""
+    docs = labelled(spark, 60).select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(5000 + k, LANGS["aa"] * 3, "aa") for k in range(3000)], docs.schema)
+    a, b = (language_id.fit(docs.unionByName(more).repartition(n)) for n in (2, 5))
+    rare = docs.unionByName(more).where("doc_id >= 5000 or lang <> 'aa'")
+    assert a.langs == b.langs and np.allclose(a.centroids, b.centroids) and np.allclose(a.short, b.short)
+    assert (a.idf != language_id.fit(rare).idf).any() and not hasattr(language_id, "SAMPLE_ROWS")
