@@ -298,7 +298,7 @@ def _coder(path: str, pattern: str, full: bool):
                 width = 5 if full else 3
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(width))], names=["doc_id", *names[:width]])
 
-    return code
+    return W.resting(code)
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:

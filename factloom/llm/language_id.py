@@ -171,6 +171,7 @@ def _summing(idf: np.ndarray, centres: dict[str, np.ndarray], edges: dict[str, n
     """Per task: sums of the unit vectors of each language and centroid, or, where a language has ``edges``, of each class of cosine with its one centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("language_id")
         held: dict[tuple[str, int], list] = {}
         out = lambda: _batch([(*k, n, x.tobytes()) for k, (n, x) in held.items()], [pa.string(), pa.int32(), pa.int64(), pa.binary()], _SUMS)
         for batch in batches:
@@ -196,6 +197,7 @@ def _counting(idf: np.ndarray, centres: dict[str, np.ndarray], snippets: bool):
     every = np.vstack([centres[x] for x in sorted(centres)]) if centres else np.zeros((0, DIMENSIONS), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.tidy("language_id")
         held: Counter = Counter()
         out = lambda: _batch([(*k, n) for k, n in held.items()], [pa.string(), *[pa.int32()] * 3, pa.int64()], _BINS)
         for batch in batches:
@@ -338,7 +340,7 @@ def _predictor(model: Model):
                     names=[*part.schema.names[1:], "lang_pred", "score", "rejected"],
                 )
 
-    return predict
+    return W.resting(predict)
 
 
 def predict(docs: DataFrame, model: Model, keep: dict[str, str], text_col: str = "text") -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,10 +178,15 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[p
 
 #: What operators keep in a worker between tasks, by operator: emptied when the worker goes on to another one.
 kept: dict[str, dict] = {}
+#: Seconds that a worker is idle until it drops them: stages without Python, in which no task begins here, leave that memory to the JVM.
+IDLE = 2.0
+_waiting: list[threading.Timer] = []
 
 
 def tidy(operator: str) -> None:
     """Call as a task begins: drop what other operators keep here, and give freed memory back to the system where the C library can."""
+    while _waiting:
+        _waiting.pop().cancel()
     others = [x for name, x in kept.items() if name != operator and x]
     for x in others:
         x.clear()
@@ -189,3 +195,22 @@ def tidy(operator: str) -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def _rest() -> None:
+    """Unless another task begins here within ``IDLE`` seconds, drop all that is kept."""
+    _waiting.append(threading.Timer(IDLE, tidy, [""]))
+    _waiting[-1].daemon = True
+    _waiting[-1].start()
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function whose worker gives back what it keeps, and its freed memory, if it then stays idle."""
+
+    def then_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _rest()
+
+    return then_rest

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -148,6 +150,21 @@ def test_bpe_matches_tiktoken(name):
         assert vocabulary.decode(ids, chunk=3) == text == vocabulary.decode_bytes(ids).decode()
 
 
+def test_idle_workers_give_their_tables_back(monkeypatch):
+    monkeypatch.setattr(W, "IDLE", 0.3)
+    code = bpe._coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a text"]})
+    for _ in range(3):  # tasks that follow on each other share them
+        assert [b.num_rows for b in code(iter([batch]))] == [1]
+        assert W.kept["bpe"]
+    first = next(task := code(iter([batch, batch])))
+    time.sleep(0.6)
+    assert W.kept["bpe"] and next(task).equals(first)  # a task at work is not idle
+    assert not list(task)
+    time.sleep(0.6)
+    assert not W.kept["bpe"]
+
+
 def test_bpe_stream_and_full_tables(monkeypatch):
     monkeypatch.setattr(bpe, "KEEP_STATES", 5)
     monkeypatch.setattr(bpe, "KEEP_PAIRS", 5)
