@@ -17,8 +17,10 @@ from .shared import cut, cut_and_count
 _PAIR = ["scope", "node", "var"]
 #: Steps that a job takes; between them pairs are told apart, but not from all that are known.
 STRIDE = 4
-#: The flows of a region: reads backwards, writes outside and inside forwards, the entry's variables without a write.
-LIVE, COME, GO, BARE = range(4)
+#: Up to so many pairs are sent to the nodes, which are then read but not shuffled.
+SMALL = 100_000
+#: The flows of a region that are walked together: reads backwards, writes inside forwards, the entry's variables without a write.
+LIVE, GO, BARE = range(3)
 
 
 def spread(edges: DataFrame, start: DataFrame, kill: DataFrame) -> DataFrame:
@@ -26,19 +28,26 @@ def spread(edges: DataFrame, start: DataFrame, kill: DataFrame) -> DataFrame:
 
     A pair arrives at a node that kills it, as in ``kill(scope, node, var)``, but does not go on from there; one that starts there does.
     """
-    steps = cut(edges.select("scope", F.col("src").alias("node"), "dst").distinct())
-    stops = cut(kill.select(*_PAIR).distinct())
+    ways = edges.select("scope", F.col("src").alias("node"), "dst").groupBy("scope", "node").agg(F.collect_set("dst").alias("to"))
+    stops = kill.groupBy("scope", "node").agg(F.collect_set("var").alias("stops"))
+    # a node's edges and kills are one row, so a step is one join
+    nodes = cut(ways.join(stops, ["scope", "node"], "left"))
     first, n = cut_and_count(start.select(*_PAIR).distinct())
-    seen, front = [first], first
+    seen, front, starts = [first], first, True
     while n:
+        few = F.broadcast if n <= SMALL else (lambda df: df)
         found, at = [], front
-        for _ in range(STRIDE):
-            at = at.join(steps, ["scope", "node"]).select("scope", F.col("dst").alias("node"), "var").distinct()
+        for k in range(STRIDE):
+            on = F.lit(starts and k == 0) | ~F.coalesce(F.array_contains("stops", F.col("var")), F.lit(False))
+            at = nodes.join(few(at), ["scope", "node"]).where(on).select("scope", F.explode("to").alias("node"), "var").distinct()
             found.append(at)
-            at = at.join(stops, _PAIR, "left_anti")
-        fresh, n = cut_and_count(reduce(DataFrame.unionByName, found).distinct().join(reduce(DataFrame.unionByName, seen), _PAIR, "left_anti"))
-        seen.append(fresh)
-        front = fresh.join(stops, _PAIR, "left_anti")
+        met, n = cut_and_count(reduce(DataFrame.unionByName, found).distinct())
+        # a small front goes to what is known, instead of all that being shuffled
+        few = F.broadcast if n <= SMALL else (lambda df: df)
+        known = reduce(DataFrame.unionByName, seen).join(few(met), _PAIR, "left_semi")
+        front, n = cut_and_count(met.join(few(known), _PAIR, "left_anti"))
+        seen.append(front)
+        starts = False
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -76,17 +85,19 @@ def region_flow(edges: DataFrame, accesses: DataFrame, region: DataFrame, entry:
     within = cut(steps.join(inside.select("scope", F.col("node").alias("src")), ["scope", "src"], "left_semi").join(inside.select("scope", F.col("node").alias("dst")), ["scope", "dst"], "left_semi"))
     # a write goes on from the node after it until the next write
     after = lambda some: rows.where(some).select("scope", F.col("node").alias("src"), "var").join(steps, ["scope", "src"]).select("scope", F.col("dst").alias("node"), "var").distinct()
-    begin = {LIVE: rows.where("reads and inside").select(*_PAIR), COME: after("writes and not inside"), GO: after("writes and inside"), BARE: doors.join(touched, "scope").select(*_PAIR)}
-    ways = {LIVE: _turned(within), COME: steps, GO: steps, BARE: within}
+    begin = {LIVE: rows.where("reads and inside").select(*_PAIR), GO: after("writes and inside"), BARE: doors.join(touched, "scope").select(*_PAIR)}
+    ways = {LIVE: _turned(within), GO: steps, BARE: within}
     inner = rows.where("writes and inside").select(*_PAIR)
-    # the four flows are scopes of their own in one walk, which takes as many rounds as the longest of them
-    start, edges, kill = (cut(reduce(DataFrame.unionByName, (_of(df, k) for k, df in x.items()))) for x in (begin, ways, {LIVE: inner, COME: writes, GO: writes, BARE: writes}))
+    # the flows are scopes of their own in one walk, which takes as many rounds as the longest of them
+    start, edges, kill = (cut(reduce(DataFrame.unionByName, (_of(df, k) for k, df in x.items()))) for x in (begin, ways, {LIVE: inner, GO: writes, BARE: writes}))
     stuck = start.where(F.col("scope.flow") != LIVE).join(kill, _PAIR, "left_semi")
     arrived = cut(spread(edges, start.join(stuck, _PAIR, "left_anti"), kill).unionByName(stuck).select("scope.flow", "scope.scope", "node", "var").distinct())
     met = lambda flow: arrived.where(F.col("flow") == flow).select(*_PAIR)
     # live at the entry by reads inside, without leaving the region, and written before
-    asked = met(LIVE).join(inner.join(begin[LIVE], _PAIR, "left_anti"), _PAIR, "left_anti").join(doors, ["scope", "node"], "left_semi").select(*_PAIR)
-    flows_in = asked.join(met(COME), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_in", F.lit(True))
+    asked = cut(met(LIVE).join(inner.join(begin[LIVE], _PAIR, "left_anti"), _PAIR, "left_anti").join(doors, ["scope", "node"], "left_semi").select(*_PAIR))
+    # backwards from the few that are asked for: the writes outside are many, and most lead elsewhere
+    came = spread(_turned(steps), asked, writes)
+    flows_in = came.join(rows.where("writes and not inside").select(*_PAIR), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_in", F.lit(True))
     out = met(GO).join(rows.where("reads and not inside").select(*_PAIR), _PAIR, "left_semi").select("scope", "var").distinct().withColumn("flows_out", F.lit(True))
     # ways through the region without a write
     after = met(BARE).join(writes, _PAIR, "left_anti")

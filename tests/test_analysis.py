@@ -78,6 +78,21 @@ def test_region_flow_by_brute_force(spark):
     assert {(r["scope"], r["var"]): tuple(r)[2:] for r in got.collect()} == brute_flow(edges, flat, region, entry)
 
 
+def test_writes_that_lead_elsewhere_are_not_walked(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(D, "cut_and_count", lambda df, keep=D.cut_and_count: met.append(keep(df)) or met[-1])
+    edges = [(1, a, a + 1) for a in range(120)]
+    accesses = [(1, 2, "v", True, True)] + [(1, a, "v", False, True) for a in [0, *range(3, 120)]]
+    got = D.region_flow(
+        spark.createDataFrame(edges, "scope int, src int, dst int"),
+        spark.createDataFrame(accesses, "scope int, node int, var string, reads boolean, writes boolean"),
+        spark.createDataFrame([(1, 2)], "scope int, node int"),
+        spark.createDataFrame([(1, 2)], "scope int, node int"),
+    )
+    assert [tuple(r) for r in got.collect()] == [(1, "v", True, True, True, True, False, False, True)]
+    assert sum(n for _, n in met) < 40  # the 118 writes behind the region do not reach its entry
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
