@@ -49,6 +49,11 @@ def demangle(name: str) -> tuple[str, str]:
 
 def top_level_count(parameters: Column) -> Column:
     """How many parameters a list has: commas outside of brackets, however deep these nest, and one; 0 if it is empty."""
+    # pairs of brackets without others within are taken out twice, which leaves none in most lists; what is left of the others is walked
+    flat = parameters
+    for _ in range(2):
+        flat = F.regexp_replace(flat, r"[(\[<{][^(\[<{)\]>}]*[)\]>}]", "")
+    commas = F.length(flat) - F.length(F.replace(flat, F.lit(","), F.lit(""))) + 1
     marks = F.regexp_extract_all(parameters, F.lit(r"[(\[<{)\]>},]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
 
@@ -57,7 +62,7 @@ def top_level_count(parameters: Column) -> Column:
         depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
         return F.struct(depth.alias("depth"), F.when((mark == ",") & (state["depth"] == 0), state["n"] + 1).otherwise(state["n"]).alias("n"))
 
-    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).otherwise(F.aggregate(marks, start, step, lambda x: x["n"]))
+    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).when(~flat.rlike(r"[(\[<{)\]>}]"), commas).otherwise(F.aggregate(marks, start, step, lambda x: x["n"]))
 
 
 def trace_rows(traces: DataFrame) -> DataFrame:
@@ -70,8 +75,14 @@ def trace_rows(traces: DataFrame) -> DataFrame:
     lines = traces.select("trace_id", F.posexplode(F.split("text", r"\r?\n")).alias("position", "raw")).withColumn("raw", F.trim("raw")).where("raw <> '' and not startswith(raw, '--- ')")
     frame = r"^(?:.*\s)?at ([^(\s][^(]*)\((.*?)\)(?: \+ 0x[0-9a-fA-F]+)?(?: in (.+):line (\d+))?$"
     header = r"^(?:.*\]\s+)?(?:---> )?(?:\(Inner Exception #\d+\) )?(?:Unhandled exception\. )?((?:[A-Za-z_]\w*\.)+[\w+`]+|\w*Exception)(?::.*|\s*)$"
-    kind = F.when(F.col("raw").rlike(frame), "frame").when(F.col("raw").rlike(header), "exception").otherwise("unknown")
-    part = lambda n: F.nullif(F.regexp_extract("raw", frame, n), F.lit(""))
+    # a line is matched once for all its parts; those with a NUL of their own, which parts the parts, once for each
+    once = F.split(F.regexp_replace("raw", frame, "$1\0$2\0$3\0$4\0"), "\0")
+    each = F.when(F.col("raw").rlike(frame), F.array(*(F.regexp_extract("raw", frame, n) for n in range(1, 5)))).otherwise(F.array("raw"))
+    lines = lines.withColumn("parts", F.when(F.instr("raw", "\0") == 0, once).otherwise(each))
+    kind = F.when(F.size("parts") > 1, "frame").when(F.col("raw").rlike(header), "exception").otherwise("unknown")
+    lines = lines.withColumn("kind", kind)
+    kind = F.col("kind")
+    part = lambda n: F.nullif(F.get("parts", F.lit(n - 1)), F.lit(""))
     name = F.when(kind == "frame", F.trim(part(1))).when(kind == "exception", F.regexp_extract("raw", header, 1))
     rows = lines.select("trace_id", "position", kind.alias("kind"), name.alias("name"), F.when(kind == "frame", top_level_count(part(2))).alias("parameters"), part(3).alias("file"), part(4).cast("int").alias("line"))
 
@@ -82,8 +93,11 @@ def trace_rows(traces: DataFrame) -> DataFrame:
         known = {n: demangle(n) for n in names.dropna().unique()}
         return pd.DataFrame([known.get(n, (None, None)) for n in names], columns=["symbol", "origin"])
 
-    named = rows.withColumn("r", F.when(F.col("kind") == "frame", readable("name")))
-    return named.select("trace_id", "position", "kind", F.coalesce("r.symbol", "name").alias("symbol"), F.col("r.origin").alias("origin"), "parameters", "file", "line")
+    # names that the compiler did not make stay as they are
+    made = (F.col("kind") == "frame") & F.col("name").rlike(r"[+`<>\[\]]|\.\.c?ctor$")
+    named = rows.withColumn("made", made).withColumn("r", readable(F.when(F.col("made"), F.col("name"))))
+    symbol, origin = F.when(F.col("made"), F.col("r.symbol")).otherwise(F.col("name")), F.when(F.col("made"), F.col("r.origin")).when((F.col("kind") == "frame") & F.col("name").isNotNull(), "method")
+    return named.select("trace_id", "position", "kind", symbol.alias("symbol"), origin.alias("origin"), "parameters", "file", "line")
 
 
 def resolved_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -196,6 +196,21 @@ def test_top_level_count_however_deep(spark):
     assert [r[0] for r in rows.select(top_level_count(F.col("p"))).collect()] == [2, 0, 0, 1, 2, 2]
 
 
+def test_lines_are_matched_once(spark):
+    text = "   at A.B.Go(Int32 a, List`1[A,B] b) in /s/x.cs:line 7\n   at A.B\0.Go(Int32 a) in /s/y.cs:line 8\n   at A.B..ctor()\n   at A.Plain(]a, (b, [c]))\nA.BException: no\nno\0thing"
+    rows = trace_rows(spark.createDataFrame([(1, text)], "trace_id int, text string"))
+    assert [tuple(r)[2:] for r in rows.orderBy("position").collect()] == [
+        ("frame", "A.B.Go", "method", 2, "/s/x.cs", 7),
+        ("frame", "A.B\0.Go", "method", 1, "/s/y.cs", 8),
+        ("frame", "A.B.B", "constructor", 0, None, None),
+        ("frame", "A.Plain", "method", 2, None, None),
+        ("exception", "A.BException", None, None, None, None),
+        ("unknown", None, None, None, None, None),
+    ]
+    # parts are cut out by one replacement; a match for each part is left to lines with a NUL
+    assert "regexp_replace" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_resolved_frames(spark):
     text = "System.Exception: x\n   at A.B.Go(Int32 a)\n   at A.B.Go()\n   at A.B.Go(Int32 a, Int32 b) in /s/x.cs:line 7\n   at A.B.<RunAsync>d__1.MoveNext()\n   at Lib.Far()\n   at No.Where()\n nonsense"
     symbols = spark.createDataFrame(
