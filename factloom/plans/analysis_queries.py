@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.stack_trace import resolved_frames, trace_rows
 from factloom.operators import closure, data_flow, graph, type_terms
-from factloom.operators.shared import shared_path
+from factloom.operators.shared import cut, shared_path
 from factloom.sources import project_xml
 
 QUERIES: dict = {}
@@ -61,7 +61,7 @@ def region_data_flow(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     writes = F.col("event_type").isin("signup", "purchase", "error")
     events = _t(spark, d, "events").withColumn("i", F.row_number().over(order)).select(F.col("user_id").alias("scope"), F.floor((F.col("i") - 1) / 3).cast("int").alias("node"), "i", _text("v", F.get_json_object("props", "$.k").cast("long") % 6).alias("var"), "event_type", writes.alias("writes"))
-    last = events.groupBy("scope", "node").agg(F.max_by("event_type", "i").alias("kind")).withColumn("top", F.max("node").over(Window.partitionBy("scope")))
+    last = cut(events.groupBy("scope", "node").agg(F.max_by("event_type", "i").alias("kind")).withColumn("top", F.max("node").over(Window.partitionBy("scope"))))
     to = lambda where, node: last.where(where).select("scope", F.col("node").alias("src"), F.expr(node).alias("dst"))
     edges = to("node < top", "node + 1").unionByName(to("kind = 'click' and node + 2 <= top", "node + 2")).unionByName(to("kind = 'error'", "greatest(node - 2, 0)"))
     accesses = events.groupBy("scope", "node", "var").agg((~F.min_by("writes", "i")).alias("reads"), F.max("writes").alias("writes"))

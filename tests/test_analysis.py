@@ -93,6 +93,47 @@ def test_writes_that_lead_elsewhere_are_not_walked(spark, monkeypatch):
     assert sum(n for _, n in met) < 40  # the 118 writes behind the region do not reach its entry
 
 
+@pytest.mark.parametrize("whole,wide", [(30, 1), (200_000, 2)])
+def test_scopes_of_any_size_flow_alike(spark, monkeypatch, whole, wide):
+    monkeypatch.setattr(D, "WHOLE", whole)  # scopes of more rows are walked by frontiers
+    monkeypatch.setattr(D, "WIDE", wide)
+    monkeypatch.setattr(D, "OUT", 3)
+    monkeypatch.setattr(D, "SMALL", 6)
+    rnd = random.Random(12)
+    edges, accesses, region, entry = [], {}, [], []
+    for s in range(6):
+        n = rnd.randint(2, 9)
+        edges += [(s, a, a + 1) for a in range(n - 1)] + [(s, rnd.randrange(n), rnd.randrange(n)) for _ in range(3)]
+        accesses |= {(s, a, f"v{v}"): (rnd.random() < 0.5, rnd.random() < 0.5) for a in range(n) for v in range(3) if rnd.random() < 0.7}
+        region += [(s, a) for a in range(1, min(n, 5))]
+        entry.append((s, 1))
+    flat = [(*k, *x) for k, x in accesses.items()]
+    got = D.region_flow(
+        spark.createDataFrame(edges, "scope long, src int, dst int"),
+        spark.createDataFrame([*flat, (None, 1, "v1", True, True), (0, 1, None, True, True), (7, 1, "v1", None, None)], "scope int, node int, var string, reads boolean, writes boolean"),
+        spark.createDataFrame([*region, (None, 1), (2, None)], "scope int, node int"),
+        spark.createDataFrame([*entry, (3, 99), (None, 1)], "scope int, node int"),
+    )
+    assert got.schema["scope"].dataType.simpleString() == "int"
+    assert {(r["scope"], r["var"]): tuple(r)[2:] for r in got.collect()} == brute_flow(edges, flat, region, entry)
+
+
+def test_a_long_flow_sends_nothing_to_the_driver(spark, monkeypatch):
+    tables = []
+    for name in ("cut", "cut_and_count"):
+        monkeypatch.setattr(D, name, lambda df, keep=getattr(D, name): tables.append(df) or keep(df))
+    edges = [(s, a, a + 1) for s in range(3) for a in range(30)]
+    got = D.region_flow(
+        spark.createDataFrame(edges, "scope int, src int, dst int"),
+        spark.createDataFrame([(s, a, "v", a == 30, a == 1) for s in range(3) for a in (1, 30)], "scope int, node int, var string, reads boolean, writes boolean"),
+        spark.createDataFrame([(s, 1) for s in range(3)], "scope int, node int"),
+        spark.createDataFrame([(s, 1) for s in range(3)], "scope int, node int"),
+    )
+    assert sorted(map(tuple, got.collect())) == [(s, "v", False, True, True, False, True, True, False) for s in range(3)]
+    assert len(tables) == 2  # the facts, and the scopes too large for a task: no frontiers, however long the way
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in [got, *tables])
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
