@@ -53,7 +53,6 @@ def top_level_count(parameters: Column) -> Column:
     flat = parameters
     for _ in range(2):
         flat = F.regexp_replace(flat, r"[(\[<{][^(\[<{)\]>}]*[)\]>}]", "")
-    commas = F.length(flat) - F.length(F.replace(flat, F.lit(","), F.lit(""))) + 1
     marks = F.regexp_extract_all(parameters, F.lit(r"[(\[<{)\]>},]"), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
 
@@ -62,7 +61,9 @@ def top_level_count(parameters: Column) -> Column:
         depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
         return F.struct(depth.alias("depth"), F.when((mark == ",") & (state["depth"] == 0), state["n"] + 1).otherwise(state["n"]).alias("n"))
 
-    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).when(~flat.rlike(r"[(\[<{)\]>}]"), commas).otherwise(F.aggregate(marks, start, step, lambda x: x["n"]))
+    # the flat list is made once for its test and its commas: null if brackets are left
+    commas = F.get(F.transform(F.array(flat), lambda x: F.when(~x.rlike(r"[(\[<{)\]>}]"), F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) + 1)), F.lit(0))
+    return F.when(F.coalesce(F.trim(parameters), F.lit("")) == "", 0).otherwise(F.coalesce(commas, F.aggregate(marks, start, step, lambda x: x["n"])))
 
 
 def trace_rows(traces: DataFrame) -> DataFrame:
@@ -78,7 +79,8 @@ def trace_rows(traces: DataFrame) -> DataFrame:
     # a line is matched once for all its parts; those with a NUL of their own, which parts the parts, once for each
     once = F.split(F.regexp_replace("raw", frame, "$1\0$2\0$3\0$4\0"), "\0")
     each = F.when(F.col("raw").rlike(frame), F.array(*(F.regexp_extract("raw", frame, n) for n in range(1, 5)))).otherwise(F.array("raw"))
-    lines = lines.withColumn("parts", F.when(F.instr("raw", "\0") == 0, once).otherwise(each))
+    # a row of its own, behind which no filter is pushed: that would match each line again
+    lines = lines.select("*", F.explode(F.array(F.when(F.instr("raw", "\0") == 0, once).otherwise(each))).alias("parts"))
     kind = F.when(F.size("parts") > 1, "frame").when(F.col("raw").rlike(header), "exception").otherwise("unknown")
     lines = lines.withColumn("kind", kind)
     kind = F.col("kind")
@@ -109,10 +111,12 @@ def resolved_frames(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     asked = frames.where("kind = 'frame'").select("trace_id", "position", "symbol", "origin", "parameters", F.col("file").alias("own_file"), F.col("line").alias("own_line"))
     known = symbols.where("name is not null").select(F.col("name").alias("symbol"), F.col("parameters").alias("has"), "member", F.coalesce("source", F.lit(False)).alias("source"), "file", "line")
-    # a name's choices are few, and a choice depends on the number of parameters alone: it is made once for each such pair
-    pairs = asked.select("symbol", "parameters").distinct().join(known, "symbol")
-    order = F.struct((~F.col("source")).alias("far"), (~F.col("has").eqNullSafe(F.col("parameters"))).alias("other"), "file", "line", "member", "source")
-    chosen = pairs.groupBy("symbol", "parameters").agg(F.min(order).alias("c"))
+    # a choice depends on the number of parameters alone, so the symbols are ranked by themselves and frames are worked out once
+    place = F.struct("file", "line", "member", "source")
+    overloads = known.groupBy("symbol", "source", "has").agg(F.min(place).alias("c"))
+    levels = overloads.groupBy("symbol", "source").agg(F.min("c").alias("other"), F.collect_list(F.struct("has", "c")).alias("fits"))
+    chosen = levels.groupBy("symbol").agg(F.max_by(F.struct("other", "fits"), "source").alias("best"))
+    met = asked.join(chosen, "symbol", "left").withColumn("fits", F.get(F.filter("best.fits", lambda x: x["has"].eqNullSafe(F.col("parameters"))), F.lit(0)))
+    met = met.withColumn("c", F.coalesce("fits.c", "best.other"))
     status = F.when(F.col("c").isNull(), "unresolved").when(F.col("c.source"), "source").otherwise("metadata")
-    met = asked.alias("a").join(chosen.alias("b"), (F.col("a.symbol") == F.col("b.symbol")) & F.col("a.parameters").eqNullSafe(F.col("b.parameters")), "left")
-    return met.select("trace_id", "position", "a.symbol", F.col("c.member").alias("member"), "origin", status.alias("status"), F.coalesce("own_file", "c.file").alias("file"), F.coalesce("own_line", "c.line").alias("line"))
+    return met.select("trace_id", "position", "symbol", F.col("c.member").alias("member"), "origin", status.alias("status"), F.coalesce("own_file", "c.file").alias("file"), F.coalesce("own_line", "c.line").alias("line"))

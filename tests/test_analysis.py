@@ -270,6 +270,35 @@ def test_resolved_frames(spark):
     ]
 
 
+def test_lines_are_worked_out_once_for_all_that_is_asked(spark):
+    traces = spark.createDataFrame([(1, "   at A.B.Go(Int32 a)")], "trace_id int, text string")
+    symbols = spark.createDataFrame([("A.B.Go", 1, "go1", True, "b.cs", 10)], "name string, parameters int, member string, source boolean, file string, line int")
+    got = resolved_frames(trace_rows(traces), symbols)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+    assert [r["member"] for r in got.collect()] == ["go1"]
+
+
+def test_overloads_by_brute_force(spark):
+    rnd = random.Random(6)
+    pick = lambda *of: rnd.choice(of)
+    symbols = [(pick("a", "b", "c", None), pick(None, 0, 1, 2), rnd.randrange(5), pick(True, False, None), pick("x", "y", None), pick(1, 2, None)) for _ in range(25)]
+    asked = [(t, 0, "frame", pick("a", "b", "c", "d", None), pick(None, 0, 1, 2, 3), "method", pick(None, "own"), pick(None, 9)) for t in range(60)]
+
+    def best(name, n):
+        least = lambda x: tuple((v is not None, v) for v in x)
+        return min((s for s in symbols if s[0] is not None and s[0] == name), key=lambda s: (not s[3], s[1] != n, least((s[4], s[5], s[2], bool(s[3])))), default=(None,) * 6)
+
+    want = []
+    for t, _, _, name, n, _, file, line in asked:
+        s = best(name, n)
+        want.append((t, s[2], "unresolved" if s[0] is None else "source" if s[3] else "metadata", file or s[4], line or s[5]))
+    frames = spark.createDataFrame(asked, "trace_id int, position int, kind string, symbol string, parameters int, origin string, file string, line int")
+    got = resolved_frames(frames, spark.createDataFrame(symbols, "name string, parameters int, member int, source boolean, file string, line int"))
+    assert [(r["trace_id"], r["member"], r["status"], r["file"], r["line"]) for r in got.orderBy("trace_id").collect()] == want
+
+
 def test_project_xml(spark, tmp_path):
     files = {
         "a/A.csproj": '﻿<?xml version="1.0"?>\n<Project Sdk="S">\n<!-- <PackageReference Include="no" Version="1"/> -->\n<PropertyGroup><X>1</X></PropertyGroup><ItemGroup>\n<PackageReference Include="P" Version="1.2" />\n<PackageReference Include=\'Q\'><Version> 3 </Version></PackageReference></ItemGroup><ItemGroup Condition="c"><PackageReference Include="R"/><PackageReference Update="S" Version="1"/><ProjectReference Include="..\\b\\B.csproj" /></ItemGroup></Project>',
